@@ -33,7 +33,7 @@ _RATE = f"round(avg(CASE WHEN {_RET} THEN 1.0::DOUBLE ELSE 0 END) * 100, 6) AS r
 
 SQL = {
     "q_rfm_scores": on_sales(_RFM, _RANKS, _SCORES, """
-SELECT customer_id, last_order, frequency, round(monetary, 2) AS monetary, recency_days, r_score, f_score, m_score,
+SELECT customer_id, last_order, frequency, round(monetary, 6) AS monetary, recency_days, r_score, f_score, m_score,
   r_score + f_score + m_score AS rfm_score FROM scores"""),
     "q_rfm_segments": on_sales(_RFM, _RANKS, _SCORES, """
 SELECT CASE WHEN r_score >= 4 AND f_score >= 4 AND m_score >= 4 THEN 'Champions'
@@ -46,7 +46,7 @@ SELECT cohort_month, months_since, customers, cohort_size, round(customers / coh
     "q_cohort_matrix": on_sales(_FIRST, _COHORT, "\nSELECT cohort_month, " + ", ".join(
         f"round(max(CASE WHEN months_since = {m} THEN customers / cohort_size END), 6) AS m{m}" for m in range(80))
         + " FROM retention GROUP BY cohort_month"),
-    "q_clv_customer": on_sales(_CLV, "SELECT customer_id, round(clv, 2) AS clv FROM clv"),
+    "q_clv_customer": on_sales(_CLV, "SELECT customer_id, round(clv, 6) AS clv FROM clv"),
     "q_clv_histogram": on_sales(_CLV, *histogram_parts("clv", "clv", 40, alias="customers", digits=2)),
     "q_clv_by_tier": on_sales(_CLV, """tiers AS (SELECT customer_id, arg_min(customer_tier, order_date) AS customer_tier
   FROM sales WHERE customer_tier IS NOT NULL GROUP BY customer_id)""", """

@@ -26,11 +26,11 @@ SELECT subcategory, round(sum(final_amount_inr), 2) AS revenue,
   round(sum(final_amount_inr) / sum(sum(final_amount_inr)) OVER () * 100, 6) AS share_pct,
   round(sum(final_amount_inr * final_amount_inr) / sum(final_amount_inr), 2) AS weighted_amount FROM sales GROUP BY subcategory"""),
     "q_cat_yearly_growth": on_sales(_CATS, _GROWTH, """
-SELECT order_year, subcategory, round(rev, 2) AS revenue, round(g, 6) AS growth_pct FROM growth"""),
+SELECT order_year, subcategory, round(rev, 6) AS revenue, round(g, 6) AS growth_pct FROM growth"""),
     "q_cat_avg_growth": on_sales(_CATS, _GROWTH, """
 SELECT subcategory, round(coalesce(avg(g), 0), 6) AS avg_growth_pct FROM growth GROUP BY subcategory"""),
     "q_brand_year_top10": on_sales(_BRANDS, _TOP, """
-SELECT order_year, brand, round(rev, 2) AS revenue FROM by_brand WHERE brand IN (SELECT brand FROM top)"""),
+SELECT order_year, brand, round(rev, 6) AS revenue FROM by_brand WHERE brand IN (SELECT brand FROM top)"""),
     "q_brand_share": on_sales(_BRANDS, _TOP, """shares AS (SELECT s.order_year, s.brand,
   s.final_amount_inr / sum(s.final_amount_inr) OVER (PARTITION BY s.order_year) * 100 AS share FROM sales s)""", """
 SELECT order_year, brand, round(avg(share), 6) AS mean_row_share, round(sum(share), 6) AS market_share
@@ -45,19 +45,19 @@ SELECT CASE grouping(subcategory, brand) WHEN 0 THEN 'child' WHEN 1 THEN 'parent
   round(sum(final_amount_inr * final_amount_inr) / sum(final_amount_inr), 2) AS weighted_amount
 FROM sales GROUP BY ROLLUP (subcategory, brand)"""),
     "q_prod_monthly": on_sales(_MONTHLY, """
-SELECT product_id, order_month, round(rev, 2) AS monthly_revenue, qty AS monthly_qty, product_name, subcategory, launch_date FROM pm"""),
+SELECT product_id, order_month, round(rev, 6) AS monthly_revenue, qty AS monthly_qty, product_name, subcategory, launch_date FROM pm"""),
     "q_prod_lifecycle": on_sales(_MONTHLY, _LIFE, """
-SELECT product_id, product_name, subcategory, launch_date, peak_month, round(peak_revenue, 2) AS peak_revenue,
-  round(total_revenue, 2) AS total_revenue, round(first90, 2) AS rev_first_90days, ttp AS time_to_peak_months FROM life"""),
+SELECT product_id, product_name, subcategory, launch_date, peak_month, round(peak_revenue, 6) AS peak_revenue,
+  round(total_revenue, 6) AS total_revenue, round(first90, 6) AS rev_first_90days, ttp AS time_to_peak_months FROM life"""),
     "q_prod_launches_per_year": on_sales(_MONTHLY, """
 SELECT CAST(year(launch_date) AS INTEGER) AS launch_year, count(*) AS launch_count FROM launch GROUP BY launch_year"""),
     "q_prod_ttp_hist": on_sales(_MONTHLY, _LIFE, *histogram_parts("life", "ttp", 24, alias="products")),
     "q_prod_curve": on_sales(_MONTHLY, """pick AS (SELECT product_id FROM launch WHERE product_name IS NOT NULL
   ORDER BY product_name, product_id LIMIT 1)""", """
-SELECT product_id, product_name, order_month, round(rev, 2) AS monthly_revenue, qty AS monthly_qty
+SELECT product_id, product_name, order_month, round(rev, 6) AS monthly_revenue, qty AS monthly_qty
 FROM pm WHERE product_id = (SELECT product_id FROM pick)"""),
     "q_prod_top_launches": on_sales(_MONTHLY, _LIFE, """
-SELECT product_id, product_name, round(first90, 2) AS rev_first_90days FROM life ORDER BY first90 DESC, product_id LIMIT 15"""),
+SELECT product_id, product_name, round(first90, 6) AS rev_first_90days FROM life ORDER BY first90 DESC, product_id LIMIT 15"""),
     "q_price_ols": on_sales(f"""
 SELECT subcategory, brand, {regr('quantity', 'discounted_price_inr')} FROM sales WHERE quantity > 0 GROUP BY subcategory, brand"""),
     "q_price_corr": on_sales("sold AS (SELECT * FROM sales WHERE quantity > 0)", corr_rows(

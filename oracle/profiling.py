@@ -18,7 +18,7 @@ _TAIL = "\nUNION ALL\n"
 def _simpson(density: str, upper: str, steps: int = 2000) -> str:
     """Area under ``density`` (in x) from 0 to ``upper`` by Simpson's rule."""
     return (f"(SELECT sum((CASE WHEN i = 0 OR i = {steps} THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END) * {density}) "
-            f"* {upper} / {steps} / 3 FROM (SELECT i, {upper} * i / {steps} AS x FROM range(0, {steps + 1}) t(i)))")
+            f"* {upper} / {steps} / 3 FROM (SELECT i, {upper} * i / {steps} AS x FROM range(0, {steps + 1}) steps(i)))")
 
 
 def _describe_text(c: str) -> str:

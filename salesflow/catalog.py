@@ -18,7 +18,7 @@ from salesflow.plans import customer, discount, market, payment, product, revenu
 from salesflow.sources import tables
 from salesflow.sources.star import view
 
-MONEY_DIGITS = 2   # sums of money
+MONEY_DIGITS = 2   # large sums of money
 OTHER_DIGITS = 6   # means, rates, coefficients
 PRICE_DIGITS = 8   # row prices of the raw view, which end within seven decimals
 AMT = "final_amount_inr"
@@ -38,6 +38,7 @@ class Query:
 
     def __call__(self, spark: SparkSession, sf_dir: str) -> DataFrame:
         out = self.build(view(spark, sf_dir, self.source, self.columns))
+        # both engines are compared on rounded values
         return out.select(*[
             F.round(f.name, MONEY_DIGITS if f.name in self.money else self.digits).alias(f.name)
             if isinstance(f.dataType, DoubleType) else F.col(f"`{f.name}`") for f in out.schema.fields])
@@ -53,8 +54,8 @@ def _raw_prices(raw: DataFrame) -> DataFrame:
 
 
 def _pipeline(raw: DataFrame) -> DataFrame:
-    text = raw["original_price_inr"]
-    numbers = _raw_prices(raw).withColumn("original_price_inr", text)
+    numbers = _raw_prices(raw.withColumn("price_text", F.col("original_price_inr")))
+    numbers = numbers.withColumn("original_price_inr", F.col("price_text")).drop("price_text")
     return cleaning.clean_sales(numbers, RAW_ORDER).drop("l_shipdate", "l_quantity", "l_discount")
 
 
@@ -115,11 +116,11 @@ QUERIES: dict[str, Query] = {
     "q_disc_corr": Query(discount.correlations, ["discount_percent", "quantity", AMT]),
     "q_disc_effectiveness": Query(discount.effectiveness, ["subcategory", "discount_percent", "quantity", AMT]),
     # customers
-    "q_rfm_scores": Query(customer.rfm_scores, ["customer_id", "transaction_id", "order_date", AMT], money=("monetary",)),
+    "q_rfm_scores": Query(customer.rfm_scores, ["customer_id", "transaction_id", "order_date", AMT]),
     "q_rfm_segments": Query(customer.rfm_segments, ["customer_id", "transaction_id", "order_date", AMT]),
     "q_cohort_retention": Query(customer.cohort_retention, ["customer_id", "order_date"]),
     "q_cohort_matrix": Query(lambda d: customer.cohort_matrix(d, COHORT_MONTHS), ["customer_id", "order_date"]),
-    "q_clv_customer": Query(customer.clv_by_customer, ["customer_id", AMT], money=("clv",)),
+    "q_clv_customer": Query(customer.clv_by_customer, ["customer_id", AMT]),
     "q_clv_histogram": Query(customer.clv_histogram, ["customer_id", AMT], money=("bin_lo", "bin_hi")),
     "q_clv_by_tier": Query(customer.clv_by_tier, ["customer_id", "customer_tier", "order_date", AMT], money=("avg_clv",)),
     "q_clv_by_acq_year": Query(customer.clv_by_acquisition_year, ["customer_id", "order_date", AMT], money=("total_clv",)),
@@ -146,17 +147,16 @@ QUERIES: dict[str, Query] = {
     "q_brand_top_in_category": Query(product.brands_in_category, ["subcategory", "brand", AMT], money=("revenue",)),
     "q_brand_rollup": Query(product.brand_rollup, ["subcategory", "brand", AMT], money=("revenue", "weighted_amount")),
     "q_prod_monthly": Query(product.product_monthly, ["product_id", "product_name", "subcategory", "order_date",
-                                                      "quantity", AMT], money=("monthly_revenue",)),
+                                                      "quantity", AMT]),
     "q_prod_lifecycle": Query(product.product_lifecycle, ["product_id", "product_name", "subcategory", "order_date",
-                                                          "quantity", AMT],
-                              money=("peak_revenue", "total_revenue", "rev_first_90days")),
+                                                          "quantity", AMT]),
     "q_prod_launches_per_year": Query(product.launches_per_year, ["product_id", "order_date"]),
     "q_prod_ttp_hist": Query(product.time_to_peak_histogram, ["product_id", "product_name", "subcategory", "order_date",
                                                               "quantity", AMT]),
     "q_prod_curve": Query(product.product_curve, ["product_id", "product_name", "subcategory", "order_date",
-                                                  "quantity", AMT], money=("monthly_revenue",)),
+                                                  "quantity", AMT]),
     "q_prod_top_launches": Query(product.top_launches, ["product_id", "product_name", "subcategory", "order_date",
-                                                        "quantity", AMT], money=("rev_first_90days",)),
+                                                        "quantity", AMT]),
     "q_price_ols": Query(product.units_on_price, ["subcategory", "brand", "discounted_price_inr", "quantity"]),
     "q_price_corr": Query(product.price_correlations, ["subcategory", "original_price_inr", "discount_percent",
                                                        "discounted_price_inr", "quantity", AMT]),

@@ -1,9 +1,8 @@
-"""Exact order statistics without a global sort.
+"""Exact order statistics from a stored, range-partitioned table.
 
-Rows are cut into buckets of a sort key. The cut points come from the rows with the smallest key
-hashes: a fixed-size sample that depends on the data only, so every read gives the same cut points,
-and a heavy group simply spans many buckets. Counting rows per bucket (combined on the map side)
-shows which bucket holds each wanted rank; only those buckets are then sorted.
+The keys are sorted across the cluster and stored, one file per key range, so a heavy group spans
+many files and no task holds a whole group. Row counts per file (combined on the map side) show
+which file holds each wanted rank; only the rows of those files are ordered again.
 """
 
 from __future__ import annotations
@@ -12,31 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from salesflow.operators.aggregate import not_null
-
-_SIDE = 16  # buckets = _SIDE ** 2, found by two short scans of the cut points
-_SAMPLE = 2048
-
-
-def _bucketed(df: DataFrame, sort_cols: list[str]) -> DataFrame:
-    """Add ``bucket``, the number of cut points that are not above the row's key."""
-    key = F.struct(*sort_cols)
-    sample = df.select(key.alias("k")).orderBy(F.xxhash64(*sort_cols), "k").limit(_SAMPLE)
-    ordered = sample.agg(F.array_sort(F.collect_list("k")).alias("s"))
-    n_cuts = _SIDE * _SIDE - 1
-    cuts = ordered.select(F.transform(
-        F.sequence(F.lit(1), F.lit(n_cuts)),
-        lambda i: F.get("s", F.floor(i * F.size("s") / (n_cuts + 1)).cast("int"))).alias("cuts")).scalar()
-    coarse_cuts = ordered.select(F.transform(
-        F.sequence(F.lit(1), F.lit(_SIDE - 1)),
-        lambda i: F.get("s", F.floor(i * _SIDE * F.size("s") / (n_cuts + 1)).cast("int"))).alias("cuts")).scalar()
-
-    def below(points: Column, k: Column) -> Column:
-        return F.size(F.filter(points, lambda p: p <= k))
-
-    return (df.withColumn("coarse", below(coarse_cuts, key))
-            .withColumn("bucket", F.col("coarse") * _SIDE
-                        + below(F.slice(cuts, F.col("coarse") * _SIDE + 1, _SIDE - 1), key))
-            .drop("coarse"))
+from salesflow.session import materialize
 
 
 def values_at_ranks(df: DataFrame, groups: list[str], sort_cols: list[str], weight: str, wanted,
@@ -46,25 +21,28 @@ def values_at_ranks(df: DataFrame, groups: list[str], sort_cols: list[str], weig
     ``df`` has one row per distinct sort key with its ``weight`` (how often it occurs);
     ``wanted(n)`` turns the group's size into an array of structs that hold ``rank`` and whatever
     the caller wants back. Returns groups, ``n``, ``want`` and the sort columns. ``few_groups``
-    says that the number of groups is fixed by the caller, so the wanted list can be broadcast.
+    says that the caller fixes the number of groups, so the list of hits may be broadcast;
+    otherwise it is stored and Spark joins it according to its size.
     """
-    rows = _bucketed(df, groups + sort_cols)
+    keys = groups + sort_cols
+    stored = materialize(df.repartitionByRange(*keys).sortWithinPartitions(*keys))
+    # file names carry the range number, so their order is the order of the key ranges
+    rows = stored.withColumn("bucket", F.col("_metadata.file_name"))
+    file_order = [F.length("bucket"), F.col("bucket")]
     cells = rows.groupBy(*groups, "bucket").agg(F.sum(weight).alias("w"))
-    run = Window.partitionBy(*groups).orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    cells = (cells.withColumn("bucket_end", F.sum("w").over(run))
-             .withColumn("n", F.sum("w").over(Window.partitionBy(*groups)))
-             .withColumn("bucket_start", F.col("bucket_end") - F.col("w")))
-    hits = (cells.withColumn("want", F.filter(
-                wanted(F.col("n")), lambda t: (t["rank"] >= F.col("bucket_start")) & (t["rank"] < F.col("bucket_end"))))
-            .where(F.size("want") > 0).select(*groups, "bucket", "bucket_start", "n", "want"))
-    if few_groups:
-        hits = F.broadcast(hits)
+    run = Window.partitionBy(*groups).orderBy(*file_order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    cells = cells.select(*groups, "bucket", "w", F.sum("w").over(run).alias("bucket_end"),
+                         F.sum("w").over(Window.partitionBy(*groups)).alias("n"))
+    start = F.col("bucket_end") - F.col("w")
+    hits = cells.select(*groups, "bucket", "n", start.alias("bucket_start"), F.filter(
+        wanted(F.col("n")), lambda t: (t["rank"] >= start) & (t["rank"] < F.col("bucket_end"))).alias("want"))
+    hits = hits.where(F.size("want") > 0)
+    hits = F.broadcast(hits) if few_groups else materialize(hits)
     inside = Window.partitionBy(*groups, "bucket").orderBy(*sort_cols).rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
     found = rows.join(hits, groups + ["bucket"]).withColumn("hi", F.col("bucket_start") + F.sum(weight).over(inside))
-    return (found.withColumn("want", F.explode(F.filter(
-                "want", lambda t: (t["rank"] >= F.col("hi") - F.col(weight)) & (t["rank"] < F.col("hi")))))
-            .select(*groups, "n", "want", *sort_cols))
+    here = F.filter("want", lambda t: (t["rank"] >= F.col("hi") - F.col(weight)) & (t["rank"] < F.col("hi")))
+    return found.select(*groups, "n", F.explode(here).alias("want"), *sort_cols)
 
 
 def exact_quantiles(df: DataFrame, value: str, probs: list[float], names: list[str], groups: list[str] = (),
@@ -108,7 +86,7 @@ def quintile_scores(df: DataFrame, key: str, metrics: dict[str, tuple[str, bool]
 
     Equal to cutting the ranks 1..n at their quintiles. Only the rows at the four cut ranks are
     looked up; scoring is then a comparison per row. ``df`` must be a stored table with one row per
-    key, since it is read more than once.
+    key, since it is read twice.
     """
     names = list(metrics)
     pairs = F.array(*[F.struct(F.lit(s).alias("score"), F.col(c).cast("double").alias("v"))
@@ -123,12 +101,14 @@ def quintile_scores(df: DataFrame, key: str, metrics: dict[str, tuple[str, bool]
     table = cuts.groupBy("score").agg(
         F.struct(F.max("n").alias("n"), F.collect_list(F.struct("v", key)).alias("cuts")).alias("c"))
     found = table.agg(F.map_from_entries(F.collect_list(F.struct("score", "c")))).scalar()
-    out = df
+    out = df.withColumn("found", found)
     for s in names:
         col, rev = metrics[s]
         me = F.struct(F.col(col).cast("double").alias("v"), F.col(key))
-        cell = F.try_element_at(found, F.lit(s))
-        rank5 = F.size(F.filter(cell["cuts"], lambda t: t < me)) + 1
+        cell = F.try_element_at("found", F.lit(s))
+        rank5 = F.lit(1)
+        for i in range(4):
+            rank5 = rank5 + F.when(F.get(cell["cuts"], F.lit(i)) < me, 1).otherwise(0)
         score = F.when(cell["n"] == 1, 3).otherwise(F.lit(6) - rank5 if rev else rank5)
         out = out.withColumn(s, score.cast("int"))
-    return out
+    return out.drop("found")

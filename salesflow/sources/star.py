@@ -114,6 +114,18 @@ RAW_SALES = {
     "l_discount": ("l_discount", ""),
 }
 
+# declared, so that opening a table starts no schema-inference job
+TABLES = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, "
+              "o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, "
+                "l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, "
+                "l_shipdate timestamp_ntz",
+}
 VIEWS = {"sales": SALES, "raw_sales": RAW_SALES}
 _NEEDS = {"": set(), "part": {"part"}, "orders": {"orders"}, "customer": {"orders", "customer"},
           "nation": {"orders", "customer", "nation"}, "region": {"orders", "customer", "nation", "region"}}
@@ -126,7 +138,7 @@ def view(spark: SparkSession, sf_dir: str, name: str, columns: list[str] | None
     tables = set().union(*(_NEEDS[spec[c][1]] for c in columns))
 
     def read(table: str) -> DataFrame:
-        return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+        return spark.read.schema(TABLES[table]).parquet(f"{sf_dir}/{table}.parquet")
 
     lines = read("lineitem")
     if "part" in tables:
