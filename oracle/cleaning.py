@@ -35,8 +35,8 @@ def _date(swap: bool = True) -> str:
 
 
 def _flag(c: str) -> str:
-    return (f"CASE WHEN lower(trim({c})) IN ('true', '1', 'yes') THEN true "
-            f"WHEN lower(trim({c})) IN ('false', '0', 'no') THEN false END")
+    return (f"CASE WHEN lower(trim({c})) IN ('true', '1', 'yes') THEN 'true' "
+            f"WHEN lower(trim({c})) IN ('false', '0', 'no') THEN 'false' END")
 
 
 _WORDS = """CASE delivery_days WHEN 'Same Day' THEN '0' WHEN 'same day' THEN '0' WHEN 'Express' THEN '1' WHEN 'express' THEN '1'

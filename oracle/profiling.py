@@ -24,12 +24,12 @@ def _simpson(density: str, upper: str, steps: int = 2000) -> str:
 def _describe_text(c: str) -> str:
     counts = f"(SELECT {c} AS v, count(*) AS w FROM raw_sales WHERE {c} IS NOT NULL GROUP BY {c})"
     nulls = ", ".join(f'NULL::DOUBLE AS "{x}"' for x in ("mean", "std", "min", "p25", "p50", "p75", "max"))
-    return f"""SELECT '{c}' AS "column", CAST(sum(w) AS BIGINT) AS "count", count(*) AS "unique",
-  arg_min(v, (-w, v)) AS top, max(w) AS freq, {nulls} FROM {counts}"""
+    return f"""SELECT '{c}' AS "column", CAST(sum(w) AS BIGINT) AS "count", count(*)::DOUBLE AS "unique",
+  arg_min(v, (-w, v)) AS top, max(w)::DOUBLE AS freq, {nulls} FROM {counts}"""
 
 
 def _describe_number(c: str) -> str:
-    return f"""SELECT '{c}' AS "column", count({c}) AS "count", NULL::BIGINT AS "unique", NULL::VARCHAR AS top, NULL::BIGINT AS freq,
+    return f"""SELECT '{c}' AS "column", count({c}) AS "count", NULL::DOUBLE AS "unique", NULL::VARCHAR AS top, NULL::DOUBLE AS freq,
   round(avg({c}), 6), round(stddev_samp({c}), 6), round(min({c}), 6), round(quantile_cont({c}, 0.25), 6),
   round(quantile_cont({c}, 0.5), 6), round(quantile_cont({c}, 0.75), 6), round(max({c}), 6) FROM raw_sales"""
 

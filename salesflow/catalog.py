@@ -7,12 +7,11 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import BooleanType, DoubleType, StructField
 
 from salesflow import fixed_values as fv
-from salesflow.functions.dates import parse_order_date, strip_date_text
 from salesflow.functions.numeric import parse_price
-from salesflow.functions.text import capitalize, normalize_category, normalize_city, parse_flag
+from salesflow.functions.text import capitalize, parse_flag
 from salesflow.operators import cleaning, filters, profiling, stats
 from salesflow.plans import customer, discount, market, payment, product, revenue
 from salesflow.sources import tables
@@ -38,10 +37,14 @@ class Query:
 
     def __call__(self, spark: SparkSession, sf_dir: str) -> DataFrame:
         out = self.build(view(spark, sf_dir, self.source, self.columns))
-        # both engines are compared on rounded values
-        return out.select(*[
-            F.round(f.name, MONEY_DIGITS if f.name in self.money else self.digits).alias(f.name)
-            if isinstance(f.dataType, DoubleType) else F.col(f"`{f.name}`") for f in out.schema.fields])
+        return out.select(*[self._shown(f) for f in out.schema.fields])
+
+    def _shown(self, f: StructField) -> Column:
+        """The engines are compared on rounded numbers, and on flags as text (one form of null)."""
+        col = F.col(f"`{f.name}`")
+        if isinstance(f.dataType, DoubleType):
+            return F.round(col, MONEY_DIGITS if f.name in self.money else self.digits).alias(f.name)
+        return col.cast("string").alias(f.name) if isinstance(f.dataType, BooleanType) else col
 
 
 def _raw_prices(raw: DataFrame) -> DataFrame:
@@ -59,9 +62,9 @@ def _pipeline(raw: DataFrame) -> DataFrame:
     return cleaning.clean_sales(numbers, RAW_ORDER).drop("l_shipdate", "l_quantity", "l_discount")
 
 
-def _one(col: str, clean: Callable[[str], Column]) -> Callable[[DataFrame], DataFrame]:
+def _one(col: str, clean: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame], DataFrame]:
     """Clean one column, keeping the raw text beside it."""
-    return lambda df: df.select("transaction_id", F.col(col).alias("raw_value"), clean(col).alias(col))
+    return lambda df: clean(df.withColumn("raw_value", F.col(col)))
 
 
 def _flags(df: DataFrame) -> DataFrame:
@@ -194,14 +197,15 @@ QUERIES: dict[str, Query] = {
     "q_comp_price_box": Query(market.price_box, ["brand", "subcategory", "discounted_price_inr", "quantity", AMT]),
     "q_comp_price_tiers": Query(market.price_tiers, ["brand", "subcategory", "discounted_price_inr", "quantity", AMT]),
     # cleaning
-    "q_clean_city": Query(_one("customer_city", normalize_city), ["transaction_id", "customer_city"], "raw_sales"),
-    "q_clean_category": Query(_one("category", normalize_category), ["transaction_id", "category"], "raw_sales"),
-    "q_clean_product_name": Query(_one("product_name", capitalize), ["transaction_id", "product_name"], "raw_sales"),
-    "q_clean_dates": Query(_one("order_date", lambda c: parse_order_date(strip_date_text(c))),
+    "q_clean_city": Query(_one("customer_city", cleaning.clean_city), ["transaction_id", "customer_city"], "raw_sales"),
+    "q_clean_category": Query(_one("category", cleaning.clean_category), ["transaction_id", "category"], "raw_sales"),
+    "q_clean_product_name": Query(_one("product_name", lambda d: d.withColumn("product_name", capitalize("product_name"))), ["transaction_id", "product_name"], "raw_sales"),
+    "q_clean_dates": Query(_one("order_date", cleaning.clean_dates),
                            ["transaction_id", "order_date"], "raw_sales"),
-    "q_clean_dates_iso": Query(_one("order_date", lambda c: parse_order_date(strip_date_text(c), iso_swap=False)),
+    "q_clean_dates_iso": Query(_one("order_date", lambda d: cleaning.clean_dates(d, iso_swap=False)),
                                ["transaction_id", "order_date"], "raw_sales"),
-    "q_clean_price": Query(_one("original_price_inr", parse_price), ["transaction_id", "original_price_inr"], "raw_sales"),
+    "q_clean_price": Query(_one("original_price_inr", lambda d: d.withColumn(
+        "original_price_inr", parse_price("original_price_inr"))), ["transaction_id", "original_price_inr"], "raw_sales"),
     "q_clean_flags": Query(_flags, ["transaction_id", "is_prime_member", "is_festival_sale", "is_prime_eligible"],
                            "raw_sales"),
     "q_clean_delivery": Query(cleaning.clean_delivery, ["transaction_id", "delivery_days"], "raw_sales"),
@@ -227,7 +231,7 @@ QUERIES: dict[str, Query] = {
     "q_profile_describe": Query(profiling.profile_describe, _PROFILED, "raw_sales"),
     "q_missing_map": Query(lambda d: profiling.missing_map(d, "l_partkey", 20), ["l_partkey", *_PROFILED], "raw_sales"),
     "q_value_counts": Query(lambda d: profiling.value_counts(
-        d.withColumn("customer_city", normalize_city("customer_city")), "customer_city", 10), ["customer_city"], "raw_sales"),
+        cleaning.clean_city(d), "customer_city", 10), ["customer_city"], "raw_sales"),
     "q_value_shares": Query(lambda d: profiling.value_shares(cleaning.fill_festival(d), "festival_name"),
                             ["festival_name"]),
     "q_corr_matrix": Query(lambda d: stats.corr_matrix(d, _NUMBERS), _NUMBERS),

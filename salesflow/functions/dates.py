@@ -11,32 +11,6 @@ def strip_date_text(c: Column | str) -> Column:
     return F.regexp_replace(F.trim(c), r"[^0-9\-/.]", "")
 
 
-def parse_order_date(c: Column | str, iso_swap: bool = True, pivot: int = 76) -> Column:
-    """Day-first reading of cleaned three-part (or eight-digit) date text; null where impossible.
-
-    A first part that is a year swaps day and month when that is possible (``2015-01-05`` is
-    1 May), as the source data was read; ``iso_swap=False`` reads such text plainly. Two-digit
-    years below ``pivot`` belong to 20xx, the others to 19xx.
-    """
-    text = F.regexp_replace(c, r"^(\d{4})(\d{2})(\d{2})$", "$1-$2-$3")
-    parts = F.split(text, r"[-/.]")
-    a, b, d = (F.get(parts, i) for i in range(3))
-    an, bn, dn = (x.try_cast("int") for x in (a, b, d))
-    year_first = (F.length(a) == 4) | (an > 31)
-    swapped = (dn <= 12) if iso_swap else F.lit(False)
-    day_first = (an > 12) | (bn <= 12)
-    year_text = F.when(year_first, a).otherwise(d)
-    short = year_text.try_cast("int")
-    year = (F.when(F.length(year_text) == 4, short)
-            .when(F.length(year_text) <= 2, short + F.when(short < pivot, 2000).otherwise(1900)))
-    month = F.when(year_first, F.when(swapped, dn).otherwise(bn)).otherwise(F.when(day_first, bn).otherwise(an))
-    day = F.when(year_first, F.when(swapped, bn).otherwise(dn)).otherwise(F.when(day_first, an).otherwise(bn))
-    shape_ok = text.rlike(r"^(\d{4}[-/.]\d{1,2}[-/.]\d{1,2}|\d{1,2}[-/.]\d{1,2}[-/.](\d{4}|\d{1,2}))$")
-    iso = F.concat_ws("-", F.lpad(year.cast("string"), 4, "0"), F.lpad(month.cast("string"), 2, "0"),
-                      F.lpad(day.cast("string"), 2, "0"))
-    return F.when(shape_ok & year.isNotNull(), iso.try_cast("date"))
-
-
 def month_start(c: Column | str) -> Column:
     return F.trunc(c, "MM")
 

@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from salesflow import fixed_values as fv
-
 
 def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
@@ -56,23 +54,3 @@ def cut(c: Column | str, edges: list, labels: list[str]) -> Column:
 def parse_price(c: Column | str) -> Column:
     """Number from currency text: keep digits and dots; null where that is not one number."""
     return F.regexp_replace(_col(c), r"[^0-9.]", "").try_cast("double")
-
-
-def delivery_number(c: Column | str) -> Column:
-    """Days from delivery text, bounded to 0..30; null where no number is given.
-
-    Whole-value words first, then the middle of ``2-5``, then the first number. Every value is a
-    multiple of a half in a fixed range.
-    """
-    text = _col(c).cast("string")
-    table = F.create_map(*[F.lit(x) for pair in fv.DELIVERY_WORDS.items() for x in pair])
-    text = F.coalesce(F.try_element_at(table, text), text)
-    low, high = (F.regexp_extract(text, r"(\d+)-(\d+)", i).try_cast("double") for i in (1, 2))
-    first = F.regexp_extract(text, r"(\d+)", 1).try_cast("double")
-    return clip(F.coalesce((low + high) / 2, first), 0.0, float(fv.MAX_DELIVERY_DAYS))
-
-
-def rating_number(c: Column | str) -> Column:
-    """First number in rating text; above 5 is null (``3/5`` is 3, ``8/10`` is null)."""
-    value = F.regexp_extract(_col(c).cast("string"), r"\d+\.?\d*", 0).try_cast("double")
-    return F.when(value <= fv.MAX_RATING, value)

@@ -26,12 +26,12 @@ def capitalize(c: Column | str) -> Column:
 def title_case(c: Column | str) -> Column:
     """Upper-case every letter that follows a non-letter (``delhi-ncr`` gives ``Delhi-Ncr``).
 
-    Built-in ``initcap`` restarts after white space only.
+    Built-in ``initcap`` restarts after spaces only, so a marked space is put behind every other
+    non-letter and taken out again.
     """
-    words = F.split(F.lower(_col(c)), r"(?<=\P{L})|(?=\P{L})")
-    return F.array_join(
-        F.transform(words, lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, 2, 2147483647))), ""
-    )
+    mark = "\u0001 "
+    spaced = F.regexp_replace(_col(c), r"([^\p{L} ])(?=\p{L})", "$1" + mark)
+    return F.replace(F.initcap(spaced), F.lit(mark), F.lit(""))
 
 
 def map_values(c: Column | str, mapping: dict[str, str]) -> Column:
@@ -41,14 +41,6 @@ def map_values(c: Column | str, mapping: dict[str, str]) -> Column:
     return F.coalesce(F.try_element_at(table, c), c)
 
 
-def normalize_city(c: Column | str) -> Column:
-    return map_values(title_case(strip_text(c)), fv.CITY_SPELLINGS)
-
-
-def normalize_category(c: Column | str) -> Column:
-    return map_values(title_case(strip_text(c)), fv.CATEGORY_SPELLINGS)
-
-
 def map_state(c: Column | str) -> Column:
     return map_values(c, fv.STATE_NAMES)
 
@@ -67,8 +59,9 @@ def festival_key(c: Column | str) -> Column:
 
 def parse_flag(c: Column | str) -> Column:
     """Mixed yes/no/1/0/true/false text to boolean; anything else is null."""
-    text = F.lower(strip_text(_col(c).cast("string")))
-    return F.when(text.isin(fv.TRUE_WORDS), True).when(text.isin(fv.FALSE_WORDS), False)
+    words = [(w, flag) for flag, ws in ((True, fv.TRUE_WORDS), (False, fv.FALSE_WORDS)) for w in ws]
+    table = F.create_map(*[F.lit(x) for pair in words for x in pair])
+    return F.try_element_at(table, F.lower(strip_text(_col(c).cast("string"))))
 
 
 def is_returned(c: Column | str) -> Column:

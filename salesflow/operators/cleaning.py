@@ -1,4 +1,8 @@
-"""Cleaning operators and the whole cleaning pipeline."""
+"""Cleaning operators and the whole cleaning pipeline.
+
+Steps that use a parsed text more than once put it in a helper column first: inside a CASE branch
+Spark would evaluate the text functions again for every use.
+"""
 
 from __future__ import annotations
 
@@ -6,9 +10,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from salesflow import fixed_values as fv
-from salesflow.functions.dates import parse_order_date, strip_date_text
-from salesflow.functions.numeric import clip, delivery_number, parse_price, rating_number
-from salesflow.functions.text import capitalize, normalize_category, normalize_city, parse_flag
+from salesflow.functions.dates import strip_date_text
+from salesflow.functions.numeric import clip, parse_price
+from salesflow.functions.text import capitalize, map_values, parse_flag, strip_text, title_case
 from salesflow.operators.filters import divide_where
 from salesflow.operators.ordering import exact_median, exact_quantiles
 from salesflow.session import materialize
@@ -43,22 +47,87 @@ def dedup_transactions(df: DataFrame, order_cols: list[str], key: str = "transac
     return picked.select(*[F.col(c) if c == key else F.col(f"row.{c}").alias(c) for c in df.columns])
 
 
+def normalize_text(df: DataFrame, col: str, spellings: dict[str, str]) -> DataFrame:
+    """Trim, title-case and replace known misspellings."""
+    return df.withColumn(col, title_case(strip_text(col))).withColumn(col, map_values(col, spellings))
+
+
+def clean_city(df: DataFrame, col: str = "customer_city") -> DataFrame:
+    return normalize_text(df, col, fv.CITY_SPELLINGS)
+
+
+def clean_category(df: DataFrame, col: str = "category") -> DataFrame:
+    return normalize_text(df, col, fv.CATEGORY_SPELLINGS)
+
+
+def clean_dates(df: DataFrame, col: str = "order_date", iso_swap: bool = True, pivot: int = 76) -> DataFrame:
+    """Day-first reading of three-part (or eight-digit) date text; null where impossible.
+
+    A first part that is a year swaps day and month when that is possible (``2015-01-05`` is
+    1 May), as the source data was read; ``iso_swap=False`` reads such text plainly. Two-digit
+    years below ``pivot`` belong to 20xx, the others to 19xx.
+    """
+    plain = F.regexp_replace(strip_date_text(col), r"^(\d{4})(\d{2})(\d{2})$", "$1-$2-$3")
+    out = df.withColumn("_parts", F.split(plain, r"[-/.]"))
+    out = out.withColumns({f"_t{i}": F.when(F.size("_parts") == 3, F.get("_parts", F.lit(i))) for i in range(3)})
+    out = out.withColumns({f"_n{i}": F.col(f"_t{i}").try_cast("int") for i in range(3)})
+    a, b, c = (F.col(f"_n{i}") for i in range(3))
+    year_first = (F.length("_t0") == 4) | (a > 31)
+    swapped = (c <= 12) if iso_swap else F.lit(False)
+    day_first = (a > 12) | (b <= 12)
+    month = F.when(year_first, F.when(swapped, c).otherwise(b)).otherwise(F.when(day_first, b).otherwise(a))
+    day = F.when(year_first, F.when(swapped, b).otherwise(c)).otherwise(F.when(day_first, a).otherwise(b))
+    out = out.withColumns({
+        "_year": F.when(year_first, a).otherwise(c), "_month": month, "_day": day,
+        "_digits": F.length(F.when(year_first, F.col("_t0")).otherwise(F.col("_t2"))),
+        "_short": F.length(F.when(year_first, F.col("_t2")).otherwise(F.col("_t0"))) <= 2})
+    century = F.when(F.col("_year") < pivot, 2000).otherwise(1900)
+    year = F.when(F.col("_digits") == 4, F.col("_year")).when(F.col("_digits") <= 2, F.col("_year") + century)
+    iso = F.concat(F.lpad(year.cast("string"), 4, "0"), F.lit("-"), F.lpad(F.col("_month").cast("string"), 2, "0"),
+                   F.lit("-"), F.lpad(F.col("_day").cast("string"), 2, "0"))
+    fits = F.col("_short") & F.col("_month").between(1, 12) & F.col("_day").between(1, 31)
+    return out.withColumn(col, F.when(fits, iso).try_cast("date")).select(*df.columns)
+
+
+def _delivery_number(df: DataFrame, col: str) -> DataFrame:
+    """Days from delivery text, bounded to 0..30; null where no number is given.
+
+    Whole-value words first, then the middle of ``2-5``, then the first number. Every value is a
+    multiple of a half in a fixed range.
+    """
+    out = df.withColumn(col, map_values(F.col(col).cast("string"), fv.DELIVERY_WORDS))
+    low, high = (F.regexp_extract(col, r"(\d+)-(\d+)", i).try_cast("double") for i in (1, 2))
+    first = F.regexp_extract(col, r"(\d+)", 1).try_cast("double")
+    span = F.when(F.col(col).contains("-"), (low + high) / 2)
+    out = out.withColumn(col, F.coalesce(span, first))
+    return out.withColumn(col, clip(col, 0.0, float(fv.MAX_DELIVERY_DAYS)))
+
+
 def clean_delivery(df: DataFrame, col: str = "delivery_days") -> DataFrame:
     """Delivery text to whole days; missing is the median (taken after bounding), fractions are cut off.
 
-    The values are multiples of a half between 0 and 30, so the built-in median stays small.
+    The median reads each distinct text once. The values are multiples of a half between 0 and 30,
+    so the built-in percentile stays small.
     """
-    days = delivery_number(col)
-    mid = df.select(days.alias("d")).agg(F.median("d")).scalar()
-    return df.withColumn(col, F.coalesce(days, mid).cast("int"))
+    counts = _delivery_number(df.groupBy(col).agg(F.count(F.lit(1)).alias("w")), col)
+    mid = counts.agg(F.percentile(col, F.lit(0.5), F.col("w"))).scalar()
+    days = _delivery_number(df, col)
+    return days.withColumn(col, F.coalesce(F.col(col), mid).cast("int"))
+
+
+def _rating_number(df: DataFrame, col: str) -> DataFrame:
+    """First number in rating text; above 5 is null (``3/5`` is 3, ``8/10`` is null)."""
+    out = df.withColumn(col, F.regexp_extract(F.col(col).cast("string"), r"\d+\.?\d*", 0).try_cast("double"))
+    return out.withColumn(col, F.when(F.col(col) <= fv.MAX_RATING, F.col(col)))
 
 
 def clean_rating(df: DataFrame, col: str = "customer_rating", fill: str | None = "median") -> DataFrame:
     """Rating text to a number up to 5; missing is the exact median, or stays null with ``fill=None``."""
-    value = rating_number(col)
-    if fill == "median":
-        value = F.coalesce(value, exact_median(df.select(value.alias("r")), "r"))
-    return df.withColumn(col, value)
+    out = _rating_number(df, col)
+    if fill != "median":
+        return out
+    counts = _rating_number(df.groupBy(col).agg(F.count(F.lit(1)).alias("w")), col)
+    return out.withColumn(col, F.coalesce(F.col(col), exact_median(counts, col, "w")))
 
 
 def fill_festival(df: DataFrame) -> DataFrame:
@@ -107,18 +176,14 @@ def clean_sales(raw: DataFrame, order_cols: list[str], iso_swap: bool = True) ->
     """
     df = fill_mode_by_group(raw, "customer_age_group", "category")
     prices = [c for c in fv.PRICE_COLUMNS[1:] if c in df.columns]
-    df = df.withColumns({
+    df = clean_city(clean_dates(df, iso_swap=iso_swap)).withColumns({
         "product_name": capitalize("product_name"),
-        "order_date": parse_order_date(strip_date_text("order_date"), iso_swap),
         "original_price_inr": parse_price(F.col("original_price_inr").cast("string")),
-        "customer_city": normalize_city("customer_city"),
         **{c: F.col(c).try_cast("double") for c in prices},
     })
     df = materialize(dedup_transactions(df, order_cols))
-    df = fill_festival(clean_delivery(df)).withColumns({
-        **{c: parse_flag(c) for c in FLAGS if c in df.columns},
-        "category": normalize_category("category"),
-    })
+    df = clean_category(fill_festival(clean_delivery(df))).withColumns(
+        {c: parse_flag(c) for c in FLAGS if c in df.columns})
     df = fix_scale_errors(df)
     df = cap_iqr(df, [c for c in fv.CAPPED_COLUMNS if c in df.columns])
     return clean_rating(df)

@@ -46,14 +46,15 @@ def values_at_ranks(df: DataFrame, groups: list[str], sort_cols: list[str], weig
 
 
 def exact_quantiles(df: DataFrame, value: str, probs: list[float], names: list[str], groups: list[str] = (),
-                    few_groups: bool = False) -> DataFrame:
+                    few_groups: bool = False, weight: str | None = None) -> DataFrame:
     """Linear-interpolated quantiles per group (null values left out), plus ``n``.
 
-    Values are first counted per distinct value, so repeats never leave their map task.
+    Values are first counted per distinct value, so repeats never leave their map task. ``weight``
+    names a column that says how often each row counts.
     """
     groups = list(groups)
-    counts = not_null(df.select(*groups, value), groups + [value]).groupBy(*groups, value).agg(
-        F.count(F.lit(1)).alias("w"))
+    times = F.sum(weight) if weight else F.count(F.lit(1))
+    counts = not_null(df, groups + [value]).groupBy(*groups, value).agg(times.alias("w"))
 
     def wanted(n: Column) -> Column:
         out = []
@@ -76,9 +77,9 @@ def exact_quantiles(df: DataFrame, value: str, probs: list[float], names: list[s
     return got.groupBy(*groups).agg(F.max("n").alias("n"), *out)
 
 
-def exact_median(df: DataFrame, value: str) -> Column:
+def exact_median(df: DataFrame, value: str, weight: str | None = None) -> Column:
     """The median of a column as a scalar subquery (null if there is no value)."""
-    return exact_quantiles(df, value, [0.5], ["m"], few_groups=True).select("m").scalar()
+    return exact_quantiles(df, value, [0.5], ["m"], few_groups=True, weight=weight).select("m").scalar()
 
 
 def quintile_scores(df: DataFrame, key: str, metrics: dict[str, tuple[str, bool]]) -> DataFrame:

@@ -50,12 +50,12 @@ def profile_describe(df: DataFrame) -> DataFrame:
     quartiles of number columns. Booleans and dates are described as text."""
     numbers = [c for c, t in df.dtypes if t.startswith(_NUMBER)]
     texts = [c for c in df.columns if c not in numbers]
-    null_text, null_num, null_int = (F.lit(None).cast(t) for t in ("string", "double", "bigint"))
+    null_text, null_num = F.lit(None).cast("string"), F.lit(None).cast("double")
     parts = []
     if texts:
         t = _long_counts(df, texts).groupBy("column").agg(
-            F.sum("w").alias("count"), F.count(F.lit(1)).alias("unique"),
-            F.min_by("value", F.struct(-F.col("w"), F.col("value"))).alias("top"), F.max("w").alias("freq"))
+            F.sum("w").alias("count"), F.count(F.lit(1)).cast("double").alias("unique"),
+            F.min_by("value", F.struct(-F.col("w"), F.col("value"))).alias("top"), F.max("w").cast("double").alias("freq"))
         parts.append(t.select("column", "count", "unique", "top", "freq",
                               *[null_num.alias(c) for c in ("mean", "std", "min", "p25", "p50", "p75", "max")]))
     if numbers:
@@ -66,7 +66,7 @@ def profile_describe(df: DataFrame) -> DataFrame:
                                        F.max("value").alias("max"))
         q = exact_quantiles(long, "value", [0.25, 0.5, 0.75], ["p25", "p50", "p75"], ["column"], few_groups=True)
         parts.append(m.join(q.drop("n"), "column", "left").select(
-            "column", "count", null_int.alias("unique"), null_text.alias("top"), null_int.alias("freq"),
+            "column", "count", null_num.alias("unique"), null_text.alias("top"), null_num.alias("freq"),
             "mean", "std", "min", "p25", "p50", "p75", "max"))
     return parts[0].unionByName(parts[1]) if len(parts) == 2 else parts[0]
 

@@ -14,15 +14,21 @@ _BOX_PROBS = [0.0, 0.25, 0.5, 0.75, 1.0]
 
 
 def corr_matrix(df: DataFrame, cols: list[str], groups: list[str] = ()) -> DataFrame:
-    """Long Pearson matrix over complete pairs; booleans count as 0/1. One pass for all pairs."""
+    """Long Pearson matrix over complete pairs; booleans count as 0/1.
+
+    Each row yields its complete pairs and one small set of moments is kept per pair, combined on
+    the map side. One wide aggregate over all pairs would outgrow the generated code instead.
+    """
     groups = list(groups)
-    as_num = {c: F.col(c).cast("double") for c in cols}
+    nums = not_null(df, groups).select(*groups, *[F.col(c).cast("double").alias(c) for c in cols])
     pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i:]]
-    agg = not_null(df, groups).groupBy(*groups).agg(
-        *[safe_corr(as_num[a], as_num[b]).alias(f"{a}|{b}") for a, b in pairs])
-    cells = [F.struct(F.lit(x).alias("col_x"), F.lit(y).alias("col_y"), F.col(f"`{a}|{b}`").alias("corr"))
-             for a, b in pairs for x, y in ({(a, b), (b, a)})]
-    return agg.select(*groups, F.inline(F.array(*cells)))
+    cells = F.array(*[F.struct(F.lit(k).alias("pair"), F.col(a).alias("x"), F.col(b).alias("y"))
+                      for k, (a, b) in enumerate(pairs)])
+    moments = (nums.select(*groups, F.inline(cells)).groupBy(*groups, "pair")
+               .agg(safe_corr("x", "y").alias("corr")))
+    names = F.array(*[F.array(*[F.struct(F.lit(x).alias("col_x"), F.lit(y).alias("col_y"))
+                                for x, y in sorted({(a, b), (b, a)})]) for a, b in pairs])
+    return moments.select(*groups, "corr", F.inline(F.get(names, F.col("pair")))).select(*groups, "col_x", "col_y", "corr")
 
 
 def ols_by(df: DataFrame, x: str, y: str, groups: list[str]) -> DataFrame:
