@@ -30,8 +30,8 @@ def _describe_text(c: str) -> str:
 
 def _describe_number(c: str) -> str:
     return f"""SELECT '{c}' AS "column", count({c}) AS "count", NULL::DOUBLE AS "unique", NULL::VARCHAR AS top, NULL::DOUBLE AS freq,
-  round(avg({c}), 6), round(stddev_samp({c}), 6), round(min({c}), 6), round(quantile_cont({c}, 0.25), 6),
-  round(quantile_cont({c}, 0.5), 6), round(quantile_cont({c}, 0.75), 6), round(max({c}), 6) FROM raw_sales"""
+  round(avg({c}), 8), round(stddev_samp({c}), 8), round(min({c}), 8), round(quantile_cont({c}, 0.25), 8),
+  round(quantile_cont({c}, 0.5), 8), round(quantile_cont({c}, 0.75), 8), round(max({c}), 8) FROM raw_sales"""
 
 
 SQL = {

@@ -49,11 +49,10 @@ class Query:
 
 def _raw_prices(raw: DataFrame) -> DataFrame:
     """Number prices of the raw view, derived from its price text."""
-    price = parse_price("original_price_inr")
-    discounted = price * (1 - F.col("l_discount"))
-    return raw.withColumns({"original_price_inr": price, "discounted_price_inr": discounted,
-                            "subtotal_inr": discounted * F.col("l_quantity"),
-                            "final_amount_inr": discounted * F.col("l_quantity")})
+    out = raw.withColumn("original_price_inr", parse_price("original_price_inr"))
+    out = out.withColumn("discounted_price_inr", F.col("original_price_inr") * (1 - F.col("l_discount")))
+    amount = F.col("discounted_price_inr") * F.col("l_quantity")
+    return out.withColumns({"subtotal_inr": amount, "final_amount_inr": amount})
 
 
 def _pipeline(raw: DataFrame) -> DataFrame:
@@ -228,7 +227,7 @@ QUERIES: dict[str, Query] = {
     "q_profile_shape": Query(profiling.profile_shape, _PROFILED, "raw_sales"),
     "q_profile_nulls": Query(profiling.profile_nulls, _PROFILED, "raw_sales"),
     "q_profile_nunique": Query(profiling.profile_nunique, _PROFILED, "raw_sales"),
-    "q_profile_describe": Query(profiling.profile_describe, _PROFILED, "raw_sales"),
+    "q_profile_describe": Query(profiling.profile_describe, _PROFILED, "raw_sales", digits=PRICE_DIGITS),
     "q_missing_map": Query(lambda d: profiling.missing_map(d, "l_partkey", 20), ["l_partkey", *_PROFILED], "raw_sales"),
     "q_value_counts": Query(lambda d: profiling.value_counts(
         cleaning.clean_city(d), "customer_city", 10), ["customer_city"], "raw_sales"),

@@ -20,15 +20,16 @@ def corr_matrix(df: DataFrame, cols: list[str], groups: list[str] = ()) -> DataF
     the map side. One wide aggregate over all pairs would outgrow the generated code instead.
     """
     groups = list(groups)
-    nums = not_null(df, groups).select(*groups, *[F.col(c).cast("double").alias(c) for c in cols])
-    pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i:]]
-    cells = F.array(*[F.struct(F.lit(k).alias("pair"), F.col(a).alias("x"), F.col(b).alias("y"))
-                      for k, (a, b) in enumerate(pairs)])
-    moments = (nums.select(*groups, F.inline(cells)).groupBy(*groups, "pair")
-               .agg(safe_corr("x", "y").alias("corr")))
-    names = F.array(*[F.array(*[F.struct(F.lit(x).alias("col_x"), F.lit(y).alias("col_y"))
-                                for x, y in sorted({(a, b), (b, a)})]) for a, b in pairs])
-    return moments.select(*groups, "corr", F.inline(F.get(names, F.col("pair")))).select(*groups, "col_x", "col_y", "corr")
+    values = F.array(*[F.col(c).cast("double") for c in cols]).alias("v")
+    pairs = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"))
+                      for i in range(len(cols)) for j in range(i, len(cols))])
+    long = not_null(df, groups).select(*groups, values).select(*groups, "v", F.inline(pairs))
+    moments = (long.select(*groups, "i", "j", F.get("v", "i").alias("x"), F.get("v", "j").alias("y"))
+               .groupBy(*groups, "i", "j").agg(safe_corr("x", "y").alias("corr")))
+    both = F.array(F.struct(F.col("i").alias("a"), F.col("j").alias("b")), F.struct(F.col("j").alias("a"), F.col("i").alias("b")))
+    cells = moments.select(*groups, "corr", F.inline(F.array_distinct(both)))
+    name = F.array(*[F.lit(c) for c in cols])
+    return cells.select(*groups, F.get(name, "a").alias("col_x"), F.get(name, "b").alias("col_y"), "corr")
 
 
 def ols_by(df: DataFrame, x: str, y: str, groups: list[str]) -> DataFrame:

@@ -9,12 +9,13 @@ last, so a heavy customer or product never sits on the partitioning that an aggr
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _PRICE = "l_extendedprice / l_quantity"
 _AMOUNT = "l_extendedprice * (1 - l_discount)"
-_DATE = "cast(o_orderdate as date)"
 _FESTIVAL = """case
     when month(o_orderdate) = 10 and day(o_orderdate) between 20 and 24 then 'Diwali Sale'
     when month(o_orderdate) = 7 and day(o_orderdate) between 15 and 16 then 'Prime Day'
@@ -28,7 +29,7 @@ _FESTIVAL = """case
 SALES = {
     "transaction_id": ("concat_ws('_', cast(l_orderkey as string), cast(l_linenumber as string), "
                        "cast(l_partkey as string), cast(l_suppkey as string))", ""),
-    "order_date": (_DATE, "orders"),
+    "order_date": ("o_orderdate", "orders"),
     "customer_id": ("o_custkey", "orders"),
     "product_id": ("l_partkey", ""),
     "product_name": ("p_name", "part"),
@@ -132,7 +133,12 @@ _NEEDS = {"": set(), "part": {"part"}, "orders": {"orders"}, "customer": {"order
 
 
 def view(spark: SparkSession, sf_dir: str, name: str, columns: list[str] | None = None) -> DataFrame:
-    """``sales`` or ``raw_sales`` with ``columns`` (all by default)."""
+    """``sales`` or ``raw_sales`` with ``columns`` (all by default).
+
+    The session setting ``salesflow.view.spread`` names a number of partitions to spread the line
+    items over. Set it only where the table is one small file with a single row group, which Spark
+    reads in one task; it is unset by default, and large tables need no such exchange.
+    """
     spec = VIEWS[name]
     columns = columns or list(spec)
     tables = set().union(*(_NEEDS[spec[c][1]] for c in columns))
@@ -141,10 +147,16 @@ def view(spark: SparkSession, sf_dir: str, name: str, columns: list[str] | None
         return spark.read.schema(TABLES[table]).parquet(f"{sf_dir}/{table}.parquet")
 
     lines = read("lineitem")
+    spread = spark.conf.get("salesflow.view.spread", None)
+    if spread:
+        used = set(re.findall(r"\bl_\w+", " ".join(spec[c][0] for c in columns)))
+        used |= {"l_orderkey"} | ({"l_partkey"} if "part" in tables else set())
+        lines = lines.select(*sorted(used)).repartition(int(spread), "l_orderkey")
     if "part" in tables:
         lines = lines.join(read("part"), F.col("l_partkey") == F.col("p_partkey"))
     if "orders" in tables:
-        orders = read("orders")
+        # one date per order, not one per line item
+        orders = read("orders").withColumn("o_orderdate", F.col("o_orderdate").cast("date"))
         if "customer" in tables:
             customers = read("customer")
             if "nation" in tables:
