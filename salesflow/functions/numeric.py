@@ -12,8 +12,8 @@ def _col(c: Column | str) -> Column:
 
 def safe_div(a: Column | str, b: Column | str) -> Column:
     """``a / b``; null where ``b`` is zero."""
-    b = _col(b)
-    return _col(a) / F.nullif(b, F.lit(0).cast("double"))
+    b = _col(b).cast("double")
+    return _col(a) / F.nullif(b, F.lit(0.0))
 
 
 def clip(c: Column | str, lo, hi) -> Column:

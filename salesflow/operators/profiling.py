@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from salesflow.functions.numeric import safe_div
 from salesflow.functions.text import strip_text
+from salesflow.operators.aggregate import top_n
 from salesflow.operators.filters import find_products
 from salesflow.operators.ordering import exact_quantiles
-from salesflow.operators.aggregate import top_n
 
 _NUMBER = ("tinyint", "smallint", "int", "bigint", "float", "double", "decimal")
 
@@ -78,8 +78,8 @@ def value_counts(df: DataFrame, col: str, n: int | None = None) -> DataFrame:
 
 def value_shares(df: DataFrame, col: str) -> DataFrame:
     counts = df.where(F.col(col).isNotNull()).groupBy(col).agg(F.count(F.lit(1)).alias("n"))
-    share = safe_div(F.col("n"), F.sum("n").over(Window.partitionBy())) * 100
-    return counts.select(col, share.alias("share_pct"))
+    rows = df.where(F.col(col).isNotNull()).agg(F.count(F.lit(1))).scalar()
+    return counts.select(col, (safe_div(F.col("n"), rows) * 100).alias("share_pct"))
 
 
 def missing_map(df: DataFrame, key: str, buckets: int) -> DataFrame:

@@ -83,7 +83,7 @@ def clv_by_customer(sales: DataFrame) -> DataFrame:
 
 
 def clv_histogram(sales: DataFrame, bins: int = 40) -> DataFrame:
-    return histogram(clv_by_customer(sales), "clv", bins, alias="customers")
+    return histogram(materialize(clv_by_customer(sales)), "clv", bins, alias="customers")
 
 
 def clv_by_tier(sales: DataFrame) -> DataFrame:
@@ -196,7 +196,7 @@ def loyalty_evolution(sales: DataFrame) -> DataFrame:
     """
     yearly = not_null(sales, ["order_year", "customer_id"]).groupBy("order_year", "customer_id").agg(
         F.count(F.lit(1)).alias("yearly_orders"))
-    counts = yearly.groupBy("order_year", "yearly_orders").agg(F.count(F.lit(1)).alias("w"))
+    counts = materialize(yearly.groupBy("order_year", "yearly_orders").agg(F.count(F.lit(1)).alias("w")))
     q = counts.agg(F.percentile(F.col("yearly_orders").cast("double"), F.array(*[F.lit(p) for p in (.25, .5, .75)]),
                                 F.col("w"))).scalar()
     x = F.col("yearly_orders")

@@ -37,7 +37,11 @@ def tier_growth(sales: DataFrame) -> DataFrame:
 # ---- festivals ----
 
 def _daily(sales: DataFrame, extra: list[str] = ()) -> DataFrame:
-    """Revenue per day and festival. Keyword tests run on distinct names, not on fact rows."""
+    """Revenue per day and festival. Keyword tests run on distinct names, not on fact rows.
+
+    Callers that read it more than once store it: it is as small as the calendar, while filters
+    pushed into each use would otherwise turn them into separate scans of the sales.
+    """
     rows = not_null(sales, ["order_date"]).groupBy("order_date", "order_year", "festival_name", *extra).agg(
         total(AMOUNT).alias("revenue"))
     return rows.withColumn("festival", festival_key("festival_name"))
@@ -61,7 +65,7 @@ def _window_days(dates: DataFrame, before: int, after: int) -> DataFrame:
 
 def festival_impact(sales: DataFrame, before_days: int = 15, after_days: int = 15) -> DataFrame:
     """All sales before, on and after each festival's first day, and the lift over the mean day before."""
-    daily = _daily(sales)
+    daily = materialize(_daily(sales))
     days = _window_days(_first_days(daily), before_days, after_days)
     per_day = daily.groupBy("order_date").agg(F.sum("revenue").alias("revenue"))
     d, f = F.col("order_date"), F.col("festival_date")
@@ -82,7 +86,7 @@ def festival_avg_lift(sales: DataFrame, before_days: int = 15, after_days: int =
 def festival_series(sales: DataFrame, festival: str | None = None, before_days: int = 15,
                     after_days: int = 15) -> DataFrame:
     """Daily revenue around every date of one festival (or of all); days without sales are absent."""
-    daily = _daily(sales)
+    daily = materialize(_daily(sales))
     dates = _first_days(daily)
     if festival:
         dates = dates.where(F.col("festival") == festival)
@@ -94,12 +98,12 @@ def festival_series(sales: DataFrame, festival: str | None = None, before_days:
 def festival_subcategory_lift(sales: DataFrame, festival: str | None = None, before_days: int = 15,
                               n: int = 10) -> DataFrame:
     """Subcategories with the highest lift on the latest date of each festival over the window before it."""
-    daily = _daily(not_null(sales, ["subcategory"]), ["subcategory"])
-    # the dates come from all rows; a row without a subcategory still marks its festival
-    dates = _first_days(_daily(sales)).groupBy("festival").agg(F.max("festival_date").alias("festival_date"))
+    daily = materialize(_daily(sales, ["subcategory"]))
+    # a row without a subcategory still marks the date of its festival
+    dates = _first_days(daily).groupBy("festival").agg(F.max("festival_date").alias("festival_date"))
     if festival:
         dates = dates.where(F.col("festival") == festival)
-    per_day = daily.groupBy("order_date", "subcategory").agg(F.sum("revenue").alias("revenue"))
+    per_day = not_null(daily, ["subcategory"]).groupBy("order_date", "subcategory").agg(F.sum("revenue").alias("revenue"))
     d, f = F.col("order_date"), F.col("festival_date")
     out = _window_days(dates, before_days, 0).join(per_day, "order_date").groupBy("festival", "subcategory").agg(
         total(F.when(d < f, F.col("revenue"))).alias("before_sales"),

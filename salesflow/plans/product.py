@@ -12,6 +12,7 @@ from salesflow.operators.aggregate import (AMOUNT, group_sum, not_null, pct_chan
 from salesflow.operators.filters import semi_top
 from salesflow.operators.stats import corr_matrix, histogram, ols_by
 from salesflow.schema import require_columns
+from salesflow.session import materialize
 
 
 # ---- categories ----
@@ -38,8 +39,9 @@ def category_avg_growth(sales: DataFrame) -> DataFrame:
 # ---- brands ----
 
 def _brand_years(sales: DataFrame) -> DataFrame:
-    return not_null(sales, ["order_year", "brand"]).groupBy("order_year", "brand").agg(
-        total(AMOUNT).alias("revenue"), F.count(AMOUNT).alias("n"))
+    """Yearly brand revenue, stored since both the ranking and the result read it."""
+    return materialize(not_null(sales, ["order_year", "brand"]).groupBy("order_year", "brand").agg(
+        total(AMOUNT).alias("revenue"), F.count(AMOUNT).alias("n")))
 
 
 def _top_brands(years: DataFrame, n: int) -> DataFrame:
@@ -113,7 +115,7 @@ def launches_per_year(sales: DataFrame) -> DataFrame:
 
 
 def time_to_peak_histogram(sales: DataFrame, bins: int = 24) -> DataFrame:
-    return histogram(product_lifecycle(sales), "time_to_peak_months", bins, alias="products")
+    return histogram(materialize(product_lifecycle(sales)), "time_to_peak_months", bins, alias="products")
 
 
 def product_curve(sales: DataFrame, product_name: str | None = None, product_id=None) -> DataFrame:
