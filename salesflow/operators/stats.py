@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from salesflow.functions.numeric import safe_corr, safe_div
+from salesflow.functions.numeric import cut, safe_corr, safe_div
 from salesflow.operators.aggregate import not_null
 from salesflow.operators.ordering import exact_quantiles
+from salesflow.session import materialize
 
 BOX = ["min", "q1", "median", "q3", "max"]
 _BOX_PROBS = [0.0, 0.25, 0.5, 0.75, 1.0]
@@ -120,3 +123,25 @@ def box_of_counts(counts: DataFrame, col: str, weight: str, groups: list[str]) -
     q = F.percentile(F.col(col).cast("double"), F.array(*[F.lit(p) for p in _BOX_PROBS]), F.col(weight))
     return (counts.groupBy(*groups).agg(q.alias("q"), F.sum(weight).alias("n"))
             .select(*groups, *[F.col("q")[i].alias(name) for i, name in enumerate(BOX)], "n"))
+
+
+def qcut(df: DataFrame, col: str, labels: list[str], groups: list[str], fixed_edges: list, alias: str) -> DataFrame:
+    """Label of the equal-frequency bin inside the row's group.
+
+    Bins are right-closed and the lowest edge belongs to the first. Where two edges coincide (equal
+    to six decimals) the group falls back to ``fixed_edges``. The edges of all groups are a stored
+    table: Spark broadcasts it if its file is small and joins by shuffle, splitting skew, if not.
+    """
+    k = len(labels)
+    names = [f"_edge{i}" for i in range(k + 1)]
+    edges = exact_quantiles(df, col, [i / k for i in range(k + 1)], names, groups, few_groups=not groups).drop("n")
+    if groups:
+        out = df.join(materialize(edges), groups, "left")
+    else:
+        out = df.withColumn("_edges", edges.select(F.struct(*names)).scalar()).select("*", "_edges.*")
+    edge = [F.round(n, 6) for n in names]
+    x = F.round(F.col(col).cast("double"), 6)
+    position = sum((F.when(x > e, 1).otherwise(0) for e in edge[1:-1]), F.lit(0))
+    coincide = reduce(lambda a, b: a | b, [a == b for a, b in zip(edge, edge[1:])])
+    label = F.when(coincide, cut(col, fixed_edges, labels)).otherwise(F.get(F.array(*[F.lit(t) for t in labels]), position))
+    return out.withColumn(alias, F.when(x.isNotNull(), label)).select(*df.columns, alias)

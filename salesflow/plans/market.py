@@ -6,11 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from salesflow import fixed_values as fv
-from salesflow.functions.numeric import cut, safe_div, to_number0, total
+from salesflow.functions.numeric import safe_div, to_number0, total
 from salesflow.functions.text import festival_key, map_state
 from salesflow.operators.aggregate import AMOUNT, group_sum, not_null, pct_change, share_of, top_n, top_n_per
 from salesflow.operators.ordering import exact_quantiles
-from salesflow.operators.stats import box_summary
+from salesflow.operators.stats import box_summary, qcut
 from salesflow.schema import require_columns
 from salesflow.session import materialize
 
@@ -147,29 +147,13 @@ def price_box(sales: DataFrame, n: int = 10) -> DataFrame:
 def price_tiers(sales: DataFrame, n: int = 10) -> DataFrame:
     """Revenue share of five price tiers for the leading brands of each subcategory.
 
-    Tiers are the price quintiles of the subcategory, or fixed edges where quintiles coincide. The
-    edges are a stored table with one row per subcategory: Spark broadcasts it if its file is
-    small and joins by shuffle (with skew splitting) if not.
+    Tiers are the price quintiles of the subcategory, or fixed edges where quintiles coincide.
     """
-    rows = _priced(sales)
-    probs = [0.0, 0.2, 0.4, 0.6, 0.8, 1.0]
-    names = [f"e{i}" for i in range(6)]
-    edges = materialize(exact_quantiles(rows, "discounted_price_inr", probs, names, ["subcategory"]).drop("n"))
-    e = [F.round(name, 6) for name in names]
-    price = F.round("discounted_price_inr", 6)
-    tier = F.lit(1)
-    for x in e[1:5]:
-        tier = tier + F.when(price > x, 1).otherwise(0)
-    same = F.lit(False)
-    for a, b in zip(e, e[1:]):
-        same = same | (a == b)
-    fixed = cut("discounted_price_inr", fv.PRICE_TIER_EDGES, [str(i) for i in range(1, 6)]).cast("int")
-    tiered = rows.join(edges, "subcategory").select(
-        "subcategory", "brand", AMOUNT, F.when(same, fixed).otherwise(tier).alias("tier"))
+    tiered = qcut(_priced(sales), "discounted_price_inr", fv.PRICE_TIERS, ["subcategory"], fv.PRICE_TIER_EDGES, "tier")
     cols = ["tier_" + t.lower().replace(" ", "_") for t in fv.PRICE_TIERS]
     sums = tiered.groupBy("subcategory", "brand").agg(
         F.sum(AMOUNT).alias("revenue"),
-        *[total(F.when(F.col("tier") == i + 1, F.col(AMOUNT))).alias(c) for i, c in enumerate(cols)])
+        *[total(F.when(F.col("tier") == t, F.col(AMOUNT))).alias(c) for t, c in zip(fv.PRICE_TIERS, cols)])
     whole = sum((F.col(c) for c in cols[1:]), F.col(cols[0]))
     best = top_n_per(sums, n, "revenue", ["subcategory"], ["brand"])
     return best.select("subcategory", "brand", *[

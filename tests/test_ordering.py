@@ -5,8 +5,9 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from salesflow import fixed_values as fv
 from salesflow.operators.ordering import exact_quantiles, quintile_scores
-from salesflow.operators.stats import box_summary
+from salesflow.operators.stats import box_summary, qcut
 from salesflow.session import materialize
 
 PROBS = [0.0, 0.1, 0.25, 0.5, 0.75, 0.9, 1.0]
@@ -63,3 +64,17 @@ def test_quintiles_match_ranks_under_ties(spark):
     assert len(merged) == 1500 and (merged.s == merged.s_want).all()
     sizes = got.s.value_counts()
     assert sizes.max() - sizes.min() <= 1
+
+
+@pytest.mark.parametrize("groups", [[], ["g"]])
+def test_qcut(spark, groups):
+    rng = np.random.default_rng(5)
+    pdf = pd.DataFrame({"g": "wide", "v": np.round(rng.uniform(1, 20000, 400), 2)})
+    flat = pd.DataFrame({"g": "flat", "v": [700.0] * 9 + [0.0, 20000.0]}) if groups else pdf[:0]
+    df = spark.createDataFrame(pd.concat([pdf, flat]))
+    got = qcut(df, "v", fv.PRICE_TIERS, groups, fv.PRICE_TIER_EDGES, "t").toPandas()
+    wide = got[got.g == "wide"]
+    assert list(wide.t) == list(pd.qcut(wide.v, 5, labels=fv.PRICE_TIERS).astype(str))
+    if groups:  # coinciding quintiles: fixed right-closed edges, 0 belongs to none
+        assert dict(got[got.g == "flat"][["v", "t"]].drop_duplicates().values.tolist()) == {
+            700.0: "Low", 0.0: None, 20000.0: "Premium"}
