@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from salesflow import fixed_values as fv
 from salesflow.functions.dates import month_start
-from salesflow.functions.numeric import safe_div, total
-from salesflow.operators.aggregate import (AMOUNT, arg_extremes, dense, group_sum, not_null, pct_change)
+from salesflow.functions.numeric import total
+from salesflow.operators.aggregate import AMOUNT, arg_extremes, dense, group_sum, not_null, pct_change
 from salesflow.operators.stats import trend
 from salesflow.sources.tables import between_years
 
