@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -43,16 +45,64 @@ def shared_folder(spark: SparkSession) -> str:
     global _local_folder
     if _local_folder is None:
         _local_folder = tempfile.mkdtemp(prefix="salesflow-")
+        atexit.register(shutil.rmtree, _local_folder, ignore_errors=True)
     return _local_folder
 
 
+class Scratch:
+    """A folder below the shared one that holds the intermediates of one piece of work.
+
+    Used as a context manager it takes every ``materialize`` call made inside the block and deletes
+    the folder at its end, so results must be written or counted before. Without a block all
+    intermediates of a session go to one scratch folder, which is deleted when Python exits.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.path = f"{shared_folder(spark).rstrip('/')}/salesflow-{uuid.uuid4().hex}"
+
+    def new(self, kind: str = "table") -> str:
+        """A fresh path inside the folder."""
+        return f"{self.path}/{kind}-{uuid.uuid4().hex}"
+
+    def close(self) -> None:
+        try:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        except Exception:  # noqa: BLE001 - the session may be gone already; its folder's lifetime rule is left then
+            pass
+
+    def __enter__(self) -> Scratch:
+        _open.append(self)
+        return self
+
+    def __exit__(self, *_) -> None:
+        _open.remove(self)
+        self.close()
+
+
+_open: list[Scratch] = []
+_by_session: dict[str, Scratch] = {}
+
+
+def scratch(spark: SparkSession) -> Scratch:
+    """The innermost open scratch folder, or the one of the session."""
+    if _open:
+        return _open[-1]
+    app = spark.sparkContext.applicationId
+    if app not in _by_session:
+        _by_session[app] = Scratch(spark)
+        atexit.register(_by_session[app].close)
+    return _by_session[app]
+
+
 def materialize(df: DataFrame) -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back.
+    """Write ``df`` once to the scratch folder and read it back; this runs a Spark job now.
 
     Use it for an intermediate that several later steps read: it is computed once, its values no
     longer change between reads (float sums do), it survives lost executors, and Spark then knows
     its real size, so a later join broadcasts it only if that size is below the threshold.
     """
-    path = f"{shared_folder(df.sparkSession).rstrip('/')}/salesflow-{uuid.uuid4().hex}"
+    path = scratch(df.sparkSession).new()
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
