@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from salesflow.llm import mixing, quality, suffix_dedup, url_filters
+from salesflow.llm import mixing, phrase_dedup, quality, suffix_dedup, url_filters
 
 QUERIES = {
     "op2_url_filters": url_filters.query,
     "op3_suffix_dedup": suffix_dedup.query,
     "op4_quality_rules": quality.query,
+    "op5_phrase_dedup": phrase_dedup.query,
     "op8_mix_sources": mixing.query,
 }
 ORACLES = {
