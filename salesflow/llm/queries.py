@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from salesflow.llm import mixing, phrase_dedup, quality, suffix_dedup, url_filters
+from salesflow.llm import mixing, near_dedup, phrase_dedup, quality, suffix_dedup, url_filters
 
 QUERIES = {
     "op2_url_filters": url_filters.query,
@@ -10,6 +10,7 @@ QUERIES = {
     "op4_quality_rules": quality.query,
     "op5_phrase_dedup": phrase_dedup.query,
     "op8_mix_sources": mixing.query,
+    "op10_near_dedup": near_dedup.query,
 }
 ORACLES = {
     "op2_url_filters": url_filters.SQL,
