@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from salesflow.llm import mixing, near_dedup, phrase_dedup, quality, suffix_dedup, url_filters
+from salesflow.llm import mixing, near_dedup, phrase_dedup, quality, suffix_dedup, token_files, url_filters
 
 QUERIES = {
     "op2_url_filters": url_filters.query,
     "op3_suffix_dedup": suffix_dedup.query,
     "op4_quality_rules": quality.query,
     "op5_phrase_dedup": phrase_dedup.query,
+    "op6_token_files": token_files.query,
     "op8_mix_sources": mixing.query,
     "op10_near_dedup": near_dedup.query,
 }
