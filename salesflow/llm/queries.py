@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from salesflow.llm import mixing, near_dedup, phrase_dedup, quality, suffix_dedup, token_files, url_filters
+from salesflow.llm import mixing, near_dedup, phrase_dedup, quality, suffix_dedup, token_files, url_filters, warc
 
 QUERIES = {
+    "op1_warc": warc.query,
     "op2_url_filters": url_filters.query,
     "op3_suffix_dedup": suffix_dedup.query,
     "op4_quality_rules": quality.query,
@@ -14,6 +15,7 @@ QUERIES = {
     "op10_near_dedup": near_dedup.query,
 }
 ORACLES = {
+    "op1_warc": warc.SQL,
     "op2_url_filters": url_filters.SQL,
     "op8_mix_sources": mixing.SQL,
 }
