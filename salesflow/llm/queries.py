@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from salesflow.llm import decontamination, mixing, near_dedup, phrase_dedup, quality, suffix_dedup, token_files, url_filters, warc
+from salesflow.llm import decontamination, mixing, near_dedup, phrase_dedup, quality, suffix_dedup, token_files, toxicity, url_filters, warc
 
 QUERIES = {
     "op1_warc": warc.query,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_quality_rules": quality.query,
     "op5_phrase_dedup": phrase_dedup.query,
     "op6_token_files": token_files.query,
+    "op7_toxicity": toxicity.query,
     "op8_mix_sources": mixing.query,
     "op9_decontamination": decontamination.query,
     "op10_near_dedup": near_dedup.query,
