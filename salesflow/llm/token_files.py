@@ -161,17 +161,19 @@ def _write_rows(folder: str, tokenizer: str):
     return rows
 
 
-def write_tokens(docs: DataFrame, folder: str, tokenizer: str, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """Encode every text, append END_ID, and write the ids in ascending order of ``key`` to ``folder``.
+def write_tokens(docs: DataFrame, folder: str, tokenizer: str, text: str = "text", key: str = "doc_id", order: list[str] | None = None) -> DataFrame:
+    """Encode every text, append END_ID, and write the ids in ascending order of ``key`` (or ``order``) to ``folder``.
 
     Returns the stored index, one row per input row: doc (the key), file, first (place in the file), n (ids) and start
     (ids of all rows before it). Null texts are empty and have the end id alone; null keys come first;
     rows that repeat a key follow each other in the order of their texts' hashes. Only files that the index
     names count: a task that ran twice leaves a file that nothing points to. Runs jobs when called.
     """
-    rows = docs.select(F.col(key).cast("bigint").alias("doc"), F.col(text).cast("string").alias("text"),
+    columns = [F.col(c).alias(f"order_{i}") for i, c in enumerate(order or [key])]
+    rows = docs.select(F.col(key).cast("bigint").alias("doc"), F.col(text).cast("string").alias("text"), *columns,
                        F.xxhash64(F.col(text)).alias("text_hash"))
-    ordered = rows.repartitionByRange("doc", "text_hash").sortWithinPartitions("doc", "text_hash")
+    by = [*[f"order_{i}" for i in range(len(columns))], "text_hash"]
+    ordered = rows.repartitionByRange(*by).sortWithinPartitions(*by)
     ordered = ordered.select("doc", F.spark_partition_id().cast("bigint").alias("part"), "text")
     index = materialize(ordered.mapInArrow(_write_rows(folder, tokenizer), _PLACES))
     # the partitions are ranges of keys in ascending order; a few totals per partition give its start
@@ -223,8 +225,8 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "documents"))
 
 
-def round_trip(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
+def round_trip(docs: DataFrame, tokenizer: str | None = None, order: list[str] | None = None) -> DataFrame:
     """Write the token files of ``docs`` and describe each document from what is read back."""
     folder = scratch(docs.sparkSession).new("ids")
-    index = write_tokens(docs, folder, tokenizer or default_tokenizer())
+    index = write_tokens(docs, folder, tokenizer or default_tokenizer(), order=order)
     return read_tokens(index, folder, with_ids=False).select(F.col("doc").alias("doc_id"), "start", F.col("n").alias("n_tokens"), F.col("crc").alias("ids_crc32"))
