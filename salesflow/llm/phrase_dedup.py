@@ -2,7 +2,7 @@
 
 Every window of ``length`` words has a seed, the smallest of its word grams. Only windows whose seed occurs
 again can recur, so the pieces of text around recurring seeds are dealt out by seed. Each shard confirms
-which windows recur, compiles them into an automaton, and streams its pieces through it to locate every
+which phrases recur, compiles them into an automaton, and streams its pieces through it to locate every
 occurrence. A window is spelled as a few letters, each the hash of LETTER consecutive words.
 """
 
@@ -13,7 +13,7 @@ from collections.abc import Iterator
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from salesflow.llm.suffix_dedup import NO_KEY
@@ -77,32 +77,59 @@ def _piece_rows(length: int):
     return rows
 
 
-def confirmed_windows(pieces: list[tuple[np.ndarray, int]], times: list[int], length: int) -> list[tuple[int, ...]]:
-    """The distinct windows, as letters, that occur at two places or more in the pieces of a shard."""
+def _alone(of: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """For each id in ``of``: whether all its places have the same entry (0 or more) in ``other``."""
+    order = np.argsort(of, kind="stable")
+    opens = np.flatnonzero(np.append(True, np.diff(of[order]) != 0))
+    low, high = np.minimum.reduceat(other[order], opens), np.maximum.reduceat(other[order], opens)
+    return (low == high) & (low >= 0)
+
+
+def confirmed_phrases(pieces: list[tuple[np.ndarray, int]], times: list[int], length: int) -> list[tuple[tuple[int, ...], int]]:
+    """The phrases that occur at two places or more in the pieces of a shard: their first window, as letters,
+    and their number of windows.
+
+    Recurring windows that always follow each other, wherever they stand, form one phrase, so its first window
+    stands for all of them.
+    """
     picks = np.arange(0, length, LETTER)
+    sizes = np.array([n for _, n in pieces])
     rows = np.concatenate([letters[np.arange(n)[:, None] + picks] for letters, n in pieces])
-    weight = np.repeat(times, [n for _, n in pieces])
     code = np.zeros(len(rows), np.uint64)
     for column in rows.T.astype(np.uint64):
         code = mixed(code + column)
-    _, first, back = np.unique(code, return_index=True, return_inverse=True)
-    often = np.bincount(back, weights=weight) >= 2
-    return list(map(tuple, rows[first[often]].tolist()))
-
-
-def locate(pieces: list[tuple[np.ndarray, int]], patterns: list[tuple[int, ...]]) -> list[np.ndarray]:
-    """For each piece the starts of its windows that are among the patterns, found by one automaton."""
-    if not patterns:
-        return [np.zeros(0, np.int64)] * len(pieces)
-    machine = ahocorasick.Automaton(ahocorasick.STORE_LENGTH, ahocorasick.KEY_SEQUENCE)
-    for pattern in patterns:
-        machine.add_word(pattern)
+    _, first, window = np.unique(code, return_index=True, return_inverse=True)
+    often = (np.bincount(window, weights=np.repeat(times, sizes)) >= 2)[window]
+    opens = np.cumsum(sizes) - sizes
+    before, after = np.append(-1, window[:-1]), np.append(window[1:], -1)
+    before[opens], after[opens + sizes - 1] = -1, -1
+    goes_on = often & np.append(often[1:], False) & _alone(window, after)[window]
+    glued = np.append(False, goes_on[:-1]) & _alone(window, before)[window]
+    glued[opens] = False
+    ends = np.append(np.flatnonzero(~glued), len(rows))
+    heads = first[often[first] & ~glued[first]]
+    return list(zip(map(tuple, rows[heads].tolist()), (ends[np.searchsorted(ends, heads) + 1] - heads).tolist()))
+
+
+def locate(pieces: list[tuple[np.ndarray, int]], phrases: list[tuple[tuple[int, ...], int]]) -> list[list[tuple[int, int]]]:
+    """For each piece the runs of windows (first, number) of the phrases in it, found by one automaton."""
+    if not phrases:
+        return [[]] * len(pieces)
+    machine = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
+    for spelled, n in phrases:
+        machine.add_word(spelled, n)
     machine.make_automaton()
+    back = LETTER * (len(phrases[0][0]) - 1)
     found = []
     for letters, _ in pieces:
-        hits = [phase + LETTER * (end - size + 1) for phase in range(LETTER)
-                for end, size in machine.iter(tuple(letters[phase::LETTER].tolist()))]
-        found.append(np.sort(np.array(hits, np.int64)))
+        hits = sorted((phase + LETTER * end - back, n) for phase in range(LETTER) for end, n in machine.iter(tuple(letters[phase::LETTER].tolist())))
+        runs: list[list[int]] = []
+        for start, n in hits:
+            if runs and start <= runs[-1][0] + runs[-1][1]:
+                runs[-1][1] = max(runs[-1][1], start + n - runs[-1][0])
+            else:
+                runs.append([start, n])
+        found.append([tuple(r) for r in runs])
     return found
 
 
@@ -110,13 +137,9 @@ def _search_shards(length: int):
     def settle(held: dict[tuple[int, bytes], tuple[int, set]]) -> pa.RecordBatch:
         pieces = [(np.frombuffer(letters, np.uint32), n) for (_, letters), (n, _) in held.items()]
         spots = [s for _, s in held.values()]
-        patterns = confirmed_windows(pieces, [len(s) for s in spots], length)
-        out = []
-        for where, starts in zip(spots, locate(pieces, patterns)):
-            if len(starts):
-                opens = np.flatnonzero(np.append(True, np.diff(starts) > 1))
-                runs = list(zip(starts[opens].tolist(), np.diff(np.append(opens, len(starts))).tolist()))
-                out += [(doc, text_hash, start + first, n) for doc, text_hash, start in where for first, n in runs]
+        phrases = confirmed_phrases(pieces, [len(s) for s in spots], length)
+        out = [(doc, text_hash, start + first, n) for where, runs in zip(spots, locate(pieces, phrases)) if runs
+               for doc, text_hash, start in where for first, n in runs]
         return pa.record_batch([pa.array(x, pa.int64()) for x in (zip(*out) if out else [[]] * 4)], names=["doc", "text_hash", "start", "n"])
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -160,11 +183,13 @@ def _cut_rows(length: int):
 def repeated_phrases(rows: DataFrame, length: int) -> DataFrame:
     """(doc, text_hash, start, n): runs of n starts of windows whose words occur at another place too.
 
-    Stores two intermediates, so jobs run when it is called.
+    Stores three intermediates, so jobs run when it is called.
     """
     seeds = rows.mapInArrow(_seed_rows(length), _SEEDS)
-    times = F.count(F.lit(1)).over(Window.partitionBy("route"))
-    spots = materialize(seeds.withColumn("times", times).where("times > 1").select(
+    seeds = materialize(seeds)
+    # counts are combined before their shuffle; the join back may split a hot seed's rows
+    again = seeds.groupBy("route").agg(F.count(F.lit(1)).alias("times")).where("times > 1")
+    spots = materialize(seeds.join(again.hint("shuffle_hash"), "route").select(
         "doc", "text_hash", "route", "start", "n", (F.col("times") > HOT_SPOTS).alias("hot")))
     lists = spots.groupBy("doc", "text_hash").agg(F.collect_set(F.struct("route", "start", "n", "hot")).alias("spots"))
     lists = lists.withColumnsRenamed({"doc": "d", "text_hash": "h"}).hint("shuffle_hash")
