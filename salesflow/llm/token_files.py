@@ -18,6 +18,7 @@ import re
 import struct
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +40,12 @@ _SEAM = re.compile(r"(?<=\S)(?= \S)")
 _ODD = re.compile(r"\s\s")
 
 
+@lru_cache(maxsize=2)
+def encoder_for(path: str) -> PieceEncoder:
+    """The encoder of a Python worker; its memory outlives the task, as workers run many tasks."""
+    return PieceEncoder(path)
+
+
 class PieceEncoder:
     """Encodes texts piece by piece and remembers the ids of pieces it has seen.
 
@@ -128,7 +135,7 @@ class CodeFile:
 def _write_rows(folder: str, tokenizer: str):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")   # the tasks are the parallelism
-        encoder = PieceEncoder(tokenizer)
+        encoder = encoder_for(tokenizer)
         store, path = open_store(folder)
         store.create_dir(path, recursive=True)
         held: list[np.ndarray] = []
