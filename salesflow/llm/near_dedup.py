@@ -153,7 +153,7 @@ class _Linker:
         return materialize(texts.select("sid", "text").mapInArrow(_full_rows, _FULL).dropDuplicates(["sid"]))
 
     def link(self, pairs: DataFrame) -> None:
-        """Test the pairs whose sides are not connected yet: each set's best ones first, then more, then all."""
+        """Test the pairs whose sides are not connected yet: each set's best ones first, then all."""
         sketch = self.sets.select("sid", "sketch")
         for side in "ab":
             pairs = pairs.join(sketch.withColumnsRenamed({"sid": side, "sketch": f"sketch_{side}"}), side)
@@ -163,7 +163,7 @@ class _Linker:
             return
         full = self.full_sets(pairs)
         tested = None
-        for most in (1, 8, None):
+        for most in (2, None):
             still = pairs if tested is None else pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
             still = self.rooted(still).where("ra <> rb")
             if most:
