@@ -43,9 +43,9 @@ SELECT CASE WHEN r_score >= 4 AND f_score >= 4 AND m_score >= 4 THEN 'Champions'
   count(*) AS customers FROM scores GROUP BY segment"""),
     "q_cohort_retention": on_sales(_FIRST, _COHORT, """
 SELECT cohort_month, months_since, customers, cohort_size, round(customers / cohort_size, 6) AS retention_rate FROM retention"""),
-    "q_cohort_matrix": on_sales(_FIRST, _COHORT, "\nSELECT cohort_month, " + ", ".join(
-        f"round(max(CASE WHEN months_since = {m} THEN customers / cohort_size END), 6) AS m{m}" for m in range(80))
-        + " FROM retention GROUP BY cohort_month"),
+    "q_cohort_matrix": on_sales(_FIRST, _COHORT, """
+SELECT * FROM (PIVOT (SELECT cohort_month, 'm' || months_since AS since, round(customers / cohort_size, 6) AS rate FROM retention)
+  ON since USING max(rate))"""),
     "q_clv_customer": on_sales(_CLV, "SELECT customer_id, round(clv, 6) AS clv FROM clv"),
     "q_clv_histogram": on_sales(_CLV, *histogram_parts("clv", "clv", 40, alias="customers", digits=2)),
     "q_clv_by_tier": on_sales(_CLV, """tiers AS (SELECT customer_id, arg_min(customer_tier, order_date) AS customer_tier

@@ -78,11 +78,17 @@ SELECT transaction_id, order_year, brand, round(final_amount_inr, 6) AS final_am
 WHERE order_year = (SELECT max(order_year) FROM sales) AND brand = 'Brand#7'"""),
     "q_filter_options": on_sales("SELECT DISTINCT brand FROM sales WHERE brand IS NOT NULL"),
     "q_load_years": on_sales("""
+SELECT order_year, order_month, order_month_name, count(*) AS n_rows, round(sum(final_amount_inr), 2) AS revenue FROM sales GROUP BY ALL"""),
+    "q_load_year_list": on_sales("""
 SELECT order_year, order_month, order_month_name, count(*) AS n_rows, round(sum(final_amount_inr), 2) AS revenue FROM sales
-WHERE order_year IN (1996, 1998) GROUP BY ALL"""),
+WHERE order_year IN (1890, 1996, 1998) GROUP BY ALL"""),
     "q_union_years": on_sales("""
-SELECT order_year, count(*) AS n_rows, count(CASE WHEN order_year = 1997 THEN customer_rating END) AS n_rated FROM sales
-WHERE order_year IN (1996, 1997) GROUP BY order_year"""),
+SELECT order_year, count(*) AS n_rows, count(CASE WHEN order_year % 2 = 1 THEN customer_rating END) AS n_rated FROM sales GROUP BY order_year"""),
+    "q_csv_raw": on_raw("SELECT transaction_id, brand, customer_city FROM raw_sales"),
+    "q_csv_clean": on_sales("""
+SELECT order_year, order_month, count(*) AS n_rows, round(sum(final_amount_inr), 2) AS revenue FROM sales GROUP BY ALL"""),
+    "q_profile_types": """SELECT * FROM (VALUES ('transaction_id', 'string'), ('order_date', 'date'), ('quantity', 'bigint'),
+  ('final_amount_inr', 'double'), ('is_prime_member', 'boolean')) AS t("column", "type")""",
     "q_sample_rows": on_sales("""
 SELECT transaction_id, order_date, round(final_amount_inr, 6) AS final_amount_inr FROM sales
 ORDER BY transaction_id, sales.final_amount_inr LIMIT 5"""),

@@ -1,7 +1,7 @@
 from oracle.views import on_sales
 
 _YEARLY = """yearly AS (SELECT order_year, sum(final_amount_inr) AS rev FROM sales
-  WHERE order_year BETWEEN 1995 AND 2001 GROUP BY order_year)"""
+  WHERE order_year IS NOT NULL GROUP BY order_year)"""
 _YOY = """yoy AS (SELECT order_year, rev, (rev / nullif(lag(rev) OVER (ORDER BY order_year), 0) - 1) * 100 AS pct
   FROM yearly)"""
 _MONTHS = """months AS (SELECT unnest(range(1, 13))::INTEGER AS order_month)"""

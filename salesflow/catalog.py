@@ -14,6 +14,8 @@ from salesflow.functions.numeric import parse_price
 from salesflow.functions.text import capitalize, parse_flag
 from salesflow.operators import cleaning, filters, profiling, stats
 from salesflow.plans import customer, discount, market, payment, product, revenue
+from salesflow.schema import CLEAN_SCHEMA
+from salesflow.session import scratch
 from salesflow.sources import tables
 from salesflow.sources.star import view
 
@@ -21,8 +23,6 @@ MONEY_DIGITS = 2   # large sums of money
 OTHER_DIGITS = 6   # means, rates, coefficients
 PRICE_DIGITS = 8   # row prices of the raw view, which end within seven decimals
 AMT = "final_amount_inr"
-YEARS = (1995, 2001)  # span of the test tables
-COHORT_MONTHS = list(range(80))  # 1995-01 .. 2001-08
 BRAND = "Brand#12"
 RAW_ORDER = ["l_shipdate", "l_partkey", "l_suppkey"]
 
@@ -78,28 +78,62 @@ _NUMBERS = ["original_price_inr", "discount_percent", "discounted_price_inr", "q
             "is_prime_member", "is_festival_sale"]
 
 
-def _load_years(df: DataFrame) -> DataFrame:
-    """Two years as the loader hands them out, with re-derived date parts."""
-    got = tables.with_date_parts(df).where(F.col("order_year").isin(1996, 1998))
-    return got.groupBy("order_year", "order_month", "order_month_name").agg(
+def _stored_by_year(df: DataFrame) -> str:
+    """The rows, stored one folder per year: even years written first, odd years appended."""
+    path = scratch(df.sparkSession).new("sales")
+    odd = F.pmod(F.col("order_year"), F.lit(2)) == 1
+    tables.write_by_year(df.where(~odd), path)
+    tables.append_sales(df.where(odd), path)
+    return path
+
+
+def _per_month(df: DataFrame) -> DataFrame:
+    return df.groupBy("order_year", "order_month", "order_month_name").agg(
         F.count(F.lit(1)).alias("n_rows"), F.sum(AMT).alias("revenue"))
 
 
+def _load_years(years: list[int] | None) -> Callable[[DataFrame], DataFrame]:
+    """Write by year, append, load (all years, or those listed; a year without data gives no rows)."""
+    def build(df: DataFrame) -> DataFrame:
+        path = _stored_by_year(df)
+        return _per_month(tables.load_sales(df.sparkSession, path, years))
+    return build
+
+
 def _union(df: DataFrame) -> DataFrame:
-    """Union by name of yearly slices, one of which lacks the rating column."""
-    a = df.where(F.col("order_year") == 1996).drop("customer_rating")
-    b = df.where(F.col("order_year") == 1997)
-    both = tables.union_years([b, a])
+    """Union by name of a slice per year, of which those of even years lack the rating column."""
+    path = _stored_by_year(df)
+    stored = tables.load_sales(df.sparkSession, path)
+    years = sorted(r.order_year for r in stored.select("order_year").distinct().collect() if r.order_year is not None)
+    frames = [stored.where(F.col("order_year") == y) for y in years]
+    frames = [f.drop("customer_rating") if y % 2 == 0 else f for y, f in zip(years, frames)]
+    both = tables.union_years(frames or [stored])
     return both.groupBy("order_year").agg(F.count(F.lit(1)).alias("n_rows"), F.count("customer_rating").alias("n_rated"))
 
 
+def _csv_raw(df: DataFrame) -> DataFrame:
+    """Raw text columns through a CSV export and the untyped reader."""
+    path = scratch(df.sparkSession).new("csv")
+    tables.write_csv(df, path)
+    return tables.read_raw_csv(df.sparkSession, path).select(*df.columns) if df.take(1) else df
+
+
+def _csv_clean(df: DataFrame) -> DataFrame:
+    """All columns through a CSV export and the typed reader; columns the source lacks are written empty."""
+    path = scratch(df.sparkSession).new("csv")
+    have = set(df.columns)
+    tables.write_csv(df.select(*[(F.col(f.name) if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name) for f in CLEAN_SCHEMA]), path)
+    return tables.read_clean_csv(df.sparkSession, path).groupBy("order_year", "order_month").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.sum(AMT).alias("revenue"))
+
+
 QUERIES: dict[str, Query] = {
     # revenue and business health
-    "q_rev_yearly": Query(lambda d: revenue.yearly(d, *YEARS), ["order_year", AMT], money=("revenue_inr",)),
-    "q_rev_cagr": Query(lambda d: revenue.cagr(d, *YEARS), ["order_year", AMT], money=("start_revenue", "end_revenue")),
-    "q_rev_trend": Query(lambda d: revenue.yearly_trend(d, *YEARS), ["order_year", AMT],
+    "q_rev_yearly": Query(revenue.yearly, ["order_year", AMT], money=("revenue_inr",)),
+    "q_rev_cagr": Query(revenue.cagr, ["order_year", AMT], money=("start_revenue", "end_revenue")),
+    "q_rev_trend": Query(revenue.yearly_trend, ["order_year", AMT],
                          money=("revenue_inr", "trend_inr")),
-    "q_rev_best_worst": Query(lambda d: revenue.best_worst_years(d, *YEARS), ["order_year", AMT], money=("revenue_inr",)),
+    "q_rev_best_worst": Query(revenue.best_worst_years, ["order_year", AMT], money=("revenue_inr",)),
     "q_rev_month_grid": Query(revenue.month_grid, ["order_year", "order_month", AMT], money=("revenue",)),
     "q_rev_peak_months": Query(revenue.peak_months, ["order_month", AMT], money=("revenue",)),
     "q_rev_top_month": Query(revenue.top_month, ["order_month", AMT], money=("revenue",)),
@@ -121,7 +155,7 @@ QUERIES: dict[str, Query] = {
     "q_rfm_scores": Query(customer.rfm_scores, ["customer_id", "transaction_id", "order_date", AMT]),
     "q_rfm_segments": Query(customer.rfm_segments, ["customer_id", "transaction_id", "order_date", AMT]),
     "q_cohort_retention": Query(customer.cohort_retention, ["customer_id", "order_date"]),
-    "q_cohort_matrix": Query(lambda d: customer.cohort_matrix(d, COHORT_MONTHS), ["customer_id", "order_date"]),
+    "q_cohort_matrix": Query(customer.cohort_matrix, ["customer_id", "order_date"]),
     "q_clv_customer": Query(customer.clv_by_customer, ["customer_id", AMT]),
     "q_clv_histogram": Query(customer.clv_histogram, ["customer_id", AMT], money=("bin_lo", "bin_hi")),
     "q_clv_by_tier": Query(customer.clv_by_tier, ["customer_id", "customer_tier", "order_date", AMT], money=("avg_clv",)),
@@ -230,7 +264,7 @@ QUERIES: dict[str, Query] = {
     "q_profile_describe": Query(profiling.profile_describe, _PROFILED, "raw_sales", digits=PRICE_DIGITS),
     "q_missing_map": Query(lambda d: profiling.missing_map(d, "l_partkey", 20), ["l_partkey", *_PROFILED], "raw_sales"),
     "q_value_counts": Query(lambda d: profiling.value_counts(
-        cleaning.clean_city(d), "customer_city", 10), ["customer_city"], "raw_sales"),
+        d, "customer_city", 10, cleaning.clean_city), ["customer_city"], "raw_sales"),
     "q_value_shares": Query(lambda d: profiling.value_shares(cleaning.fill_festival(d), "festival_name"),
                             ["festival_name"]),
     "q_corr_matrix": Query(lambda d: stats.corr_matrix(d, _NUMBERS), _NUMBERS),
@@ -252,7 +286,11 @@ QUERIES: dict[str, Query] = {
     "q_filters_latest": Query(lambda d: filters.apply_filters(d, brands=["Brand#7"]),
                               ["transaction_id", "order_year", "brand", AMT]),
     "q_filter_options": Query(lambda d: filters.filter_options(d, "brand"), ["brand"]),
-    "q_load_years": Query(_load_years, ["order_date", "order_year", AMT], money=("revenue",)),
-    "q_union_years": Query(_union, ["order_year", "customer_rating"]),
+    "q_load_years": Query(_load_years(None), ["order_date", "order_year", AMT], money=("revenue",)),
+    "q_load_year_list": Query(_load_years([1890, 1996, 1998]), ["order_date", "order_year", AMT], money=("revenue",)),
+    "q_union_years": Query(_union, ["order_date", "order_year", "customer_rating"]),
+    "q_csv_raw": Query(_csv_raw, ["transaction_id", "brand", "customer_city"], "raw_sales"),
+    "q_csv_clean": Query(_csv_clean, ["transaction_id", "order_year", "order_month", AMT], money=("revenue",)),
+    "q_profile_types": Query(profiling.profile_types, ["transaction_id", "order_date", "quantity", AMT, "is_prime_member"]),
     "q_sample_rows": Query(lambda d: tables.sample_rows(d, 5, ["transaction_id", AMT]), ["transaction_id", "order_date", AMT]),
 }

@@ -1,8 +1,8 @@
 """Exact order statistics from a stored, range-partitioned table.
 
-The keys are sorted across the cluster and stored, one file per key range, so a heavy group spans
-many files and no task holds a whole group. Row counts per file (combined on the map side) show
-which file holds each wanted rank; only the rows of those files are ordered again.
+The keys are dealt out by range and stored with the number of their range, so a heavy group spans many
+ranges and no task holds a whole group. Weights per range (combined on the map side) show which range
+holds each wanted rank; only those ranges are read and ordered.
 """
 
 from __future__ import annotations
@@ -25,12 +25,11 @@ def values_at_ranks(df: DataFrame, groups: list[str], sort_cols: list[str], weig
     otherwise it is stored and Spark joins it according to its size.
     """
     keys = groups + sort_cols
-    stored = materialize(df.repartitionByRange(*keys).sortWithinPartitions(*keys))
-    # file names carry the range number, so their order is the order of the key ranges
-    rows = stored.withColumn("bucket", F.col("_metadata.file_name"))
-    file_order = [F.length("bucket"), F.col("bucket")]
+    # range partitions are numbered in the order of their keys
+    ranged = df.repartitionByRange(*keys).withColumn("bucket", F.spark_partition_id())
+    rows = materialize(ranged, by=["bucket"])
     cells = rows.groupBy(*groups, "bucket").agg(F.sum(weight).alias("w"))
-    run = Window.partitionBy(*groups).orderBy(*file_order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    run = Window.partitionBy(*groups).orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     cells = cells.select(*groups, "bucket", "w", F.sum("w").over(run).alias("bucket_end"),
                          F.sum("w").over(Window.partitionBy(*groups)).alias("n"))
     start = F.col("bucket_end") - F.col("w")

@@ -10,6 +10,7 @@ from salesflow.functions.text import strip_text
 from salesflow.operators.aggregate import top_n
 from salesflow.operators.filters import find_products
 from salesflow.operators.ordering import exact_quantiles
+from salesflow.session import materialize
 
 _NUMBER = ("tinyint", "smallint", "int", "bigint", "float", "double", "decimal")
 
@@ -71,15 +72,18 @@ def profile_describe(df: DataFrame) -> DataFrame:
     return parts[0].unionByName(parts[1]) if len(parts) == 2 else parts[0]
 
 
-def value_counts(df: DataFrame, col: str, n: int | None = None) -> DataFrame:
+def value_counts(df: DataFrame, col: str, n: int | None = None, clean=None) -> DataFrame:
+    """How often each value occurs; ``clean`` (a function of a frame) is applied to the distinct values only."""
     counts = df.where(F.col(col).isNotNull()).groupBy(col).agg(F.count(F.lit(1)).alias("n"))
+    if clean is not None:
+        counts = clean(counts).where(F.col(col).isNotNull()).groupBy(col).agg(F.sum("n").alias("n"))
     return top_n(counts, n, "n", [col]) if n else counts.orderBy(F.desc("n"), col)
 
 
 def value_shares(df: DataFrame, col: str) -> DataFrame:
-    counts = df.where(F.col(col).isNotNull()).groupBy(col).agg(F.count(F.lit(1)).alias("n"))
-    rows = df.where(F.col(col).isNotNull()).agg(F.count(F.lit(1))).scalar()
-    return counts.select(col, (safe_div(F.col("n"), rows) * 100).alias("share_pct"))
+    """Share of each value; the total is the sum of the counts, one row per distinct value."""
+    counts = materialize(df.where(F.col(col).isNotNull()).groupBy(col).agg(F.count(F.lit(1)).alias("n")))
+    return counts.select(col, (safe_div(F.col("n"), counts.agg(F.sum("n")).scalar()) * 100).alias("share_pct"))
 
 
 def missing_map(df: DataFrame, key: str, buckets: int) -> DataFrame:

@@ -95,25 +95,27 @@ def t_test_1samp(df: DataFrame, brand: str, measure: str) -> DataFrame:
 def histogram(df: DataFrame, col: str, bins: int, groups: list[str] = (), alias: str = "n") -> DataFrame:
     """Counts in equal-width bins between the smallest and largest value; empty bins are left out."""
     groups = list(groups)
-    df = df.select(*groups, F.col(col).cast("double").alias("x")).where(F.col("x").isNotNull())
-    df = not_null(df, groups)
-    span = df.agg(F.struct(F.min("x").alias("lo"), F.max("x").alias("hi"))).scalar()
+    rows = df.select(*groups, F.col(col).cast("double").alias("x")).where(F.col("x").isNotNull())
+    # counted once and stored: the range and the bins come from the distinct values, not from a second scan
+    counts = materialize(not_null(rows, groups).groupBy(*groups, "x").agg(F.count(F.lit(1)).alias("w")))
+    span = counts.agg(F.struct(F.min("x").alias("lo"), F.max("x").alias("hi"))).scalar()
     lo, width = span["lo"], (span["hi"] - span["lo"]) / bins
     raw = F.coalesce(F.floor(safe_div(F.col("x") - lo, width)), F.lit(0))
-    binned = df.select(*groups, F.greatest(F.least(raw, F.lit(bins - 1)), F.lit(0)).cast("int").alias("bin"))
-    return (binned.groupBy(*groups, "bin").agg(F.count(F.lit(1)).alias(alias))
+    binned = counts.select(*groups, F.greatest(F.least(raw, F.lit(bins - 1)), F.lit(0)).cast("int").alias("bin"), "w")
+    return (binned.groupBy(*groups, "bin").agg(F.sum("w").alias(alias))
             .select(*groups, "bin", (lo + F.col("bin") * width).alias("bin_lo"),
                     (lo + (F.col("bin") + 1) * width).alias("bin_hi"), alias))
 
 
-def box_summary(df: DataFrame, col: str, groups: list[str], few_values: bool = False) -> DataFrame:
+def box_summary(df: DataFrame, col: str, groups: list[str], few_values: bool = False, weight: str | None = None) -> DataFrame:
     """Five-number summary and count per group.
 
     ``few_values`` is for columns with a small fixed domain (days, order counts): the built-in
-    ``percentile`` then keeps only that many entries. Otherwise the exact distributed form is used.
+    ``percentile`` then keeps only that many entries. Otherwise the exact distributed form is used, in
+    which ``weight`` may say how often each row counts.
     """
     if not few_values:
-        return exact_quantiles(df, col, _BOX_PROBS, BOX, groups).select(*groups, *BOX, "n")
+        return exact_quantiles(df, col, _BOX_PROBS, BOX, groups, weight=weight).select(*groups, *BOX, "n")
     counts = not_null(df, groups + [col]).groupBy(*groups, col).agg(F.count(F.lit(1)).alias("w"))
     return box_of_counts(counts, col, "w", groups)
 
@@ -125,22 +127,28 @@ def box_of_counts(counts: DataFrame, col: str, weight: str, groups: list[str]) -
             .select(*groups, *[F.col("q")[i].alias(name) for i, name in enumerate(BOX)], "n"))
 
 
-def qcut(df: DataFrame, col: str, labels: list[str], groups: list[str], fixed_edges: list, alias: str) -> DataFrame:
+def qcut(df: DataFrame, col: str, labels: list[str], groups: list[str], fixed_edges: list, alias: str,
+         weight: str | None = None, digits: int | None = None) -> DataFrame:
     """Label of the equal-frequency bin inside the row's group.
 
-    Bins are right-closed and the lowest edge belongs to the first. Where two edges coincide (equal
-    to six decimals) the group falls back to ``fixed_edges``. The edges of all groups are a stored
-    table: Spark broadcasts it if its file is small and joins by shuffle, splitting skew, if not.
+    Bins are right-closed and the lowest edge belongs to the first. Where two edges coincide the group
+    falls back to ``fixed_edges``. ``weight`` says how often each row counts; ``digits`` compares values and
+    edges rounded to so many decimals (default: as they are). The edges of all groups are a stored table:
+    Spark broadcasts it if its file is small and joins by shuffle, splitting skew, if not.
     """
     k = len(labels)
     names = [f"_edge{i}" for i in range(k + 1)]
-    edges = exact_quantiles(df, col, [i / k for i in range(k + 1)], names, groups, few_groups=not groups).drop("n")
+    edges = exact_quantiles(df, col, [i / k for i in range(k + 1)], names, groups, few_groups=not groups, weight=weight).drop("n")
     if groups:
         out = df.join(materialize(edges), groups, "left")
     else:
         out = df.withColumn("_edges", edges.select(F.struct(*names)).scalar()).select("*", "_edges.*")
-    edge = [F.round(n, 6) for n in names]
-    x = F.round(F.col(col).cast("double"), 6)
+
+    def shown(c):
+        return c if digits is None else F.round(c, digits)
+
+    edge = [shown(F.col(n)) for n in names]
+    x = shown(F.col(col).cast("double"))
     position = sum((F.when(x > e, 1).otherwise(0) for e in edge[1:-1]), F.lit(0))
     coincide = reduce(lambda a, b: a | b, [a == b for a, b in zip(edge, edge[1:])])
     label = F.when(coincide, cut(col, fixed_edges, labels)).otherwise(F.get(F.array(*[F.lit(t) for t in labels]), position))

@@ -53,12 +53,13 @@ def rfm_segments(sales: DataFrame) -> DataFrame:
 def cohort_retention(sales: DataFrame) -> DataFrame:
     """Customers of each first-order month that order again n months later.
 
-    A customer gathers its distinct months (at most one per calendar month), combined on the map
-    side, so the fact rows are shuffled once and a heavy customer stays small.
+    Distinct (customer, month) pairs are found by a hash aggregate with fixed-width keys, combined on the
+    map side; everything after works on those pairs.
     """
     months = not_null(sales.select("customer_id", month_start("order_date").alias("month")), ["customer_id", "month"])
-    per = months.groupBy("customer_id").agg(F.collect_set("month").alias("months"))
-    active = per.select(F.array_min("months").alias("cohort_month"), F.explode("months").alias("month"))
+    pairs = months.groupBy("customer_id", "month").agg(F.count(F.lit(1)).alias("orders"))
+    first = F.min("month").over(Window.partitionBy("customer_id"))   # at most one row per calendar month
+    active = pairs.select(first.alias("cohort_month"), "month")
     counts = active.groupBy("cohort_month", months_apart(F.col("month"), F.col("cohort_month")).alias("months_since")).agg(
         F.count(F.lit(1)).alias("customers"))
     size = F.max(F.when(F.col("months_since") == 0, F.col("customers"))).over(Window.partitionBy("cohort_month"))
@@ -67,14 +68,15 @@ def cohort_retention(sales: DataFrame) -> DataFrame:
 
 
 def cohort_matrix(sales: DataFrame, months: list[int] | None = None) -> DataFrame:
-    """Retention with one column per month since the first order.
+    """Retention with one column per number of months since the first order that occurs (or that is asked for).
 
-    Without ``months`` the range comes from the first and last order date.
+    Finding the numbers is a job of its own; calendar months bound them, so no cell is left out.
     """
+    cells = cohort_retention(sales)
     if months is None:
-        lo, hi = sales.agg(F.min("order_date"), F.max("order_date")).first()
-        months = list(range((hi.year - lo.year) * 12 + hi.month - lo.month + 1)) if lo else [0]
-    wide = cohort_retention(sales).groupBy("cohort_month").pivot("months_since", months).agg(F.max("retention_rate"))
+        cells = materialize(cells)
+        months = sorted(r.months_since for r in cells.select("months_since").distinct().collect())
+    wide = cells.groupBy("cohort_month").pivot("months_since", months or [0]).agg(F.max("retention_rate"))
     return wide.select("cohort_month", *[F.col(f"`{m}`").alias(f"m{m}") for m in months])
 
 
@@ -139,7 +141,8 @@ def _tidied(agg: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def _tidy(df: DataFrame) -> DataFrame:
-    return df.drop("ord")
+    """Rows in the order of their labels (age groups, tiers, bands)."""
+    return df.orderBy("ord").drop("ord")
 
 
 def age_subcategory(sales: DataFrame) -> DataFrame:
@@ -202,7 +205,8 @@ def loyalty_evolution(sales: DataFrame) -> DataFrame:
     x = F.col("yearly_orders")
     tier = (F.when(x <= q[0], fv.LOYALTY_TIERS[0]).when(x <= q[1], fv.LOYALTY_TIERS[1])
             .when(x <= q[2], fv.LOYALTY_TIERS[2]).otherwise(fv.LOYALTY_TIERS[3]))
-    return counts.groupBy("order_year", tier.alias("loyalty_tier")).agg(F.sum("w").alias("customer_count"))
+    rows = counts.groupBy("order_year", tier.alias("loyalty_tier")).agg(F.sum("w").alias("customer_count"))
+    return rows.orderBy("order_year", F.array_position(F.array(*[F.lit(t) for t in fv.LOYALTY_TIERS]), F.col("loyalty_tier")))
 
 
 # ---- returns ----

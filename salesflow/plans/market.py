@@ -114,34 +114,38 @@ def festival_subcategory_lift(sales: DataFrame, festival: str | None = None, bef
 
 # ---- competition inside each subcategory ----
 
+_BRAND = ["subcategory", "brand"]
+
+
 def _priced(sales: DataFrame) -> DataFrame:
+    """Rows, revenue and units per (subcategory, brand, price), stored: the one scan that all results share."""
     require_columns(sales, ["brand", "subcategory", AMOUNT, "discounted_price_inr", "quantity"])
-    return not_null(sales, ["brand", "subcategory", "discounted_price_inr"]).select(
-        "brand", "subcategory", "discounted_price_inr", to_number0(AMOUNT).alias(AMOUNT),
-        F.coalesce(F.col("quantity"), F.lit(0)).alias("quantity"))
+    rows = not_null(sales, [*_BRAND, "discounted_price_inr"])
+    return materialize(rows.groupBy(*_BRAND, "discounted_price_inr").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.sum(to_number0(AMOUNT)).alias(AMOUNT),
+        F.sum(F.coalesce(F.col("quantity"), F.lit(0))).alias("quantity")))
 
 
 def competing_brands(sales: DataFrame) -> DataFrame:
     """Revenue, volume, mean and median price and share of each brand in its subcategory."""
     rows = _priced(sales)
-    keys = ["subcategory", "brand"]
-    sums = rows.groupBy(*keys).agg(F.sum(AMOUNT).alias("revenue"), F.sum("quantity").alias("volume"),
-                                   F.avg("discounted_price_inr").alias("avg_price"))
-    medians = exact_quantiles(rows, "discounted_price_inr", [0.5], ["median_price"], keys).drop("n")
-    return sums.join(medians, keys).withColumn("market_share", share_of("revenue", ["subcategory"]))
+    sums = rows.groupBy(*_BRAND).agg(
+        F.sum(AMOUNT).alias("revenue"), F.sum("quantity").alias("volume"),
+        (F.sum(F.col("discounted_price_inr") * F.col("n_rows")) / F.sum("n_rows")).alias("avg_price"))
+    medians = exact_quantiles(rows, "discounted_price_inr", [0.5], ["median_price"], _BRAND, weight="n_rows").drop("n")
+    return sums.join(medians, _BRAND).withColumn("market_share", share_of("revenue", ["subcategory"]))
 
 
 def _leaders(rows: DataFrame, n: int) -> DataFrame:
-    keys = ["subcategory", "brand"]
-    return top_n_per(rows.groupBy(*keys).agg(F.sum(AMOUNT).alias("revenue")), n, "revenue", ["subcategory"],
-                     ["brand"]).select(*keys)
+    return top_n_per(rows.groupBy(*_BRAND).agg(F.sum(AMOUNT).alias("revenue")), n, "revenue", ["subcategory"],
+                     ["brand"]).select(*_BRAND)
 
 
 def price_box(sales: DataFrame, n: int = 10) -> DataFrame:
-    """Price summary of the leading brands of each subcategory."""
+    """Price summary of the leading brands of each subcategory; only their prices are ranked."""
     rows = _priced(sales)
-    keys = ["subcategory", "brand"]
-    return box_summary(rows, "discounted_price_inr", keys).join(_leaders(rows, n), keys, "left_semi")
+    leading = rows.join(_leaders(rows, n), _BRAND, "left_semi")
+    return box_summary(leading, "discounted_price_inr", _BRAND, weight="n_rows")
 
 
 def price_tiers(sales: DataFrame, n: int = 10) -> DataFrame:
@@ -149,7 +153,7 @@ def price_tiers(sales: DataFrame, n: int = 10) -> DataFrame:
 
     Tiers are the price quintiles of the subcategory, or fixed edges where quintiles coincide.
     """
-    tiered = qcut(_priced(sales), "discounted_price_inr", fv.PRICE_TIERS, ["subcategory"], fv.PRICE_TIER_EDGES, "tier")
+    tiered = qcut(_priced(sales), "discounted_price_inr", fv.PRICE_TIERS, ["subcategory"], fv.PRICE_TIER_EDGES, "tier", weight="n_rows", digits=6)
     cols = ["tier_" + t.lower().replace(" ", "_") for t in fv.PRICE_TIERS]
     sums = tiered.groupBy("subcategory", "brand").agg(
         F.sum(AMOUNT).alias("revenue"),

@@ -75,12 +75,15 @@ def brand_rollup(sales: DataFrame) -> DataFrame:
 def product_monthly(sales: DataFrame) -> DataFrame:
     """Monthly revenue and units per product with its first-seen name, subcategory and launch date.
 
-    Name and subcategory are part of the first group-by (fixed-width buffers, hash aggregation).
+    A table without names or subcategories gives null there, one without quantities 0 units. Name and
+    subcategory are part of the first group-by (fixed-width buffers, hash aggregation).
     The windows run over the aggregated months of one product, one row per calendar month.
     """
     require_columns(sales, ["order_date", "product_id", AMOUNT])
     meta = ["product_name", "subcategory"]
-    rows = not_null(sales, ["order_date", "product_id"])
+    absent = {c: F.lit(None).cast(t) for c, t in (("product_name", "string"), ("subcategory", "string"), ("quantity", "int"))
+              if c not in sales.columns}
+    rows = not_null(sales.withColumns(absent), ["order_date", "product_id"])
     fine = rows.groupBy("product_id", month_start("order_date").alias("order_month"), *meta).agg(
         F.sum(to_number0(AMOUNT)).alias("rev"), F.coalesce(F.sum("quantity"), F.lit(0)).alias("qty"),
         F.min("order_date").alias("since"))
@@ -120,7 +123,7 @@ def time_to_peak_histogram(sales: DataFrame, bins: int = 24) -> DataFrame:
 
 def product_curve(sales: DataFrame, product_name: str | None = None, product_id=None) -> DataFrame:
     """Monthly series of one product: by id, or the smallest id that carries the name (first name by default)."""
-    m = product_monthly(sales)
+    m = materialize(product_monthly(sales))   # read twice: to choose the product, and for its months
     if product_id is None:
         named = m.where(F.col("product_name") == product_name) if product_name else m.where(F.col("product_name").isNotNull())
         product_id = named.agg(F.min(F.struct("product_name", "product_id"))["product_id"]).scalar()

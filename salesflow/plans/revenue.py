@@ -13,16 +13,16 @@ from salesflow.operators.stats import trend
 from salesflow.sources.tables import between_years
 
 
-def _by_year(sales: DataFrame, lo: int, hi: int) -> DataFrame:
-    return group_sum(between_years(sales, lo, hi), ["order_year"], alias="revenue_inr")
+def _by_year(sales: DataFrame, lo: int | None, hi: int | None) -> DataFrame:
+    return group_sum(not_null(between_years(sales, lo, hi), ["order_year"]), ["order_year"], alias="revenue_inr")
 
 
-def yearly(sales: DataFrame, lo: int = 2015, hi: int = 2025) -> DataFrame:
-    """Revenue per year in the range and its change against the year before."""
+def yearly(sales: DataFrame, lo: int | None = None, hi: int | None = None) -> DataFrame:
+    """Revenue per year (of all years, or in the range) and its change against the year before."""
     return pct_change(_by_year(sales, lo, hi), "revenue_inr", "order_year", "yoy_pct")
 
 
-def cagr(sales: DataFrame, lo: int = 2015, hi: int = 2025) -> DataFrame:
+def cagr(sales: DataFrame, lo: int | None = None, hi: int | None = None) -> DataFrame:
     ends = _by_year(sales, lo, hi).agg(
         F.min("order_year").alias("start_year"), F.max("order_year").alias("end_year"),
         F.min_by("revenue_inr", "order_year").alias("start_revenue"),
@@ -33,11 +33,11 @@ def cagr(sales: DataFrame, lo: int = 2015, hi: int = 2025) -> DataFrame:
             .withColumn("cagr_pct", F.when(F.col("start_revenue") > 0, growth * 100)))
 
 
-def yearly_trend(sales: DataFrame, lo: int = 2015, hi: int = 2025) -> DataFrame:
+def yearly_trend(sales: DataFrame, lo: int | None = None, hi: int | None = None) -> DataFrame:
     return trend(_by_year(sales, lo, hi), "order_year", "revenue_inr", "trend_inr")
 
 
-def best_worst_years(sales: DataFrame, lo: int = 2015, hi: int = 2025) -> DataFrame:
+def best_worst_years(sales: DataFrame, lo: int | None = None, hi: int | None = None) -> DataFrame:
     """Years with the highest and lowest growth, earliest on ties."""
     return arg_extremes(yearly(sales, lo, hi), "yoy_pct", F.col("order_year"),
                         ["order_year", "revenue_inr", "yoy_pct"])

@@ -27,7 +27,9 @@ def with_order_year(df: DataFrame) -> DataFrame:
 
 
 def with_date_parts(df: DataFrame) -> DataFrame:
-    """Re-derive date (unreadable is null), year, month number and month name."""
+    """Re-derive date (unreadable is null), year, month number and month name; a table without dates stays as it is."""
+    if "order_date" not in df.columns:
+        return df
     if dict(df.dtypes)["order_date"] != "date":
         df = df.withColumn("order_date", F.col("order_date").cast("string").try_cast("date"))
     return (with_order_year(df)
@@ -36,20 +38,27 @@ def with_date_parts(df: DataFrame) -> DataFrame:
 
 
 def write_by_year(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Write one folder per ``order_year``.
+    """Write one folder per ``order_year``; 'overwrite' replaces the years that ``df`` holds and leaves the others.
 
     The rebalance hint lets AQE merge small and split large years, so one heavy year is written by
     many tasks and a light one does not leave a file per task.
     """
-    df.hint("rebalance", F.col("order_year")).write.mode(mode).partitionBy("order_year").parquet(path)
+    df.hint("rebalance", F.col("order_year")).write.mode(mode).option(
+        "partitionOverwriteMode", "dynamic").partitionBy("order_year").parquet(path)
 
 
 def append_sales(df: DataFrame, path: str) -> None:
     write_by_year(df, path, mode="append")
 
 
-def between_years(df: DataFrame, lo: int, hi: int) -> DataFrame:
-    return df.where(F.col("order_year").between(lo, hi))
+def between_years(df: DataFrame, lo: int | None = None, hi: int | None = None) -> DataFrame:
+    """Rows of the years from ``lo`` to ``hi``; a bound that is not given leaves its side open.
+
+    A row without a year lies outside any bound.
+    """
+    if lo is not None:
+        df = df.where(F.col("order_year") >= lo)
+    return df.where(F.col("order_year") <= hi) if hi is not None else df
 
 
 def load_sales(spark: SparkSession, path: str, years: list[int] | None = None,
@@ -82,4 +91,5 @@ def sample_rows(df: DataFrame, n: int = 5, order: list[str] | None = None) -> Da
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    df.write.mode(mode).option("header", True).csv(path)
+    """CSV with a header; leading and trailing blanks of a text are kept (Spark drops them by default)."""
+    df.write.mode(mode).options(header=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
