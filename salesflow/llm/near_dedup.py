@@ -102,33 +102,46 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = rows[:, -1:]
 
 
-def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of different components inside a cell (two blocks of one list) with a sufficient estimate."""
-    held: list[tuple] = []
+def _cells(most: int | None):
+    """Pairs of different components inside a cell (two blocks of one list) with a sufficient estimate.
 
-    def settle() -> Iterator[pa.RecordBatch]:
+    With ``most`` only the pairs that are among the best ``most`` of one of their members, so that a cell gives no
+    more rows than ``most`` per member; with None all of them.
+    """
+    def settle(held: list[tuple]) -> Iterator[pa.RecordBatch]:
         pairs = []
         for i, (_, sid, n, comp, half, sketch) in enumerate(held):
             mine = np.array(sketch)
-            for _, sid2, n2, comp2, half2, sketch2 in held[:i]:
+            for j, (_, sid2, n2, comp2, half2, sketch2) in enumerate(held[:i]):
                 if comp == comp2 or (half and half == half2) or min(n, n2) * 100 < 85 * max(n, n2):
                     continue
                 both = np.concatenate([mine, sketch2])
                 both.sort()
                 twice = both[1:] == both[:-1]
                 union = np.append(both[:-1][~twice], both[-1])[:SKETCH]
-                if np.count_nonzero(twice & (both[1:] <= union[-1])) >= LEAST_ESTIMATE * len(union):
-                    pairs.append((min(sid, sid2), max(sid, sid2)))
+                estimate = np.count_nonzero(twice & (both[1:] <= union[-1])) / len(union)
+                if estimate >= LEAST_ESTIMATE:
+                    pairs.append((-estimate, min(sid, sid2), max(sid, sid2), i, j))
+        if most:
+            seen, best = np.zeros(len(held), np.int64), []
+            for pair in sorted(pairs):
+                if seen[list(pair[3:])].min() < most:
+                    best.append(pair)
+                seen[list(pair[3:])] += 1
+            pairs = best
         if pairs:
-            yield pa.record_batch([pa.array(x, pa.int64()) for x in zip(*pairs)], names=["a", "b"])
+            yield pa.record_batch([pa.array([p[k] for p in pairs], pa.int64()) for k in (1, 2)], names=["a", "b"])
 
-    for batch in batches:
-        for row in zip(*(batch.column(c).to_pylist() for c in range(6))):
-            if held and held[0][0] != row[0]:
-                yield from settle()
-                held = []
-            held.append(row)
-    yield from settle()
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        for batch in batches:
+            for row in zip(*(batch.column(c).to_pylist() for c in range(6))):
+                if held and held[0][0] != row[0]:
+                    yield from settle(held)
+                    held = []
+                held.append(row)
+        yield from settle(held)
+    return rows
 
 
 class _Linker:
@@ -188,6 +201,19 @@ class _Linker:
         self.roots = materialize(known.unionByName(fresh))
 
 
+def _cell_rows(entries: DataFrame, sets: DataFrame, roots: DataFrame) -> DataFrame:
+    """The members, with their sketches, of the lists that hold several components: one row for each cell they are in."""
+    rooted = entries.join(roots.withColumnRenamed("id", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
+    mixed_lists = rooted.groupBy("list").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("members"))
+    mixed_lists = materialize(mixed_lists.where("lo <> hi").select("list", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks")))
+    left = rooted.join(mixed_lists, "list").withColumn("block", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int"))
+    cells = left.select("list", "sid", "n", "root", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    cells = cells.select(F.struct("list", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")).alias("cell"),
+                         "sid", "n", "root", F.when(F.col("block") == F.col("other"), 0).when(F.col("block") < F.col("other"), 1).otherwise(2).alias("half"))
+    cells = cells.select(F.xxhash64("cell").alias("cell"), "sid", "n", "root", "half").join(sets.select("sid", "sketch"), "sid")
+    return cells.select("cell", "sid", "n", "root", "half", "sketch").repartition("cell").sortWithinPartitions("cell")
+
+
 def near_duplicates(docs: DataFrame, percent: int = 85, text: str = "text", key: str = "doc_id") -> DataFrame:
     """The near-duplicate class of every row: ``key``, n_shingles, component_id.
 
@@ -200,8 +226,9 @@ def near_duplicates(docs: DataFrame, percent: int = 85, text: str = "text", key:
     1. Equal sets are collapsed (combined before the shuffle), so copies never meet again.
     2. Neighbours in each list, ordered by size, are estimated from their sketches and then confirmed on full sets.
        The lists are range-partitioned, so a long one spans many tasks, and no list is expanded into pairs.
-    3. Lists that still hold several components are compared in blocks; only pairs of different components
-       with a sufficient estimate leave a block. They are confirmed the same way, so no link is lost.
+    3. Lists that still hold several components are compared in blocks, first for the best pairs of every member
+       and then, where several components are left, for all. Only pairs of different components with a sufficient
+       estimate leave a block. They are confirmed the same way, so no link is lost.
     """
     if percent < 85:
         raise ValueError("the lists are laid out for similarities of 0.85 and more")
@@ -220,16 +247,8 @@ def near_duplicates(docs: DataFrame, percent: int = 85, text: str = "text", key:
     linker = _Linker(rows, sets, percent)
     linker.link(pairs)
 
-    rooted = entries.join(linker.roots.withColumnRenamed("id", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
-    mixed_lists = rooted.groupBy("list").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("members"))
-    mixed_lists = materialize(mixed_lists.where("lo <> hi").select("list", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks")))
-    left = rooted.join(mixed_lists, "list").withColumn("block", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int"))
-    cells = left.select("list", "sid", "n", "root", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    cells = cells.select(F.struct("list", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")).alias("cell"),
-                         "sid", "n", "root", F.when(F.col("block") == F.col("other"), 0).when(F.col("block") < F.col("other"), 1).otherwise(2).alias("half"))
-    cells = cells.select(F.xxhash64("cell").alias("cell"), "sid", "n", "root", "half").join(sets.select("sid", "sketch"), "sid")
-    cells = cells.select("cell", "sid", "n", "root", "half", "sketch").repartition("cell").sortWithinPartitions("cell")
-    linker.link(cells.mapInArrow(_cells, "a bigint, b bigint").distinct())
+    for most in (2, None):
+        linker.link(_cell_rows(entries, sets, linker.roots).mapInArrow(_cells(most), "a bigint, b bigint").distinct())
 
     classes = sets.join(linker.roots, F.col("sid") == F.col("id"), "left").select(
         "set_id", F.coalesce("root", "sid").alias("root"), F.col("owner.doc").alias("doc"))
