@@ -7,12 +7,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute  # noqa: F401  (pa.compute)
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from salesflow.llm.tables import table
 from salesflow.llm.textops import LOWER, mixed, range_hash, slices, words
+from salesflow.session import materialize
 
 FEATURE_BITS = 20
 PREFIXES = (4, 5, 6)   # bytes
@@ -22,6 +22,7 @@ LEAST_Z = 3.0          # standard deviations by which a word must prefer a class
 LEAST_ROWS = 3         # training rows that must hold it
 STEPS, RATE, SHRINK = 400, 0.1, 1e-4
 
+_TRAINING = "key bigint, toxic int, words array<int>"
 _AS_SPACE = LOWER.copy()
 _AS_SPACE[[*range(0x21, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x7F)]] = 0x20
 
@@ -102,12 +103,46 @@ def fit_ordinal(row: np.ndarray, feature: np.ndarray, grade: np.ndarray, size: i
 
 
 def _training_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Key, class and distinct features of every row."""
     for batch in batches:
         for lo, hi, data, offsets in slices(batch.column(2)):
             feature, first = _features(data, offsets)
+            lists = [np.unique(feature[first[i]:first[i + 1]]) for i in range(hi - lo)]
+            ends = np.cumsum([0, *map(len, lists)]).astype(np.int32)
+            values = np.concatenate([np.zeros(0, np.int64), *lists]).astype(np.int32)
             yield pa.record_batch([batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo),
-                                   pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(feature.astype(np.int32)))],
-                                  names=["key", "toxic", "words"])
+                                   pa.ListArray.from_arrays(pa.array(ends), pa.array(values))], names=["key", "toxic", "words"])
+
+
+def _entries(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Class of each row; row and feature of every entry of the lists."""
+    lists = batch.column(2)
+    sizes = np.diff(np.asarray(lists.offsets, np.int64))
+    return np.asarray(batch.column(1)) > 0, np.repeat(np.arange(batch.num_rows), sizes), np.asarray(lists.flatten(), np.int64)
+
+
+def _count_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows and toxic rows of every feature in a partition."""
+    total, in_bad = np.zeros((2, 1 << FEATURE_BITS), np.int64)
+    for batch in batches:
+        bad, row, feature = _entries(batch)
+        np.add.at(total, feature, 1)
+        np.add.at(in_bad, feature[bad[row]], 1)
+    seen = np.flatnonzero(total)
+    yield pa.record_batch([pa.array(x) for x in (seen, total[seen], in_bad[seen])], names=["feature", "total", "in_bad"])
+
+
+def _used_rows(used: np.ndarray):
+    """Rows as they are, but only the features ``used``, by their number in that (sorted) list."""
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            _, row, feature = _entries(batch)
+            at = np.minimum(np.searchsorted(used, feature), len(used) - 1)
+            hit = used[at] == feature
+            ends = np.cumsum(np.append(0, np.bincount(row[hit], minlength=batch.num_rows))).astype(np.int32)
+            yield pa.record_batch([batch.column(0), batch.column(1),
+                                   pa.ListArray.from_arrays(pa.array(ends), pa.array(at[hit].astype(np.int32)))], names=["key", "toxic", "words"])
+    return rows
 
 
 def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", toxic: str = "toxic", rows: int = TRAIN_ROWS) -> Model:
@@ -115,38 +150,34 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
 
     A row of ``labels`` says whether its document is toxic (1) or not (0); of several the largest counts, nulls are left out.
     The labels have no severity, so the grades of toxic documents are thirds of the number of different features in them
-    that mark toxic documents in the training rows. Without toxic or without clean training rows every score is clean.
+    that mark toxic documents in the training rows. Spark counts the features; the driver gets only those that prefer a
+    class, and the training rows cut down to them. Without toxic or without clean training rows every score is clean.
     """
     chosen = labels.select(F.col(key).alias("key"), F.col(toxic).alias("toxic")).dropna().groupBy("key").agg(F.max("toxic").alias("toxic"))
     chosen = chosen.orderBy(F.xxhash64("key"), "key").limit(rows)   # at most ``rows`` pairs of numbers, so it may be broadcast
     texts = docs.select(F.col(key).alias("k"), F.col(text).cast("string").alias("text"))
     picked = texts.join(F.broadcast(chosen), F.col("k") == F.col("key")).select(F.col("key").cast("bigint"), F.col("toxic").cast("int"), "text")
-    got = picked.mapInArrow(_training_rows, "key bigint, toxic int, words array<int>").toArrow().sort_by("key")
+    picked = materialize(picked.mapInArrow(_training_rows, _TRAINING))
     size = 1 << FEATURE_BITS
-    bad = got.column("toxic").to_numpy() > 0
+    n, n_bad = picked.agg(F.count(F.lit(1)), F.count_if(F.col("toxic") > 0)).first()
     clean = Model(np.zeros(size), np.arange(GRADES - 1) + 40.0)
-    if bad.all() or not bad.any():
+    if n_bad in (0, n):
         return clean
-    lists = got.column("words").combine_chunks()
-    sizes = np.asarray(pa.compute.list_value_length(lists), np.int64)
-    occurs = np.asarray(lists.flatten(), np.int64)
-    row_of = np.repeat(np.arange(len(bad)), sizes)
-    pairs = np.unique(row_of * size + occurs)
-    row, feature = pairs // size, pairs % size
-    in_bad = np.bincount(feature, weights=bad[row], minlength=size)
-    total = np.bincount(feature, minlength=size)
-    rate = bad.mean()
-    z = (in_bad - total * rate) / np.sqrt(np.maximum(total * rate * (1 - rate), 1e-9))
-    used = (total >= LEAST_ROWS) & (np.abs(z) >= LEAST_Z)
-    marks = used & (z > 0)
-    if not used.any():
+    rate = n_bad / n
+    counts = picked.mapInArrow(_count_rows, "feature bigint, total bigint, in_bad bigint").groupBy("feature").agg(
+        F.sum("total").alias("total"), F.sum("in_bad").alias("in_bad"))
+    z = (F.col("in_bad") - F.col("total") * rate) / F.sqrt(F.col("total") * (rate * (1 - rate)))
+    found = counts.where(F.col("total") >= LEAST_ROWS).select("feature", z.alias("z")).where(F.abs("z") >= LEAST_Z)
+    found = found.toArrow().sort_by("feature")   # at most 2 ** FEATURE_BITS rows
+    used, marks = found.column("feature").to_numpy(), found.column("z").to_numpy() > 0
+    if not len(used):
         return clean
-    amount = np.bincount(row, weights=marks[feature], minlength=len(bad))
+    got = picked.mapInArrow(_used_rows(used), _TRAINING).toArrow().sort_by("key").combine_chunks()
+    bad, row, feature = _entries(got.to_batches()[0])
+    amount = np.bincount(row, weights=marks[feature], minlength=n)
     cuts = np.quantile(amount[bad], np.arange(1, GRADES - 1) / (GRADES - 1))
     grade = np.where(bad, 1 + np.searchsorted(cuts, amount, side="right"), 0)
-    number = np.cumsum(used) - 1
-    keep = used[feature]
-    w, thresholds = fit_ordinal(row[keep], number[feature[keep]], grade, int(used.sum()))
+    w, thresholds = fit_ordinal(row, feature, grade, len(used))
     weights = np.zeros(size)
     weights[used] = w
     return Model(weights, thresholds)
