@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from salesflow.llm import decontamination, mixing, near_dedup, phrase_dedup, quality, suffix_dedup, token_files, toxicity, url_filters, warc
+from salesflow.llm import decontamination, mixing, near_dedup, packing, phrase_dedup, quality, suffix_dedup, token_files, toxicity, url_filters, warc
 
 QUERIES = {
     "op1_warc": warc.query,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_mix_sources": mixing.query,
     "op9_decontamination": decontamination.query,
     "op10_near_dedup": near_dedup.query,
+    "op12_best_two_fit": packing.query,
 }
 ORACLES = {
     "op1_warc": warc.SQL,
