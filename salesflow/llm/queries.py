@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from salesflow.llm import decontamination, mixing, near_dedup, packing, phrase_dedup, quality, suffix_dedup, token_files, toxicity, url_filters, warc
+from salesflow.llm import alignment, decontamination, mixing, near_dedup, packing, phrase_dedup, quality, suffix_dedup, token_files, toxicity, url_filters, warc
 
 QUERIES = {
     "op1_warc": warc.query,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_decontamination": decontamination.query,
     "op10_near_dedup": near_dedup.query,
     "op12_best_two_fit": packing.query,
+    "op13_token_alignment": alignment.query,
 }
 ORACLES = {
     "op1_warc": warc.SQL,
