@@ -17,11 +17,11 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from salesflow.llm.encoding import PieceEncoder, bounds_of, encoder_for, pieces_of, spans
+from salesflow.llm.storage import packed, unpacked
 from salesflow.llm.tables import table
 from salesflow.session import materialize
 
@@ -107,8 +107,8 @@ def _list(values, kind: pa.DataType) -> pa.Array:
     return pa.array([values], pa.list_(kind))
 
 
-def _packed(numbers: np.ndarray) -> pa.Array:
-    return pa.array([zstandard.compress(numbers.astype(numbers.dtype.newbyteorder("<")).tobytes(), 1)], pa.binary())
+def _blob(numbers: np.ndarray) -> pa.Array:
+    return pa.array([packed(numbers)], pa.binary())
 
 
 def _block_rows(path_a: str, path_b: str, with_groups: bool):
@@ -141,10 +141,10 @@ def _block_rows(path_a: str, path_b: str, with_groups: bool):
                 whole = pa.int64()
                 yield pa.record_batch([
                     _list((pair[seen] // width).astype(np.int32), pa.int32()), _list((pair[seen] % width).astype(np.int32), pa.int32()),
-                    _list(docs[seen], whole), _packed(number[links]), _packed(found.rows),
+                    _list(docs[seen], whole), _blob(number[links]), _blob(found.rows),
                     _list(batch.column(0).slice(s.lo, s.hi - s.lo).to_pylist(), whole),
                     *[_list(_sums(x[at], at_rows), whole) for x in (n_a, n_b, found.n_groups, np.diff(found.rows))],
-                    _list(shown, pa.string()), _packed(at.astype(np.int32)), _packed(at_rows),
+                    _list(shown, pa.string()), _blob(at.astype(np.int32)), _blob(at_rows),
                 ], names=[c.split()[0] for c in _BLOCK.split(", ")])
     return rows
 
@@ -152,7 +152,7 @@ def _block_rows(path_a: str, path_b: str, with_groups: bool):
 def _settle(block: pa.Table, totals: pa.Table) -> pa.Table:
     """The rows of a block's documents, from the corpus-wide counts of the block's pairs."""
     row = {c: block[c][0] for c in block.column_names}
-    links, link_rows, at, at_rows = (np.frombuffer(zstandard.decompress(row[c].as_py()), t) for c, t in (("links", "<i4"), ("link_rows", "<i8"), ("at", "<i4"), ("at_rows", "<i8")))
+    links, link_rows, at, at_rows = (unpacked(row[c].as_py(), t) for c, t in (("links", np.int32), ("link_rows", np.int64), ("at", np.int32), ("at_rows", np.int64)))
     # one more entry, which links of rejected texts alone (-1) point to
     docs, best = np.zeros(totals.num_rows + 1, np.int64), np.zeros(totals.num_rows + 1, np.int64)
     number = totals["number"].to_numpy()

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from salesflow.llm import alignment, decontamination, mixing, near_dedup, packing, phrase_dedup, quality, suffix_dedup, token_files, toxicity, url_filters, warc
+from salesflow.llm import alignment, decontamination, lexical_search, mixing, near_dedup, packing, phrase_dedup, quality, suffix_dedup, token_files, toxicity, url_filters, warc
 
 QUERIES = {
     "op1_warc": warc.query,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_mix_sources": mixing.query,
     "op9_decontamination": decontamination.query,
     "op10_near_dedup": near_dedup.query,
+    "op11_lexical_search": lexical_search.query,
     "op12_best_two_fit": packing.query,
     "op13_token_alignment": alignment.query,
 }
@@ -22,4 +23,5 @@ ORACLES = {
     "op1_warc": warc.SQL,
     "op2_url_filters": url_filters.SQL,
     "op8_mix_sources": mixing.SQL,
+    "op11_lexical_search": lexical_search.SQL,
 }

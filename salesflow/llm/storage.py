@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import uuid
 
+import numpy as np
+import zstandard
 from pyarrow import fs
 
 
@@ -19,3 +21,12 @@ def new_name(prefix: str, suffix: str) -> str:
     """A name of this attempt alone: a task that runs again writes another file, and only the index of
     the attempt that succeeded names its files."""
     return f"{prefix}-{uuid.uuid4().hex}{suffix}"
+
+
+def packed(numbers: np.ndarray) -> bytes:
+    """An array of numbers as little-endian bytes, compressed."""
+    return zstandard.compress(numbers.astype(numbers.dtype.newbyteorder("<")).tobytes(), 1)
+
+
+def unpacked(blob: bytes, kind) -> np.ndarray:
+    return np.frombuffer(zstandard.decompress(blob), np.dtype(kind).newbyteorder("<"))
