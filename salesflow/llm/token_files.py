@@ -13,94 +13,25 @@ directory and at most RANK bits give. So any id is read by at most a few short r
 
 from __future__ import annotations
 
-import os
 import struct
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from salesflow.llm.encoding import encoder_for
 from salesflow.llm.storage import new_name, open_store
 from salesflow.llm.tables import table
-from salesflow.llm.textops import slices
 from salesflow.session import materialize, scratch
 
 RANK = 1024
-ENCODED_AT_ONCE = 1024   # documents
-ENCODED_BYTES = 4 << 20   # text whose pieces are looked up together
 FILE_IDS = 1 << 22       # ids after which a new file is begun
-CACHED_PIECES = 400_000
 END_ID = 0
 _HEAD = struct.Struct("<4sIQII")
 _PLACES = "doc bigint, file string, part bigint, nth bigint, first bigint, n bigint"
-# bytes that surely end or begin a character that is no white space, also beyond ASCII; other places are not cut
-_ENDS_WORD = np.arange(256) > 0x20
-_ENDS_WORD[[0x7F, *range(0x80, 0x8B), 0x9F, 0xA0, 0xA8, 0xA9, 0xAF]] = False
-_BEGINS_WORD = np.arange(256) > 0x20
-_BEGINS_WORD[[0x7F, 0xC2, 0xE1, 0xE2, 0xE3]] = False
-
-
-@lru_cache(maxsize=2)
-def encoder_for(path: str) -> PieceEncoder:
-    """The encoder of a Python worker; its memory outlives the task, as workers run many tasks."""
-    return PieceEncoder(path)
-
-
-class PieceEncoder:
-    """Encodes texts piece by piece and remembers the ids of pieces it has seen.
-
-    No token of a byte-level BPE vocabulary reaches from a character into a single space behind it, so a
-    text may be cut before every single space between two words without a change of its ids.
-    """
-
-    def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.seen: dict[bytes, int] = {}      # the ids of piece k are store[ends[k]:ends[k + 1]]
-        self.ends, self.store = np.zeros(1, np.int64), np.zeros(0, np.uint32)
-
-    @staticmethod
-    def cuts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        """Where the pieces of the texts at ``offsets`` begin."""
-        edge = np.zeros(len(data) + 1, bool)
-        edge[offsets] = True
-        seam = np.flatnonzero((data[1:-1] == 0x20) & _ENDS_WORD[data[:-2]] & _BEGINS_WORD[data[2:]] & ~edge[2:-1]) + 1
-        begins = np.unique(np.concatenate([offsets, seam]))
-        return begins[begins < len(data)]
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        out: list[np.ndarray] = []
-        for _, _, data, offsets in slices(pa.array(texts, pa.string()), ENCODED_BYTES):
-            begins = self.cuts(data, offsets)
-            bounds = pa.py_buffer(np.append(begins, len(data)).astype(np.int64))
-            found = pa.Array.from_buffers(pa.large_binary(), len(begins), [None, bounds, pa.py_buffer(data)]).dictionary_encode()
-            slot, ends, store = self._look_up(found.dictionary.to_pylist())
-            slot = slot[found.indices.to_numpy()]
-            first, size = ends[slot], ends[slot + 1] - ends[slot]
-            upto = np.append(0, np.cumsum(size))
-            ids = store[np.repeat(first - upto[:-1], size) + np.arange(upto[-1])]
-            rows = upto[np.searchsorted(begins, offsets)]
-            out += [ids[a:b] for a, b in zip(rows[:-1], rows[1:])]
-        return out
-
-    def _look_up(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The number of every piece, and the store with its bounds; the store is kept while it is small enough."""
-        known = self.seen
-        fresh = [p for p in pieces if p not in known]
-        lists = [e.ids for e in self.tokenizer.encode_batch_fast([p.decode() for p in fresh], add_special_tokens=False)]
-        ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum([len(x) for x in lists], dtype=np.int64)])
-        store = np.concatenate([self.store, np.array([i for x in lists for i in x], np.uint32)])
-        added = dict(zip(fresh, range(len(self.ends) - 1, len(ends) - 1)))
-        if len(known) + len(added) <= CACHED_PIECES:
-            known.update(added)
-            self.ends, self.store, added = ends, store, {}
-        return np.array([known[p] if p in known else added[p] for p in pieces], np.int64), ends, store
 
 
 def write_codes(ids: np.ndarray, out) -> None:
@@ -159,13 +90,12 @@ class CodeFile:
 
 def _write_rows(folder: str, tokenizer: str):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")   # the tasks are the parallelism
         encoder = encoder_for(tokenizer)
         store, path = open_store(folder)
         store.create_dir(path, recursive=True)
         held: list[np.ndarray] = []
         index: list[tuple] = []
-        size, nth = 0, 0
+        size, nth, end = 0, 0, np.array([END_ID], np.uint32)
 
         def flush() -> pa.RecordBatch:
             name = new_name("ids", ".dac")
@@ -177,17 +107,15 @@ def _write_rows(folder: str, tokenizer: str):
                                    names=["doc", "file", "part", "nth", "first", "n"])
 
         for batch in batches:
-            for lo in range(0, batch.num_rows, ENCODED_AT_ONCE):
-                piece = batch.slice(lo, ENCODED_AT_ONCE)
-                docs, parts = piece.column(0).to_pylist(), piece.column(1).to_pylist()
-                for doc, part, ids in zip(docs, parts, encoder.encode([t or "" for t in piece.column(2).to_pylist()])):
-                    ids = np.append(ids, np.uint32(END_ID))
-                    index.append((doc, part, len(ids), size))
-                    held.append(ids)
-                    size, nth = size + len(ids), nth + 1
-                if size >= FILE_IDS:
-                    yield flush()
-                    held, index, size = [], [], 0
+            docs, parts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            for lo, ids, bounds in encoder.encode_column(batch.column(2)):
+                for i, (a, b) in enumerate(zip(bounds[:-1], bounds[1:]), lo):
+                    index.append((docs[i], parts[i], int(b - a) + 1, size))
+                    held += [ids[a:b], end]
+                    size, nth = size + int(b - a) + 1, nth + 1
+                    if size >= FILE_IDS:
+                        yield flush()
+                        held, index, size = [], [], 0
         if held:
             yield flush()
     return rows
