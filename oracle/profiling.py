@@ -13,6 +13,7 @@ _TEST = """s AS (SELECT avg(discounted_price_inr) FILTER (WHERE brand = 'Brand#1
     count(discounted_price_inr) FILTER (WHERE brand = 'Brand#12') AS n,
     avg(discounted_price_inr) AS am, stddev_samp(discounted_price_inr) AS sd FROM sales)"""
 _TAIL = "\nUNION ALL\n"
+_RANGES = [(1992, 1994), (1995, 1998), (1992, 1998)]
 
 
 def _simpson(density: str, upper: str, steps: int = 2000) -> str:
@@ -40,6 +41,17 @@ SQL = {
         f"""SELECT '{c}' AS "column", count(*) - count({c}) AS n_null FROM raw_sales""" for c in _TEXT + _NUM)),
     "q_profile_nunique": on_raw(_TAIL.join(
         f"""SELECT '{c}' AS "column", count(DISTINCT {c}) AS n_unique FROM raw_sales""" for c in _TEXT + _NUM)),
+    "q_profile_nunique_approx": on_raw(_TAIL.join(
+        f"""SELECT '{c}' AS "column", count(DISTINCT {c}) AS n_unique, 'true' AS within FROM raw_sales""" for c in _TEXT + _NUM)),
+    # the estimates themselves are random; every one of them has to keep the stated bound
+    "q_approx_quantiles": on_sales(_TAIL.join(
+        f"""SELECT {lo} AS lo_year, {hi} AS hi_year, '{c}' AS "column", CAST({p} AS DOUBLE) AS prob, count({c}) AS n, 'true' AS within
+  FROM sales WHERE order_year BETWEEN {lo} AND {hi}"""
+        for lo, hi in _RANGES for c in ("final_amount_inr", "discounted_price_inr") for p in (0.05, 0.25, 0.5, 0.75, 0.95))),
+    "q_approx_distinct": on_sales(_TAIL.join(
+        f"""SELECT {lo} AS lo_year, {hi} AS hi_year, customer_tier, '{c}' AS "column", count(DISTINCT {c}) AS n_distinct, 'true' AS within
+  FROM sales WHERE order_year BETWEEN {lo} AND {hi} GROUP BY customer_tier"""
+        for lo, hi in _RANGES for c in ("customer_id", "product_id", "transaction_id"))),
     "q_profile_describe": on_raw(_TAIL.join([_describe_text(c) for c in _TEXT] + [_describe_number(c) for c in _NUM])),
     "q_missing_map": on_raw(_TAIL.join(f"""SELECT CAST(l_partkey % 20 AS INTEGER) AS row_bucket, '{c}' AS "column",
   round(avg(CASE WHEN {c} IS NULL THEN 1.0::DOUBLE ELSE 0 END), 6) AS null_share FROM raw_sales GROUP BY 1""" for c in _TEXT + _NUM)),

@@ -12,7 +12,7 @@ from pyspark.sql.types import BooleanType, DoubleType, StructField
 from salesflow import fixed_values as fv
 from salesflow.functions.numeric import parse_price
 from salesflow.functions.text import capitalize, parse_flag
-from salesflow.operators import cleaning, filters, profiling, stats
+from salesflow.operators import cleaning, filters, profiling, sketches, stats
 from salesflow.plans import customer, discount, market, payment, product, revenue
 from salesflow.schema import CLEAN_SCHEMA
 from salesflow.session import scratch
@@ -127,6 +127,23 @@ def _csv_clean(df: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("n_rows"), F.sum(AMT).alias("revenue"))
 
 
+_RANGES = [(1992, 1994), (1995, 1998), (1992, 1998)]
+_PROBS = [0.05, 0.25, 0.5, 0.75, 0.95]
+
+
+def _approx_quantiles(df: DataFrame) -> DataFrame:
+    """Sketches per year and subcategory, stored once and merged for three ranges of years."""
+    path, measures = scratch(df.sparkSession).new("sketches"), [AMT, "discounted_price_inr"]
+    sketches.store_sketches(df, path, ["subcategory"], measures=measures)
+    return sketches.quantiles_hold(df, path, _RANGES, measures, _PROBS)
+
+
+def _approx_distinct(df: DataFrame) -> DataFrame:
+    path, counted = scratch(df.sparkSession).new("sketches"), ["customer_id", "product_id", "transaction_id"]
+    sketches.store_sketches(df, path, ["customer_tier"], counted=counted)
+    return sketches.distinct_holds(df, path, _RANGES, counted, "customer_tier")
+
+
 QUERIES: dict[str, Query] = {
     # revenue and business health
     "q_rev_yearly": Query(revenue.yearly, ["order_year", AMT], money=("revenue_inr",)),
@@ -261,6 +278,9 @@ QUERIES: dict[str, Query] = {
     "q_profile_shape": Query(profiling.profile_shape, _PROFILED, "raw_sales"),
     "q_profile_nulls": Query(profiling.profile_nulls, _PROFILED, "raw_sales"),
     "q_profile_nunique": Query(profiling.profile_nunique, _PROFILED, "raw_sales"),
+    "q_profile_nunique_approx": Query(profiling.nunique_holds, _PROFILED, "raw_sales"),
+    "q_approx_quantiles": Query(_approx_quantiles, ["order_year", "subcategory", "discounted_price_inr", AMT]),
+    "q_approx_distinct": Query(_approx_distinct, ["order_year", "customer_tier", "customer_id", "product_id", "transaction_id"]),
     "q_profile_describe": Query(profiling.profile_describe, _PROFILED, "raw_sales", digits=PRICE_DIGITS),
     "q_missing_map": Query(lambda d: profiling.missing_map(d, "l_partkey", 20), ["l_partkey", *_PROFILED], "raw_sales"),
     "q_value_counts": Query(lambda d: profiling.value_counts(

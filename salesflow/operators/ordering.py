@@ -2,7 +2,7 @@
 
 The keys are dealt out by range and stored with the number of their range, so a heavy group spans many
 ranges and no task holds a whole group. Weights per range (combined on the map side) show which range
-holds each wanted rank; only those ranges are read and ordered.
+holds each wanted rank; only those ranges are ordered, and with few groups only their files are read.
 """
 
 from __future__ import annotations
@@ -25,9 +25,9 @@ def values_at_ranks(df: DataFrame, groups: list[str], sort_cols: list[str], weig
     otherwise it is stored and Spark joins it according to its size.
     """
     keys = groups + sort_cols
-    # range partitions are numbered in the order of their keys
+    # range partitions are numbered in the order of their keys; each is one file, which holds its number
     ranged = df.repartitionByRange(*keys).withColumn("bucket", F.spark_partition_id())
-    rows = materialize(ranged, by=["bucket"])
+    rows = materialize(ranged)
     cells = rows.groupBy(*groups, "bucket").agg(F.sum(weight).alias("w"))
     run = Window.partitionBy(*groups).orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     cells = cells.select(*groups, "bucket", "w", F.sum("w").over(run).alias("bucket_end"),
@@ -36,7 +36,13 @@ def values_at_ranks(df: DataFrame, groups: list[str], sort_cols: list[str], weig
     hits = cells.select(*groups, "bucket", "n", start.alias("bucket_start"), F.filter(
         wanted(F.col("n")), lambda t: (t["rank"] >= start) & (t["rank"] < F.col("bucket_end"))).alias("want"))
     hits = hits.where(F.size("want") > 0)
-    hits = F.broadcast(hits) if few_groups else materialize(hits)
+    if few_groups:
+        # at most two ranges per wanted rank: the file footers tell which files hold them
+        hits = materialize(hits)
+        rows = rows.where(F.col("bucket").isin([r["bucket"] for r in hits.select("bucket").distinct().collect()]))
+        hits = F.broadcast(hits)
+    else:
+        hits = materialize(hits)
     inside = Window.partitionBy(*groups, "bucket").orderBy(*sort_cols).rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
     found = rows.join(hits, groups + ["bucket"]).withColumn("hi", F.col("bucket_start") + F.sum(weight).over(inside))
@@ -45,13 +51,21 @@ def values_at_ranks(df: DataFrame, groups: list[str], sort_cols: list[str], weig
 
 
 def exact_quantiles(df: DataFrame, value: str, probs: list[float], names: list[str], groups: list[str] = (),
-                    few_groups: bool = False, weight: str | None = None) -> DataFrame:
+                    few_groups: bool = False, weight: str | None = None, exact: bool = True) -> DataFrame:
     """Linear-interpolated quantiles per group (null values left out), plus ``n``.
 
     Values are first counted per distinct value, so repeats never leave their map task. ``weight``
-    names a column that says how often each row counts.
+    names a column that says how often each row counts. With ``exact=False`` one pass builds mergeable
+    sketches instead: the results are values of the data whose rank is off by less than
+    ``sketches.RANK_BOUND`` of the group; weights are not taken then.
     """
     groups = list(groups)
+    if not exact:
+        if weight:
+            raise ValueError("sketches count every row once")
+        from salesflow.operators.sketches import build_sketches, quantiles_of
+
+        return quantiles_of(build_sketches(not_null(df, [value]), groups, [value]), value, probs, names, groups)
     times = F.sum(weight) if weight else F.count(F.lit(1))
     counts = not_null(df, groups + [value]).groupBy(*groups, value).agg(times.alias("w"))
 

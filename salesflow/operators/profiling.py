@@ -10,6 +10,7 @@ from salesflow.functions.text import strip_text
 from salesflow.operators.aggregate import top_n
 from salesflow.operators.filters import find_products
 from salesflow.operators.ordering import exact_quantiles
+from salesflow.operators.sketches import DISTINCT_BOUND, build_sketches, distinct_of
 from salesflow.session import materialize
 
 _NUMBER = ("tinyint", "smallint", "int", "bigint", "float", "double", "decimal")
@@ -37,15 +38,21 @@ def _long_counts(df: DataFrame, cols: list[str]) -> DataFrame:
 
 
 def profile_nunique(df: DataFrame, approx: bool = False) -> DataFrame:
-    """Distinct non-null values per column, exact or by sketch."""
+    """Distinct non-null values per column: exact, or by sketches in one pass that shuffles a few kilobytes per column."""
     cols = df.columns
     if approx:
-        agg = df.agg(*[F.approx_count_distinct(c).alias(c) for c in cols])
-        return agg.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("n_unique"))
-                                             for c in cols])))
+        agg = distinct_of(build_sketches(df, [], counted=cols), cols)
+        return agg.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("n_unique")) for c in cols])))
     return _long_counts(df, cols).groupBy("column").agg(F.count(F.lit(1)).alias("n_unique"))
 
 
+def nunique_holds(df: DataFrame) -> DataFrame:
+    """Exact distinct counts, and whether the sketched ones are within ``sketches.DISTINCT_BOUND`` of them."""
+    near = profile_nunique(df, approx=True).withColumnRenamed("n_unique", "estimate")
+    return profile_nunique(df).join(near, "column").select(
+        "column", "n_unique", (F.abs(F.col("estimate") - F.col("n_unique")) <= F.col("n_unique") * DISTINCT_BOUND).alias("within"))
+
+
 def profile_describe(df: DataFrame) -> DataFrame:
     """Count, distinct, most frequent value (smallest on ties) of text columns; moments and exact
     quartiles of number columns. Booleans and dates are described as text."""
