@@ -99,8 +99,25 @@ SELECT order_year, count(*) AS n_rows, count(CASE WHEN order_year % 2 = 1 THEN c
     "q_csv_raw": on_raw("SELECT transaction_id, brand, customer_city FROM raw_sales"),
     "q_csv_clean": on_sales("""
 SELECT order_year, order_month, count(*) AS n_rows, round(sum(final_amount_inr), 2) AS revenue FROM sales GROUP BY ALL"""),
-    "q_profile_types": """SELECT * FROM (VALUES ('transaction_id', 'string'), ('order_date', 'date'), ('quantity', 'bigint'),
-  ('final_amount_inr', 'double'), ('is_prime_member', 'boolean')) AS t("column", "type")""",
+    "q_profile_types": on_raw("vals AS (" + _TAIL.join(
+        f"""SELECT '{c}' AS "column", '{'double' if c in _NUM else 'string'}' AS type, CAST({c} AS VARCHAR) AS v FROM raw_sales WHERE {c} IS NOT NULL"""
+        for c in _TEXT + _NUM) + ")", r"""counted AS (SELECT "column", type, count(*) AS n_values,
+  count(*) FILTER (WHERE regexp_full_match(v, '[+-]?[0-9]+')) AS n_whole,
+  count(*) FILTER (WHERE regexp_full_match(v, '[+-]?[0-9]+(\.[0-9]+)?')) AS n_number,
+  count(*) FILTER (WHERE regexp_full_match(v, '[0-9]{4}-[0-9]{2}-[0-9]{2}')) AS n_date FROM vals GROUP BY ALL)""", """
+SELECT *, CASE WHEN n_whole = n_values THEN 'bigint' WHEN n_number = n_values THEN 'double' WHEN n_date = n_values THEN 'date'
+  ELSE 'string' END AS suggested FROM counted"""),
+    "q_csv_quarantine": on_sales("""kinds AS (SELECT quantity % 10 AS k, final_amount_inr AS x FROM sales)""", """
+SELECT 'good' AS reason, count(*) AS n_lines, round(sum(x), 2) AS revenue, count(*) FILTER (WHERE k = 4) AS n_line_breaks FROM kinds WHERE k >= 4
+UNION ALL SELECT 'unreadable order_date', count(*), NULL, 0 FROM kinds WHERE k = 0 HAVING count(*) > 0
+UNION ALL SELECT 'wrong number of fields', count(*), NULL, 0 FROM kinds WHERE k IN (1, 2) HAVING count(*) > 0
+UNION ALL SELECT 'unreadable quantity', count(*), NULL, 0 FROM kinds WHERE k = 3 HAVING count(*) > 0
+UNION ALL SELECT 'unreadable final_amount_inr', count(*), NULL, 0 FROM kinds WHERE k = 3 HAVING count(*) > 0"""),
+    "q_append_batch": on_sales("""
+SELECT CASE WHEN order_year % 2 = 0 THEN 'even years' ELSE 'odd years' END AS batch, order_year, order_month, count(*) AS n_rows,
+  round(sum(final_amount_inr), 2) AS revenue FROM sales GROUP BY ALL"""),
+    "q_star_heavy": on_sales("""
+SELECT brand, customer_tier, count(*) AS n_rows, round(sum(final_amount_inr), 2) AS revenue FROM sales GROUP BY ALL"""),
     "q_sample_rows": on_sales("""
 SELECT transaction_id, order_date, round(final_amount_inr, 6) AS final_amount_inr FROM sales
 ORDER BY transaction_id, sales.final_amount_inr LIMIT 5"""),

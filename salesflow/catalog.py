@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, DoubleType, StructField
+from pyspark.sql.types import BooleanType, DoubleType, StructField, StructType
 
 from salesflow import fixed_values as fv
 from salesflow.functions.numeric import parse_price
@@ -17,6 +17,8 @@ from salesflow.plans import customer, discount, market, payment, product, revenu
 from salesflow.schema import CLEAN_SCHEMA
 from salesflow.session import scratch
 from salesflow.sources import tables
+from salesflow.sources.batches import append_batch, load_batches, write_attempt
+from salesflow.sources.quarantine import load_csv, quarantined
 from salesflow.sources.star import view
 
 MONEY_DIGITS = 2   # large sums of money
@@ -34,9 +36,10 @@ class Query:
     source: str = "sales"
     money: tuple[str, ...] = ()
     digits: int = OTHER_DIGITS
+    heavy_share: float | None = None
 
     def __call__(self, spark: SparkSession, sf_dir: str) -> DataFrame:
-        out = self.build(view(spark, sf_dir, self.source, self.columns))
+        out = self.build(view(spark, sf_dir, self.source, self.columns, self.heavy_share))
         return out.select(*[self._shown(f) for f in out.schema.fields])
 
     def _shown(self, f: StructField) -> Column:
@@ -81,7 +84,7 @@ _NUMBERS = ["original_price_inr", "discount_percent", "discounted_price_inr", "q
 def _stored_by_year(df: DataFrame) -> str:
     """The rows, stored one folder per year: even years written first, odd years appended."""
     path = scratch(df.sparkSession).new("sales")
-    odd = F.pmod(F.col("order_year"), F.lit(2)) == 1
+    odd = F.coalesce(F.pmod(F.col("order_year"), F.lit(2)) == 1, F.lit(False))   # rows without a year go with the even ones
     tables.write_by_year(df.where(~odd), path)
     tables.append_sales(df.where(odd), path)
     return path
@@ -127,6 +130,42 @@ def _csv_clean(df: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("n_rows"), F.sum(AMT).alias("revenue"))
 
 
+def _heavy_star(df: DataFrame) -> DataFrame:
+    return df.groupBy("brand", "customer_tier").agg(F.count(F.lit(1)).alias("n_rows"), F.sum(AMT).alias("revenue"))
+
+
+_LINE = ["transaction_id", "order_date", "product_name", "quantity", AMT]
+
+
+def _csv_quarantine(df: DataFrame) -> DataFrame:
+    """Lines of which some are broken (by the last digit of the quantity), read back: good rows, and bad lines by reason.
+
+    0 has no date, 1 a field less, 2 a field more, 3 a word for its quantity and no amount, 4 a quoted line break, which is good.
+    """
+    spark, path = df.sparkSession, scratch(df.sparkSession).new("lines")
+    kind, amount = F.col("quantity") % 10, F.col(AMT).cast("string")
+    name = F.when(kind == 4, F.concat(F.lit('"'), F.col("product_name"), F.lit('\nsecond ""line"", end"'))).otherwise(F.col("product_name"))
+    fields = [F.col("transaction_id"), F.when(kind == 0, F.lit("some day")).otherwise(F.col("order_date").cast("string")), name,
+              F.when(kind == 3, F.lit("many")).otherwise(F.col("quantity").cast("string")), F.when(kind == 3, F.lit("?")).otherwise(amount)]
+    line = F.when(kind == 1, F.concat_ws(",", *fields[:4])).when(kind == 2, F.concat_ws(",", *fields, F.lit("x"))).otherwise(F.concat_ws(",", *fields))
+    df.select(line.alias("value")).write.text(path)
+    bad = scratch(spark).new("quarantine")
+    good = load_csv(spark, path, StructType([CLEAN_SCHEMA[c] for c in _LINE]), bad, header=False, multiline=True)
+    out = good.agg(F.lit("good").alias("reason"), F.count(F.lit(1)).alias("n_lines"), F.sum(AMT).alias("revenue"),
+                   F.count_if(F.col("product_name").endswith('second "line", end')).alias("n_line_breaks"))
+    return out.unionByName(quarantined(spark, bad), allowMissingColumns=True).fillna(0, ["n_line_breaks"])
+
+
+def _append_batch(df: DataFrame) -> DataFrame:
+    """Two batches: one whose first write is never committed, one that is appended twice."""
+    spark, path = df.sparkSession, scratch(df.sparkSession).new("batches")
+    even = F.coalesce(F.col("order_year") % 2 == 0, F.lit(True))
+    write_attempt(df.where(even & (F.col("order_year") < 1995)), path, "even years")
+    for batch, rows in (("odd years", df.where(~even)), ("even years", df.where(even)), ("odd years", df.where(~even))):
+        append_batch(rows, path, batch)
+    return load_batches(spark, path).groupBy("batch", "order_year", "order_month").agg(F.count(F.lit(1)).alias("n_rows"), F.sum(AMT).alias("revenue"))
+
+
 _RANGES = [(1992, 1994), (1995, 1998), (1992, 1998)]
 _PROBS = [0.05, 0.25, 0.5, 0.75, 0.95]
 
@@ -172,7 +211,7 @@ QUERIES: dict[str, Query] = {
     "q_rfm_scores": Query(customer.rfm_scores, ["customer_id", "transaction_id", "order_date", AMT]),
     "q_rfm_segments": Query(customer.rfm_segments, ["customer_id", "transaction_id", "order_date", AMT]),
     "q_cohort_retention": Query(customer.cohort_retention, ["customer_id", "order_date"]),
-    "q_cohort_matrix": Query(customer.cohort_matrix, ["customer_id", "order_date"]),
+    "q_cohort_matrix": Query(customer.cohort_cells, ["customer_id", "order_date"]),
     "q_clv_customer": Query(customer.clv_by_customer, ["customer_id", AMT]),
     "q_clv_histogram": Query(customer.clv_histogram, ["customer_id", AMT], money=("bin_lo", "bin_hi")),
     "q_clv_by_tier": Query(customer.clv_by_tier, ["customer_id", "customer_tier", "order_date", AMT], money=("avg_clv",)),
@@ -311,6 +350,9 @@ QUERIES: dict[str, Query] = {
     "q_union_years": Query(_union, ["order_date", "order_year", "customer_rating"]),
     "q_csv_raw": Query(_csv_raw, ["transaction_id", "brand", "customer_city"], "raw_sales"),
     "q_csv_clean": Query(_csv_clean, ["transaction_id", "order_year", "order_month", AMT], money=("revenue",)),
-    "q_profile_types": Query(profiling.profile_types, ["transaction_id", "order_date", "quantity", AMT, "is_prime_member"]),
+    "q_csv_quarantine": Query(_csv_quarantine, _LINE, money=("revenue",)),
+    "q_append_batch": Query(_append_batch, ["order_date", "order_year", AMT], money=("revenue",)),
+    "q_star_heavy": Query(_heavy_star, ["brand", "customer_tier", AMT], money=("revenue",), heavy_share=0.0005),
+    "q_profile_types": Query(profiling.infer_types, _PROFILED, "raw_sales"),
     "q_sample_rows": Query(lambda d: tables.sample_rows(d, 5, ["transaction_id", AMT]), ["transaction_id", "order_date", AMT]),
 }

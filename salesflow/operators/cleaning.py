@@ -14,7 +14,7 @@ from salesflow.functions.dates import strip_date_text
 from salesflow.functions.numeric import clip, parse_price
 from salesflow.functions.text import capitalize, map_values, parse_flag, strip_text, title_case
 from salesflow.operators.filters import divide_where
-from salesflow.operators.ordering import exact_median, exact_quantiles
+from salesflow.operators.ordering import counted_values, exact_median, exact_quantiles
 from salesflow.session import materialize
 
 FLAGS = ["is_prime_member", "is_festival_sale", "is_prime_eligible"]
@@ -37,14 +37,27 @@ def dedup_transactions(df: DataFrame, order_cols: list[str], key: str = "transac
                        suffix: str = "_DUP") -> DataFrame:
     """Strip the duplicate mark from the id and keep the first row per id by ``order_cols``.
 
-    A minimum over the row struct, combined on the map side: many copies of one id never meet in
-    one task. Columns after ``order_cols`` break the remaining ties.
+    Hashes of the ids are counted first (fixed width, combined on the map side). Rows whose hash occurs once pass as they
+    are, neither sorted nor grouped; only the others look for their first row, as a minimum over the row struct, so
+    that many copies of one id never meet in one task. An id that shares its hash with another is merely
+    looked at twice. Columns after ``order_cols`` break the remaining ties.
     """
     rest = [c for c in df.columns if c != key and c not in order_cols]
+    clean = df.withColumn(key, F.replace(F.col(key), F.lit(suffix), F.lit("")))
+    id_hash = F.xxhash64(key)
+    again = materialize(clean.groupBy(id_hash.alias("_again")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("_again"))
+    # stored, so Spark knows its size: a broadcast if it is small, a hash join without a sort if not
+    marked = clean.join(again.hint("shuffle_hash") if _is_large(again) else again, id_hash == F.col("_again"), "left")
+    once = marked.where(F.col("_again").isNull()).select(*df.columns)
     first = F.min(F.struct(*order_cols, *rest)).alias("row")
-    clean_key = F.replace(F.col(key), F.lit(suffix), F.lit("")).alias(key)
-    picked = df.select(clean_key, *order_cols, *rest).groupBy(key).agg(first)
-    return picked.select(*[F.col(c) if c == key else F.col(f"row.{c}").alias(c) for c in df.columns])
+    picked = marked.where(F.col("_again").isNotNull()).groupBy(key).agg(first)
+    return once.unionByName(picked.select(*[F.col(c) if c == key else F.col(f"row.{c}").alias(c) for c in df.columns]))
+
+
+def _is_large(stored: DataFrame) -> bool:
+    """Whether Spark will not broadcast a stored table."""
+    limit = stored.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
+    return stored._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() > limit
 
 
 def normalize_text(df: DataFrame, col: str, spellings: dict[str, str]) -> DataFrame:
@@ -103,14 +116,16 @@ def _delivery_number(df: DataFrame, col: str) -> DataFrame:
     return out.withColumn(col, clip(col, 0.0, float(fv.MAX_DELIVERY_DAYS)))
 
 
-def clean_delivery(df: DataFrame, col: str = "delivery_days") -> DataFrame:
+def clean_delivery(df: DataFrame, col: str = "delivery_days", median: Column | None = None) -> DataFrame:
     """Delivery text to whole days; missing is the median (taken after bounding), fractions are cut off.
 
-    The median reads each distinct text once. The values are multiples of a half between 0 and 30,
-    so the built-in percentile stays small.
+    Unless ``median`` is given, it is read from the distinct texts. The values are multiples of a half
+    between 0 and 30, so the built-in percentile stays small.
     """
-    counts = _delivery_number(df.groupBy(col).agg(F.count(F.lit(1)).alias("w")), col)
-    mid = counts.agg(F.percentile(col, F.lit(0.5), F.col("w"))).scalar()
+    mid = median
+    if mid is None:
+        counts = _delivery_number(df.groupBy(col).agg(F.count(F.lit(1)).alias("w")), col)
+        mid = counts.agg(F.percentile(col, F.lit(0.5), F.col("w"))).scalar()
     days = _delivery_number(df, col)
     return days.withColumn(col, F.coalesce(F.col(col), mid).cast("int"))
 
@@ -121,11 +136,14 @@ def _rating_number(df: DataFrame, col: str) -> DataFrame:
     return out.withColumn(col, F.when(F.col(col) <= fv.MAX_RATING, F.col(col)))
 
 
-def clean_rating(df: DataFrame, col: str = "customer_rating", fill: str | None = "median") -> DataFrame:
-    """Rating text to a number up to 5; missing is the exact median, or stays null with ``fill=None``."""
+def clean_rating(df: DataFrame, col: str = "customer_rating", fill: str | None = "median",
+                 median: Column | None = None) -> DataFrame:
+    """Rating text to a number up to 5; missing is the exact median (looked up unless given), or stays null with ``fill=None``."""
     out = _rating_number(df, col)
     if fill != "median":
         return out
+    if median is not None:
+        return out.withColumn(col, F.coalesce(F.col(col), median))
     counts = _rating_number(df.groupBy(col).agg(F.count(F.lit(1)).alias("w")), col)
     return out.withColumn(col, F.coalesce(F.col(col), exact_median(counts, col, "w")))
 
@@ -156,10 +174,11 @@ def iqr_bounds(df: DataFrame, cols: list[str]) -> DataFrame:
     return q.select("column", "q1", "q3", (F.col("q1") - reach).alias("lower"), (F.col("q3") + reach).alias("upper"))
 
 
-def cap_iqr(df: DataFrame, cols: list[str]) -> DataFrame:
-    """Bound ``cols`` to their IQR limits; null stays null."""
-    limits = iqr_bounds(df, cols).agg(F.map_from_entries(F.collect_list(
-        F.struct("column", F.struct("lower", "upper"))))).scalar()
+def cap_iqr(df: DataFrame, cols: list[str], limits: Column | None = None) -> DataFrame:
+    """Bound ``cols`` to their IQR limits; null stays null. ``limits`` maps a column to its ``lower`` and ``upper`` bound."""
+    if limits is None:
+        limits = iqr_bounds(df, cols).agg(F.map_from_entries(F.collect_list(
+            F.struct("column", F.struct("lower", "upper"))))).scalar()
 
     def limit(c: str, side: str) -> Column:
         return F.try_element_at(limits, F.lit(c))[side]
@@ -167,12 +186,27 @@ def cap_iqr(df: DataFrame, cols: list[str]) -> DataFrame:
     return df.withColumns({c: clip(c, limit(c, "lower"), limit(c, "upper")) for c in cols})
 
 
+def pipeline_statistics(df: DataFrame, prices: list[str]) -> Column:
+    """Median and IQR limits of delivery days, rating and ``prices``, as one map from column to (median, lower, upper).
+
+    One pass counts the distinct values of all of them; texts are parsed and quartiles taken on those counts.
+    """
+    counted = counted_values(df, prices, ["delivery_days", "customer_rating"])
+    numbers = _rating_number(_delivery_number(counted.withColumns({"days": F.col("text"), "rating": F.col("text")}), "days"), "rating")
+    number = F.when(F.col("column") == "delivery_days", F.col("days")).when(F.col("column") == "customer_rating", F.col("rating")).otherwise(F.col("number"))
+    q = exact_quantiles(numbers.withColumn("value", number), "value", [0.25, 0.5, 0.75], ["q1", "median", "q3"], ["column"],
+                        few_groups=True, weight="w")
+    reach = (F.col("q3") - F.col("q1")) * 1.5
+    return q.agg(F.map_from_entries(F.collect_list(F.struct("column", F.struct(
+        "median", (F.col("q1") - reach).alias("lower"), (F.col("q3") + reach).alias("upper")))))).scalar()
+
+
 def clean_sales(raw: DataFrame, order_cols: list[str], iso_swap: bool = True) -> DataFrame:
     """The whole pipeline. The order of steps matters: the mode fill groups by uncleaned labels, and
     medians and quartiles are taken after the duplicates are gone.
 
-    The deduplicated table is stored once, since three statistics and the final pass read it; each
-    of them then scans only its own columns.
+    The deduplicated table is stored once: one scan of five columns counts their values for all
+    statistics, one final scan applies them.
     """
     df = fill_mode_by_group(raw, "customer_age_group", "category")
     prices = [c for c in fv.PRICE_COLUMNS[1:] if c in df.columns]
@@ -181,9 +215,9 @@ def clean_sales(raw: DataFrame, order_cols: list[str], iso_swap: bool = True) ->
         "original_price_inr": parse_price(F.col("original_price_inr").cast("string")),
         **{c: F.col(c).try_cast("double") for c in prices},
     })
-    df = materialize(dedup_transactions(df, order_cols))
-    df = clean_category(fill_festival(clean_delivery(df))).withColumns(
-        {c: parse_flag(c) for c in FLAGS if c in df.columns})
-    df = fix_scale_errors(df)
-    df = cap_iqr(df, [c for c in fv.CAPPED_COLUMNS if c in df.columns])
-    return clean_rating(df)
+    df = fix_scale_errors(materialize(dedup_transactions(df, order_cols)))
+    capped = [c for c in fv.CAPPED_COLUMNS if c in df.columns]
+    found = pipeline_statistics(df, capped)
+    df = clean_delivery(df, median=F.try_element_at(found, F.lit("delivery_days"))["median"])
+    df = clean_category(fill_festival(df)).withColumns({c: parse_flag(c) for c in FLAGS if c in df.columns})
+    return clean_rating(cap_iqr(df, capped, found), median=F.try_element_at(found, F.lit("customer_rating"))["median"])

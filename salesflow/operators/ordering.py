@@ -14,6 +14,18 @@ from salesflow.operators.aggregate import not_null
 from salesflow.session import materialize
 
 
+def counted_values(df: DataFrame, numbers: list[str], texts: list[str] = ()) -> DataFrame:
+    """How often each non-null value occurs in each column: column, text or number, w. One pass, stored.
+
+    Repeats are combined on the map side, so statistics of any number of columns read distinct values only.
+    """
+    none_text, none_number = F.lit(None).cast("string"), F.lit(None).cast("double")
+    cells = [F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("text"), none_number.alias("number")) for c in texts]
+    cells += [F.struct(F.lit(c).alias("column"), none_text.alias("text"), F.col(c).cast("double").alias("number")) for c in numbers]
+    long = df.select(F.inline(F.array(*cells))).where(F.col("text").isNotNull() | F.col("number").isNotNull())
+    return materialize(long.groupBy("column", "text", "number").agg(F.count(F.lit(1)).alias("w")))
+
+
 def values_at_ranks(df: DataFrame, groups: list[str], sort_cols: list[str], weight: str, wanted,
                     few_groups: bool = False) -> DataFrame:
     """The rows that stand at wanted ranks (from 0) inside their group.

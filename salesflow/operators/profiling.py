@@ -9,7 +9,7 @@ from salesflow.functions.numeric import safe_div
 from salesflow.functions.text import strip_text
 from salesflow.operators.aggregate import top_n
 from salesflow.operators.filters import find_products
-from salesflow.operators.ordering import exact_quantiles
+from salesflow.operators.ordering import counted_values, exact_quantiles
 from salesflow.operators.sketches import DISTINCT_BOUND, build_sketches, distinct_of
 from salesflow.session import materialize
 
@@ -30,6 +30,21 @@ def profile_types(df: DataFrame) -> DataFrame:
     return df.sparkSession.createDataFrame(df.dtypes, "column string, type string")
 
 
+def infer_types(df: DataFrame) -> DataFrame:
+    """What each column is and holds: column, type, n_values, and how many values read as a whole number, a number and an ISO date,
+    with the narrowest type that reads all of them. Texts are looked at once per distinct value."""
+    whole, number, date = (F.col("value").rlike(p) for p in (r"^[+-]?[0-9]+$", r"^[+-]?[0-9]+(\.[0-9]+)?$", r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$"))
+
+    def times(hit):
+        return F.coalesce(F.sum(F.when(hit, F.col("w"))), F.lit(0))
+
+    found = _long_counts(df, df.columns).groupBy("column").agg(
+        F.sum("w").alias("n_values"), times(whole).alias("n_whole"), times(number).alias("n_number"), times(date).alias("n_date"))
+    n = F.col("n_values")
+    suggested = F.when(F.col("n_whole") == n, "bigint").when(F.col("n_number") == n, "double").when(F.col("n_date") == n, "date").otherwise("string")
+    return found.join(F.broadcast(profile_types(df)), "column").select("column", "type", "n_values", "n_whole", "n_number", "n_date", suggested.alias("suggested"))
+
+
 def _long_counts(df: DataFrame, cols: list[str]) -> DataFrame:
     """How often each non-null value occurs in each column; repeats are combined on the map side."""
     cells = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in cols])
@@ -55,28 +70,35 @@ def nunique_holds(df: DataFrame) -> DataFrame:
 
 def profile_describe(df: DataFrame) -> DataFrame:
     """Count, distinct, most frequent value (smallest on ties) of text columns; moments and exact
-    quartiles of number columns. Booleans and dates are described as text."""
+    quartiles of number columns. Booleans and dates are described as text.
+
+    The rows are read once, to count the distinct values of every column; everything comes from those counts.
+    """
     numbers = [c for c, t in df.dtypes if t.startswith(_NUMBER)]
     texts = [c for c in df.columns if c not in numbers]
     null_text, null_num = F.lit(None).cast("string"), F.lit(None).cast("double")
-    parts = []
-    if texts:
-        t = _long_counts(df, texts).groupBy("column").agg(
-            F.sum("w").alias("count"), F.count(F.lit(1)).cast("double").alias("unique"),
-            F.min_by("value", F.struct(-F.col("w"), F.col("value"))).alias("top"), F.max("w").cast("double").alias("freq"))
-        parts.append(t.select("column", "count", "unique", "top", "freq",
-                              *[null_num.alias(c) for c in ("mean", "std", "min", "p25", "p50", "p75", "max")]))
-    if numbers:
-        cells = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in numbers])
-        long = df.select(F.inline(cells))
-        m = long.groupBy("column").agg(F.count("value").alias("count"), F.avg("value").alias("mean"),
-                                       F.stddev_samp("value").alias("std"), F.min("value").alias("min"),
-                                       F.max("value").alias("max"))
-        q = exact_quantiles(long, "value", [0.25, 0.5, 0.75], ["p25", "p50", "p75"], ["column"], few_groups=True)
-        parts.append(m.join(q.drop("n"), "column", "left").select(
-            "column", "count", null_num.alias("unique"), null_text.alias("top"), null_num.alias("freq"),
-            "mean", "std", "min", "p25", "p50", "p75", "max"))
-    return parts[0].unionByName(parts[1]) if len(parts) == 2 else parts[0]
+    counted = counted_values(df, numbers, texts)
+    t = counted.where(F.col("text").isNotNull()).groupBy("column").agg(
+        F.sum("w").alias("count"), F.count(F.lit(1)).cast("double").alias("unique"),
+        F.min_by("text", F.struct(-F.col("w"), F.col("text"))).alias("top"), F.max("w").cast("double").alias("freq"))
+    out = t.select("column", "count", "unique", "top", "freq",
+                   *[null_num.alias(c) for c in ("mean", "std", "min", "p25", "p50", "p75", "max")])
+    if not numbers:
+        return out
+    values = counted.where(F.col("number").isNotNull())
+    m = values.groupBy("column").agg(F.sum("w").alias("count"), (F.sum(F.col("w") * F.col("number")) / F.sum("w")).alias("mean"),
+                                     F.min("number").alias("min"), F.max("number").alias("max"))
+    m = materialize(m)   # one row per column
+    away = F.col("number") - F.col("mean")
+    spread = values.join(F.broadcast(m.select("column", "mean")), "column").groupBy("column").agg(
+        F.sqrt(F.sum(F.col("w") * away * away) / F.nullif(F.sum("w") - 1, F.lit(0))).alias("std"))
+    q = exact_quantiles(values, "number", [0.25, 0.5, 0.75], ["p25", "p50", "p75"], ["column"], few_groups=True, weight="w")
+    # a column without values is there with a count of 0
+    named = df.sparkSession.createDataFrame([(c,) for c in numbers], "column string")
+    rows = named.join(m, "column", "left").join(spread, "column", "left").join(q.drop("n"), "column", "left")
+    return out.unionByName(rows.select(
+        "column", F.coalesce("count", F.lit(0)).alias("count"), null_num.alias("unique"), null_text.alias("top"), null_num.alias("freq"),
+        "mean", "std", "min", "p25", "p50", "p75", "max"))
 
 
 def value_counts(df: DataFrame, col: str, n: int | None = None, clean=None) -> DataFrame:

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,27 +15,89 @@ from salesflow.operators.aggregate import not_null
 from salesflow.operators.ordering import exact_quantiles
 from salesflow.session import materialize
 
+HELD_GROUPS = 1000   # groups whose moments a task holds before it gives them out
 BOX = ["min", "q1", "median", "q3", "max"]
 _BOX_PROBS = [0.0, 0.25, 0.5, 0.75, 1.0]
 
 
+_MOMENTS = ["n", "mean_x", "mean_y", "xx", "yy", "xy"]
+
+
+def _add_moments(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Moments of two sets of rows together (counts, means, centred sums of squares and products)."""
+    n = a[0] + b[0]
+    share = np.divide(b[0], n, out=np.zeros_like(n), where=n > 0)
+    dx, dy, w = b[1] - a[1], b[2] - a[2], a[0] * share
+    return np.stack([n, a[1] + dx * share, a[2] + dy * share, a[3] + b[3] + dx * dx * w, a[4] + b[4] + dy * dy * w, a[5] + b[5] + dx * dy * w])
+
+
+def _moments(x: np.ndarray) -> np.ndarray:
+    """Moments of every pair of columns over the rows where both are there, by matrix products of centred values."""
+    there = ~np.isnan(x)
+    centre = np.divide(np.where(there, x, 0).sum(axis=0), there.sum(axis=0), out=np.zeros(x.shape[1]), where=there.any(axis=0))
+    z, m = np.where(there, x - centre, 0.0), there.astype(float)
+    n, s, q, p = m.T @ m, z.T @ m, (z * z).T @ m, z.T @ z     # s and q: of the row's column, over the complete pairs
+    mean = np.divide(s, n, out=np.zeros_like(n), where=n > 0)
+    xx = q - mean * s
+    return np.stack([n, centre[:, None] + mean, (centre[:, None] + mean).T, xx, xx.T, p - mean * s.T])
+
+
+def _moment_rows(cols: int, groups: int):
+    """The moments of every pair in a task's rows, one row per group and pair."""
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        upper = np.triu_indices(cols)
+
+        def given(name: tuple, moments: np.ndarray) -> pa.RecordBatch:
+            cells = [pa.array([v] * len(upper[0])) for v in name]
+            return pa.RecordBatch.from_arrays([*cells, *[pa.array(u.astype(np.int32)) for u in upper], *[pa.array(x[upper]) for x in moments]],
+                                              names=[*[f"g{i}" for i in range(groups)], "i", "j", *_MOMENTS])
+
+        held: dict[tuple, np.ndarray] = {}
+        for batch in batches:
+            x = np.column_stack([batch.column(groups + i).to_numpy(zero_copy_only=False) for i in range(cols)]).astype(float)
+            if groups:
+                names = list(zip(*(batch.column(i).to_pylist() for i in range(groups))))
+                number = {name: i for i, name in enumerate(dict.fromkeys(names))}
+                code = np.array([number[name] for name in names], np.int64)
+                order = np.argsort(code, kind="stable")
+                parts = zip(number, np.split(x[order], np.searchsorted(code[order], np.arange(1, len(number)))))
+            else:
+                parts = [((), x)]
+            for name, part in parts:
+                mine = _moments(part)
+                held[name] = _add_moments(held[name], mine) if name in held else mine
+            if len(held) > HELD_GROUPS:
+                yield from (given(*h) for h in held.items())
+                held = {}
+        yield from (given(*h) for h in held.items())
+    return rows
+
+
 def corr_matrix(df: DataFrame, cols: list[str], groups: list[str] = ()) -> DataFrame:
-    """Long Pearson matrix over complete pairs; booleans count as 0/1.
+    """Long Pearson matrix over complete pairs; booleans count as 0/1, and a constant side gives null.
 
-    Each row yields its complete pairs and one small set of moments is kept per pair, combined on
-    the map side. One wide aggregate over all pairs would outgrow the generated code instead.
+    Each task turns its Arrow batches into one matrix of pairwise moments per group (centred, so large values keep their digits);
+    Spark adds the matrices of all tasks. Rows are neither copied per pair nor shuffled.
     """
     groups = list(groups)
-    values = F.array(*[F.col(c).cast("double") for c in cols]).alias("v")
-    pairs = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"))
-                      for i in range(len(cols)) for j in range(i, len(cols))])
-    long = not_null(df, groups).select(*groups, values).select(*groups, "v", F.inline(pairs))
-    moments = (long.select(*groups, "i", "j", F.get("v", "i").alias("x"), F.get("v", "j").alias("y"))
-               .groupBy(*groups, "i", "j").agg(safe_corr("x", "y").alias("corr")))
-    both = F.array(F.struct(F.col("i").alias("a"), F.col("j").alias("b")), F.struct(F.col("j").alias("a"), F.col("i").alias("b")))
-    cells = moments.select(*groups, "corr", F.inline(F.array_distinct(both)))
-    name = F.array(*[F.lit(c) for c in cols])
-    return cells.select(*groups, F.get(name, "a").alias("col_x"), F.get(name, "b").alias("col_y"), "corr")
+    values = not_null(df, groups).select(*groups, *[F.col(c).cast("double").alias(f"_v{i}") for i, c in enumerate(cols)])
+    kinds = [f"g{i} {df.schema[g].dataType.simpleString()}" for i, g in enumerate(groups)]
+    part = values.mapInArrow(_moment_rows(len(cols), len(groups)), ", ".join([*kinds, "i int", "j int", *[f"{m} double" for m in _MOMENTS]]))
+    keys = [*[f"g{i}" for i in range(len(groups))], "i", "j"]
+    # a row per task and pair: the totals of a pair come first, then what its tasks' means differ from them
+    everything = Window.partitionBy(*keys)
+    part = part.where("n > 0").withColumns({f"all_{m}": safe_div(F.sum(F.col("n") * F.col(m)).over(everything), F.sum("n").over(everything))
+                                            for m in ("mean_x", "mean_y")})
+    dx, dy = F.col("mean_x") - F.col("all_mean_x"), F.col("mean_y") - F.col("all_mean_y")
+    sums = part.groupBy(*keys).agg(F.sum(F.col("xx") + F.col("n") * dx * dx).alias("xx"), F.sum(F.col("yy") + F.col("n") * dy * dy).alias("yy"),
+                                   F.sum(F.col("xy") + F.col("n") * dx * dy).alias("xy"))
+    cells = sums.select(*[F.col(f"g{i}").alias(g) for i, g in enumerate(groups)], "i", "j", safe_div("xy", F.sqrt(F.col("xx") * F.col("yy"))).alias("corr"))
+    # pairs that no row completes are in the matrix with null
+    listed = [(i, j) for i in range(len(cols)) for j in range(i, len(cols))]
+    found = cells.groupBy(*groups).agg(F.map_from_entries(F.collect_list(F.struct(F.struct("i", "j"), F.col("corr")))).alias("found"))
+    grid = F.array(*[F.struct(F.lit(cols[a]).alias("col_x"), F.lit(cols[b]).alias("col_y"), F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")).alias("at"))
+                     for i, j in listed for a, b in {(i, j), (j, i)}])
+    return found.select(*groups, "found", F.inline(grid)).select(*groups, "col_x", "col_y", F.try_element_at("found", F.col("at")).alias("corr"))
 
 
 def ols_by(df: DataFrame, x: str, y: str, groups: list[str]) -> DataFrame:

@@ -67,17 +67,27 @@ def cohort_retention(sales: DataFrame) -> DataFrame:
             .withColumn("retention_rate", F.col("customers") / F.col("cohort_size")))
 
 
-def cohort_matrix(sales: DataFrame, months: list[int] | None = None) -> DataFrame:
-    """Retention with one column per number of months since the first order that occurs (or that is asked for).
+def cohort_matrix(sales: DataFrame) -> DataFrame:
+    """Retention of each cohort as one dense array: ``rates[n]`` is the share that orders n months after the first order.
 
-    Finding the numbers is a job of its own; calendar months bound them, so no cell is left out.
+    All arrays reach to the last month that any cohort has; a month without orders is null. The shape of the
+    result does not depend on the data, and calendar months bound the arrays.
     """
-    cells = cohort_retention(sales)
-    if months is None:
-        cells = materialize(cells)
-        months = sorted(r.months_since for r in cells.select("months_since").distinct().collect())
-    wide = cells.groupBy("cohort_month").pivot("months_since", months or [0]).agg(F.max("retention_rate"))
-    return wide.select("cohort_month", *[F.col(f"`{m}`").alias(f"m{m}") for m in months])
+    cells = materialize(cohort_retention(sales))
+    last = cells.agg(F.max("months_since")).scalar()
+    rates = F.map_from_entries(F.collect_list(F.struct("months_since", "retention_rate")))
+    by_month = cells.groupBy("cohort_month").agg(rates.alias("found")).withColumn("months", F.sequence(F.lit(0), last))
+    return by_month.select("cohort_month", F.transform("months", lambda m: F.try_element_at("found", m)).alias("rates"))
+
+
+def cohort_cells(sales: DataFrame) -> DataFrame:
+    """The matrix cell by cell, absent ones included: cohort_month, months_since, retention_rate."""
+    return cohort_matrix(sales).select("cohort_month", F.posexplode("rates").alias("months_since", "retention_rate"))
+
+
+def cohort_columns(sales: DataFrame, months: list[int]) -> DataFrame:
+    """The matrix with one column ``m<n>`` for each number of months asked for."""
+    return cohort_matrix(sales).select("cohort_month", *[F.get("rates", F.lit(m)).alias(f"m{m}") for m in months])
 
 
 def clv_by_customer(sales: DataFrame) -> DataFrame:
@@ -141,8 +151,8 @@ def _tidied(agg: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def _tidy(df: DataFrame) -> DataFrame:
-    """Rows in the order of their labels (age groups, tiers, bands)."""
-    return df.orderBy("ord").drop("ord")
+    """Rows in the order of their labels (age groups, tiers, bands); ``ord`` is the label's position from 0."""
+    return df.orderBy("ord")
 
 
 def age_subcategory(sales: DataFrame) -> DataFrame:
@@ -206,7 +216,8 @@ def loyalty_evolution(sales: DataFrame) -> DataFrame:
     tier = (F.when(x <= q[0], fv.LOYALTY_TIERS[0]).when(x <= q[1], fv.LOYALTY_TIERS[1])
             .when(x <= q[2], fv.LOYALTY_TIERS[2]).otherwise(fv.LOYALTY_TIERS[3]))
     rows = counts.groupBy("order_year", tier.alias("loyalty_tier")).agg(F.sum("w").alias("customer_count"))
-    return rows.orderBy("order_year", F.array_position(F.array(*[F.lit(t) for t in fv.LOYALTY_TIERS]), F.col("loyalty_tier")))
+    place = F.array_position(F.array(*[F.lit(t) for t in fv.LOYALTY_TIERS]), F.col("loyalty_tier")).cast("int") - 1
+    return rows.withColumn("ord", place).orderBy("order_year", "ord")
 
 
 # ---- returns ----

@@ -14,6 +14,8 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from salesflow.operators.skew import skew_join
+
 _PRICE = "l_extendedprice / l_quantity"
 _AMOUNT = "l_extendedprice * (1 - l_discount)"
 _FESTIVAL = """case
@@ -132,9 +134,12 @@ _NEEDS = {"": set(), "part": {"part"}, "orders": {"orders"}, "customer": {"order
           "nation": {"orders", "customer", "nation"}, "region": {"orders", "customer", "nation", "region"}}
 
 
-def view(spark: SparkSession, sf_dir: str, name: str, columns: list[str] | None = None) -> DataFrame:
+def view(spark: SparkSession, sf_dir: str, name: str, columns: list[str] | None = None, heavy_share: float | None = None) -> DataFrame:
     """``sales`` or ``raw_sales`` with ``columns`` (all by default).
 
+    With ``heavy_share`` products and customers that hold at least this share of their fact's rows are joined apart from the
+    others (see ``operators.skew``), so that the plan does not need AQE to split them.
+
     The session setting ``salesflow.view.spread`` names a number of partitions to spread the line
     items over. Set it only where the table is one small file with a single row group, which Spark
     reads in one task; it is unset by default, and large tables need no such exchange.
@@ -152,8 +157,13 @@ def view(spark: SparkSession, sf_dir: str, name: str, columns: list[str] | None
         used = set(re.findall(r"\bl_\w+", " ".join(spec[c][0] for c in columns)))
         used |= {"l_orderkey"} | ({"l_partkey"} if "part" in tables else set())
         lines = lines.select(*sorted(used)).repartition(int(spread), "l_orderkey")
+    def meet(fact: DataFrame, dim: DataFrame, fact_key: str, dim_key: str) -> DataFrame:
+        if heavy_share:
+            return skew_join(fact, dim, fact_key, dim_key, heavy_share)
+        return fact.join(dim, F.col(fact_key) == F.col(dim_key))
+
     if "part" in tables:
-        lines = lines.join(read("part"), F.col("l_partkey") == F.col("p_partkey"))
+        lines = meet(lines, read("part"), "l_partkey", "p_partkey")
     if "orders" in tables:
         # one date per order, not one per line item
         orders = read("orders").withColumn("o_orderdate", F.col("o_orderdate").cast("date"))
@@ -164,6 +174,6 @@ def view(spark: SparkSession, sf_dir: str, name: str, columns: list[str] | None
                 if "region" in tables:
                     nations = nations.join(read("region"), F.col("n_regionkey") == F.col("r_regionkey"))
                 customers = customers.join(nations, F.col("c_nationkey") == F.col("n_nationkey"))
-            orders = orders.join(customers, F.col("o_custkey") == F.col("c_custkey"))
+            orders = meet(orders, customers, "o_custkey", "c_custkey")
         lines = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
     return lines.select(*[F.expr(spec[c][0]).alias(c) for c in columns])

@@ -13,6 +13,7 @@ from salesflow.functions.text import capitalize, festival_key, is_returned, map_
 from salesflow.operators import cleaning
 from salesflow.operators.aggregate import dense, pct_change
 from salesflow.operators.filters import apply_filters, find_products
+from salesflow.operators.profiling import infer_types, profile_describe
 from salesflow.operators.stats import corr_matrix, ols_by, t_test_1samp, z_test
 from salesflow.plans import customer, market, product, revenue
 from salesflow.schema import detect_column, require_columns
@@ -202,4 +203,61 @@ def test_cohort_month_zero_is_everyone(spark):
                                "customer_id long, order_date date")
     got = {(r.cohort_month, r.months_since): (r.customers, r.retention_rate) for r in customer.cohort_retention(df).collect()}
     assert got == {(d(2020, 1, 1), 0): (2, 1.0), (d(2020, 1, 1), 2): (1, 0.5), (d(2020, 2, 1), 0): (1, 1.0)}
-    assert customer.cohort_matrix(df).columns == ["cohort_month", "m0", "m1", "m2"]
+    assert sorted(values(customer.cohort_matrix(df))) == [(d(2020, 1, 1), [1.0, None, 0.5]), (d(2020, 2, 1), [1.0, None, None])]
+    assert len(values(customer.cohort_cells(df))) == 6
+    wide = customer.cohort_columns(df, [0, 2, 7])
+    assert wide.columns == ["cohort_month", "m0", "m2", "m7"] and sorted(values(wide))[0][1:] == (1.0, 0.5, None)
+    assert values(customer.cohort_matrix(df.limit(0))) == []
+
+
+def test_labels_carry_their_position(spark):
+    df = spark.createDataFrame([("55+", "s", 5.0), ("18-25", "s", 1.0), (" 26-35", "s", 2.0)], "customer_age_group string, subcategory string, final_amount_inr double")
+    got = values(customer.age_subcategory(df), "ord", "age_group", "revenue")
+    assert got == [(0, "18-25", 1.0), (1, "26-35", 2.0), (2, "36-45", 0.0), (3, "46-55", 0.0), (4, "55+", 5.0)]
+
+
+def test_correlations_over_many_tasks_and_large_values(spark):
+    x = F.col("id").cast("double")
+    df = spark.range(4000, numPartitions=7).select(
+        (x % 3).cast("string").alias("g"), (x + 1e9).alias("a"), F.when(F.col("id") % 5 != 0, F.sin(x) * 1e-3 + 1e6).alias("b"),
+        F.lit(4.0).alias("k"), F.lit(None).cast("double").alias("none"), (F.col("id") % 2 == 0).alias("flag"))
+    frame = df.toPandas()
+    for groups, parts in ((["g"], frame.groupby("g")), ([], [((), frame)])):
+        got = {(r["g"] if groups else (), r.col_x, r.col_y): r["corr"] for r in corr_matrix(df, ["a", "b", "k", "none", "flag"], groups).collect()}
+        assert len(got) == 25 * (3 if groups else 1)
+        for name, rows in parts:
+            want = rows[["a", "b", "k", "flag"]].astype(float).corr()
+            for c in ("a", "b", "flag"):
+                for c2 in ("a", "b", "flag"):
+                    assert got[name, c, c2] == pytest.approx(want.loc[c, c2], abs=1e-6)
+                assert got[name, c, "k"] is None and got[name, "none", c] is None
+    assert "Generate" not in corr_matrix(df, ["a", "b"])._jdf.queryExecution().executedPlan().toString().split("MapInArrow")[1]
+    assert values(corr_matrix(df.limit(0), ["a", "b"], ["g"])) == []
+
+
+def test_describe_reads_distinct_values(spark):
+    df = spark.createDataFrame([("b", 1.5, None, True), ("a", 2.5, None, None), ("a", 2.5, None, False), (None, None, None, True), ("b", -4.0, None, True)],
+                               "t string, x double, none int, flag boolean")
+    got = {r.column: r for r in profile_describe(df).collect()}
+    assert set(got) == {"t", "x", "none", "flag"}
+    assert (got["t"]["count"], got["t"].unique, got["t"].top, got["t"].freq) == (4, 2.0, "a", 2.0)
+    x = df.toPandas().x
+    assert got["x"]["count"] == 4 and got["x"]["mean"] == pytest.approx(x.mean()) and got["x"]["std"] == pytest.approx(x.std())
+    assert (got["x"]["min"], got["x"].p25, got["x"].p50, got["x"].p75, got["x"]["max"]) == tuple(x.quantile([0, .25, .5, .75, 1]))
+    assert got["none"]["count"] == 0 and got["none"]["mean"] is None and got["flag"].top == "true"
+
+
+def test_types_of_texts(spark):
+    df = spark.createDataFrame([("1", "1.5", "2020-01-05", "x", None), ("-2", "7", "2020-02-30", "3", None)], "a string, b string, c string, d string, e string")
+    got = {r.column: (r.n_values, r.n_whole, r.n_number, r.n_date, r.suggested) for r in infer_types(df).collect()}
+    assert got == {"a": (2, 2, 2, 0, "bigint"), "b": (2, 1, 2, 0, "double"), "c": (2, 0, 0, 2, "date"), "d": (2, 1, 1, 0, "string")}
+
+
+def test_dedup_sorts_only_repeats(spark):
+    rows = [(f"T{i}", i, "single") for i in range(50)] + [(f"T{i % 5}_DUP", 100 + i, "copy") for i in range(3000)] + [(None, 7, "x"), (None, 3, "y")]
+    df = spark.createDataFrame(rows, "transaction_id string, seq int, note string")
+    got = cleaning.dedup_transactions(df, ["seq"])
+    assert sorted(values(got), key=str) == sorted([*rows[:50], (None, 3, "y")], key=str)
+    assert "_again" not in got.columns and values(cleaning.dedup_transactions(df.limit(0), ["seq"])) == []
+    text = got._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in text

@@ -2,10 +2,16 @@
 
 import datetime as dt
 
+import pytest
 from conftest import values
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from salesflow.catalog import QUERIES
+from salesflow.catalog import QUERIES, _stored_by_year
+from salesflow.operators.skew import heavy_keys, skew_join
 from salesflow.schema import CLEAN_SCHEMA
+from salesflow.sources.batches import append_batch, commit_attempt, load_batches, write_attempt
+from salesflow.sources.quarantine import FIELDS, load_csv, quarantined
 from salesflow.sources.star import view
 from salesflow.sources.tables import (append_sales, load_sales, read_clean_csv, read_raw_csv, sample_rows, union_years,
                                       with_order_year, write_by_year, write_csv)
@@ -49,6 +55,85 @@ def test_csv_round_trip(spark, tmp_path):
     assert read_clean_csv(spark, str(tmp_path / "clean")).schema == CLEAN_SCHEMA
 
 
+def test_rows_without_a_year_are_stored_and_read(spark):
+    df = spark.createDataFrame([(dt.date(2020, 1, 5), 2020, 1.0), (None, None, 2.0)], "order_date date, order_year int, final_amount_inr double")
+    assert load_sales(spark, _stored_by_year(df)).count() == 2
+
+
+LINES = """a,2020-01-05,"x, y",3,1.5
+b,not a day,z,4,2.5
+c,2020-01-06,z,4
+d,2020-01-06,z,4,5,6
+e,2020-01-07,"two
+lines ""q"" end",,2.0
+f,bad,z,many,?
+,,,,
+"""
+
+
+def test_bad_lines_are_kept_with_their_reasons(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.csv").write_text("id,day,name,n,x\n" + LINES)
+    schema = T.StructType().add("id", "string").add("day", "date").add("name", "string").add("n", T.IntegerType()).add("x", "double")
+    for multiline in (True, False):
+        good = load_csv(spark, str(tmp_path / "in"), schema, str(tmp_path / "bad"), multiline=multiline)
+        assert good.schema == schema
+        reasons = {r.reason: r.n_lines for r in quarantined(spark, str(tmp_path / "bad")).collect()}
+        names = {r.id: r.name for r in good.collect()}
+        if multiline:
+            assert names == {"a": "x, y", "e": 'two\nlines "q" end', None: None}
+            assert reasons == {"unreadable day": 2, FIELDS: 2, "unreadable n": 1, "unreadable x": 1}
+            bad = spark.read.parquet(str(tmp_path / "bad")).collect()
+            assert sorted(r.line.strip()[:1] for r in bad) == ["b", "c", "d", "f"] and all(str(tmp_path) in r.source for r in bad)
+        else:
+            assert set(names) == {"a", None} and reasons[FIELDS] == 4
+    (tmp_path / "in" / "a.csv").write_text("id,day,name,n,x\n")
+    assert load_csv(spark, str(tmp_path / "in"), schema, str(tmp_path / "bad")).count() == 0
+    assert quarantined(spark, str(tmp_path / "bad")).count() == 0
+
+
+def test_a_repeated_append_replaces_its_batch(spark, tmp_path):
+    path = str(tmp_path / "b")
+    rows = lambda *xs: spark.createDataFrame([(dt.date(y, 1, 2), y, v) for y, v in xs], "order_date date, order_year int, v int")
+    got = lambda **kw: sorted(values(load_batches(spark, path, **kw), "batch", "order_year", "v"))
+    attempt = write_attempt(rows((2019, 1)), path, "007")
+    assert got() == []                                        # nothing is committed yet
+    append_batch(rows((2019, 1), (2020, 2)), path, "007")
+    append_batch(rows((2020, 3)), path, "2")
+    append_batch(rows((2019, 1), (2020, 2)), path, "007")       # a retry
+    assert got() == [("007", 2019, 1), ("007", 2020, 2), ("2", 2020, 3)]
+    append_batch(rows((2021, 9)), path, "007")                  # other years than before
+    assert got() == [("007", 2021, 9), ("2", 2020, 3)] and got(years=[2020]) == [("2", 2020, 3)]
+    commit_attempt(spark, path, "007", attempt)                 # a late commit wins
+    assert got() == [("007", 2019, 1), ("2", 2020, 3)]
+    assert "PartitionFilters: [isnotnull" in plan(load_batches(spark, path, [2020])) or "PartitionFilters: [order_year" in plan(load_batches(spark, path, [2020]))
+
+
+def test_heavy_keys_are_joined_apart(spark):
+    n = 200_000
+    fact = spark.range(n, numPartitions=6).select(F.when(F.col("id") % 10 < 9, 7).when(F.col("id") % 1000 == 999, None).otherwise(F.col("id") % 500).alias("k"), "id")
+    dim = spark.range(490).select(F.col("id").alias("d"), (F.col("id") * 2).alias("twice"))
+    want = fact.join(dim, F.col("k") == F.col("d"))
+    assert [r[0] for r in heavy_keys(fact, "k", 0.01).select("heavy_key").collect()] == [7]
+    old = {c: spark.conf.get(c) for c in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", False)
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+        got = skew_join(fact, dim, "k", "d", 0.01)
+        tasks = sorted(r["count"] for r in got.groupBy(F.spark_partition_id()).count().collect())
+        plain = sorted(r["count"] for r in want.groupBy(F.spark_partition_id()).count().collect())
+        assert tasks[-1] <= 3 * tasks[len(tasks) // 2] and plain[-1] > 5 * plain[len(plain) // 2]
+        assert sorted(values(got)) == sorted(values(want))
+        twice = dim.union(dim)
+        assert skew_join(fact, twice, "k", "d", 0.5).count() == 2 * want.count()
+    finally:
+        for c, v in old.items():
+            spark.conf.set(c, v)
+    assert skew_join(fact.limit(0), dim, "k", "d").count() == 0
+    with pytest.raises(ValueError):
+        heavy_keys(fact, "k", 0)
+
+
 def test_union_sample_year(spark):
     a = spark.createDataFrame([(1, "x")], "k int, v string")
     b = spark.createDataFrame([(2,)], "k int")
