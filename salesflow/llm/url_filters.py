@@ -8,8 +8,6 @@ from pyspark.sql import functions as F
 from salesflow.llm.tables import table
 
 SALTS = 16
-MAX_LABELS = 8     # host suffixes that are looked up, from the full host down
-MAX_SEGMENTS = 8   # path prefixes that are looked up
 
 
 def host_of(url: Column) -> Column:
@@ -18,57 +16,65 @@ def host_of(url: Column) -> Column:
     return F.nullif(host, F.lit(""))
 
 
-def url_keys(url: Column) -> Column:
+def url_keys(url: Column, labels_up_to: int | None = None, segments_up_to: int | None = None) -> Column:
     """Lookup keys of a URL: every suffix of its host, and its host with every leading part of its path.
 
-    The numbers of labels and segments are limits of the rule (an entry may name a host of up to
-    MAX_LABELS labels below the top and a path of up to MAX_SEGMENTS segments).
+    The limits, if given, leave out keys of more labels or segments than any list entry has.
     """
     host = host_of(url)
     labels = F.split(host, r"\.")
     path = F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*(/[^?#]*)", 1)
     parts = F.filter(F.split(path, "/"), lambda p: p != "")
-    domains = F.transform(F.sequence(F.lit(1), F.least(F.size(labels), F.lit(MAX_LABELS))),
-                          lambda n: F.concat(F.lit("d:"), F.array_join(F.slice(labels, -n, n), ".")))
-    prefixes = F.when(F.size(parts) > 0, F.transform(
-        F.sequence(F.lit(1), F.least(F.size(parts), F.lit(MAX_SEGMENTS))),
-        lambda n: F.concat(F.lit("p:"), host, F.lit("/"), F.array_join(F.slice(parts, F.lit(1), n), "/"))))
+
+    def up_to(n: Column, most: int | None) -> Column:
+        n = n if most is None else F.least(n, F.lit(most))
+        return F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
+
+    domains = F.transform(up_to(F.size(labels), labels_up_to), lambda n: F.concat(F.lit("d:"), F.array_join(F.slice(labels, -n, n), ".")))
+    prefixes = F.transform(up_to(F.size(parts), segments_up_to),
+                           lambda n: F.concat(F.lit("p:"), host, F.lit("/"), F.array_join(F.slice(parts, F.lit(1), n), "/")))
     return F.when(host.isNotNull(), F.concat(domains, F.coalesce(prefixes, F.array().cast("array<string>"))))
 
 
+def longest_entries(entries: DataFrame, url_key: str = "url_key") -> tuple[int, int]:
+    """The most host labels and the most path segments of any list entry: two numbers."""
+    k = F.col(url_key)
+    found = entries.agg(F.max(F.when(k.startswith("d:"), F.size(F.split(k, r"\.")))), F.max(F.when(k.startswith("p:"), F.size(F.split(k, "/")) - 1))).first()
+    return found[0] or 0, found[1] or 0
+
+
 def validity_intervals(entries: DataFrame) -> DataFrame:
     """(list_name, url_key, valid_from, valid_to) from dated entries (list_name, url_key, action, listed_at).
 
-    ``action`` is 'add' or 'remove'. The last action of a key on a day counts (ties: 'remove' wins), from that
-    day on, until the next day with another action; an open interval ends with null. Days are aggregated
-    first, so a hot key has one row per day when its history is ordered. Rows with nulls are left out.
+    ``action`` is 'add' or 'remove' and counts from its own time on (of several at one time 'remove' wins), until the next
+    time with another action; an open interval ends with null. Rows with nulls are left out. Repeats of an action
+    within a day are dropped before a key's whole history is put in order, so a hot key takes part with its changes only.
     """
-    days = entries.dropna(subset=["list_name", "url_key", "action", "listed_at"]).groupBy(
-        "list_name", "url_key", F.to_date("listed_at").alias("day")).agg(
-        F.max(F.struct("listed_at", "action"))["action"].alias("action"))
-    history = Window.partitionBy("list_name", "url_key").orderBy("day")
-    changed = days.withColumn("prior", F.lag("action").over(history)).where(
-        F.col("prior").isNull() | (F.col("prior") != F.col("action")))
-    spans = changed.withColumn("valid_to", F.lead("day").over(history))
-    return spans.where(F.col("action") == "add").select("list_name", "url_key", F.col("day").alias("valid_from"), "valid_to")
+    times = entries.dropna(subset=["list_name", "url_key", "action", "listed_at"]).groupBy("list_name", "url_key", "listed_at").agg(F.max("action").alias("action"))
+    own = ["list_name", "url_key"]
+    for part in ([*own, F.to_date("listed_at")], own):
+        prior = F.lag("action").over(Window.partitionBy(*part).orderBy("listed_at"))
+        times = times.withColumn("prior", prior).where(F.col("prior").isNull() | (F.col("prior") != F.col("action")))
+    spans = times.withColumn("valid_to", F.lead("listed_at").over(Window.partitionBy(*own).orderBy("listed_at")))
+    return spans.where(F.col("action") == "add").select(*own, F.col("listed_at").alias("valid_from"), "valid_to")
 
 
 def filter_captures(captures: DataFrame, entries: DataFrame, url: str = "url", fetched: str = "fetched_at",
                     key: str = "page_id") -> DataFrame:
-    """Every capture with the entries that were active when it was fetched.
+    """Every capture with the entries that were active at the time when it was fetched.
 
     Returns one row per distinct (``key``, ``url``, ``fetched``): these, url_host, n_entries (active matches),
-    first_list, first_key (by name) and blocked. A null or unreadable URL, or no fetch time, matches nothing.
+    first_list, first_key (by name) and blocked. A null or unreadable URL, or no fetch time, matches nothing; an empty list
+    blocks nothing. Entries of any depth count: the longest ones bound what is looked up.
 
     Captures meet intervals by equality of key and salt: a host may hold a third of all captures, so its
     rows are dealt over SALTS partitions and the (much smaller) interval table is repeated as often.
     """
     rows = captures.select(F.col(key).alias("key"), F.col(url).alias("url"), F.col(fetched).alias("at")).distinct()
     keyed = rows.withColumn("salt", F.pmod(F.xxhash64("key", "url"), F.lit(SALTS)).cast("int")).withColumn(
-        "k", F.explode(url_keys(F.col("url"))))
+        "k", F.explode(url_keys(F.col("url"), *longest_entries(entries))))
     spans = validity_intervals(entries).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).withColumnRenamed("url_key", "k")
-    day = F.to_date("at")
-    hits = keyed.join(spans, ["k", "salt"]).where((day >= F.col("valid_from")) & (F.col("valid_to").isNull() | (day < F.col("valid_to"))))
+    hits = keyed.join(spans, ["k", "salt"]).where((F.col("at") >= F.col("valid_from")) & (F.col("valid_to").isNull() | (F.col("at") < F.col("valid_to"))))
     found = hits.groupBy("key", "url", "at").agg(F.count(F.lit(1)).alias("n_entries"), F.min(F.struct("list_name", "k")).alias("first"))
     found = found.select(F.col("key").alias("f_key"), F.col("url").alias("f_url"), F.col("at").alias("f_at"), "n_entries", "first")
     same = F.col("key").eqNullSafe(F.col("f_key")) & F.col("url").eqNullSafe(F.col("f_url")) & F.col("at").eqNullSafe(F.col("f_at"))
@@ -103,7 +109,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
                       "n_entries", "first_list", "first_key", F.col("blocked").cast("string").alias("blocked"))
 
 
-SQL = f"""
+SQL = """
 WITH pg AS (
   SELECT page_id, url, NULLIF(REGEXP_EXTRACT(LOWER(url), '^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)', 1), '') AS host,
          LIST_FILTER(STRING_SPLIT(REGEXP_EXTRACT(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*(/[^?#]*)', 1), '/'), lambda p: p <> '') AS parts,
@@ -112,23 +118,21 @@ WITH pg AS (
 split_ AS (SELECT *, STRING_SPLIT(host, '.') AS labels FROM pg WHERE host IS NOT NULL),
 keyed AS (
   SELECT page_id, url, fetched, host, LIST_CONCAT(
-    LIST_TRANSFORM(RANGE(1, LEAST(LEN(labels), {MAX_LABELS}) + 1), lambda n: 'd:' || ARRAY_TO_STRING(labels[LEN(labels) - n + 1:], '.')),
-    LIST_TRANSFORM(RANGE(1, LEAST(LEN(parts), {MAX_SEGMENTS}) + 1), lambda n: 'p:' || host || '/' || ARRAY_TO_STRING(parts[1:n], '/'))) AS ks
+    LIST_TRANSFORM(RANGE(1, LEN(labels) + 1), lambda n: 'd:' || ARRAY_TO_STRING(labels[LEN(labels) - n + 1:], '.')),
+    LIST_TRANSFORM(RANGE(1, LEN(parts) + 1), lambda n: 'p:' || host || '/' || ARRAY_TO_STRING(parts[1:n], '/'))) AS ks
   FROM split_),
 entries AS (
   SELECT CASE WHEN event_type = 'signup' THEN 'paths' ELSE 'hosts' END AS list_name,
          CASE WHEN event_type = 'signup' THEN ks[-1] ELSE 'd:' || host END AS k,
          CASE WHEN event_type = 'purchase' THEN 'remove' ELSE 'add' END AS action, ts
   FROM events JOIN keyed ON user_id = page_id WHERE event_type IN ('error', 'signup', 'purchase')),
-days AS (
-  SELECT list_name, k, CAST(ts AS DATE) AS day, action FROM entries
-  QUALIFY ROW_NUMBER() OVER (PARTITION BY list_name, k, CAST(ts AS DATE) ORDER BY ts DESC, action DESC) = 1),
-changed AS (SELECT * FROM (SELECT *, LAG(action) OVER (PARTITION BY list_name, k ORDER BY day) AS prior FROM days) WHERE prior IS NULL OR prior <> action),
-spans AS (SELECT * FROM (SELECT list_name, k, action, day AS valid_from, LEAD(day) OVER (PARTITION BY list_name, k ORDER BY day) AS valid_to FROM changed) WHERE action = 'add'),
+times AS (SELECT list_name, k, ts, MAX(action) AS action FROM entries GROUP BY ALL),
+changed AS (SELECT * FROM (SELECT *, LAG(action) OVER (PARTITION BY list_name, k ORDER BY ts) AS prior FROM times) WHERE prior IS NULL OR prior <> action),
+spans AS (SELECT * FROM (SELECT list_name, k, action, ts AS valid_from, LEAD(ts) OVER (PARTITION BY list_name, k ORDER BY ts) AS valid_to FROM changed) WHERE action = 'add'),
 hits AS (
   SELECT page_id, list_name, s.k FROM (SELECT page_id, fetched, UNNEST(ks) AS k FROM keyed) c JOIN spans s ON c.k = s.k
-  WHERE CAST(fetched AS DATE) >= valid_from AND (valid_to IS NULL OR CAST(fetched AS DATE) < valid_to)),
-found AS (SELECT page_id, COUNT(*) AS n, MIN({{'l': list_name, 'k': k}}) AS first FROM hits GROUP BY page_id)
+  WHERE fetched >= valid_from AND (valid_to IS NULL OR fetched < valid_to)),
+found AS (SELECT page_id, COUNT(*) AS n, MIN({'l': list_name, 'k': k}) AS first FROM hits GROUP BY page_id)
 SELECT pg.page_id, host AS url_host, STRFTIME(fetched, '%Y-%m-%d %H:%M:%S') AS fetched_at, COALESCE(n, 0) AS n_entries,
        first.l AS first_list, first.k AS first_key, CAST(n IS NOT NULL AS VARCHAR) AS blocked
 FROM pg LEFT JOIN found ON pg.page_id = found.page_id
