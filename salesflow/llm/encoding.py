@@ -22,7 +22,8 @@ from salesflow.llm.textops import slices
 
 SLICE_BYTES = 16 << 20    # text whose distinct pieces are looked up together
 RUN_BYTES = 1 << 16       # new pieces that the tokenizer gets as one text
-CACHED_PIECES = 2_000_000
+RUNS = 8                  # runs, or that many bytes of other pieces, that it gets at a time: its results are large
+CACHED_PIECES = 500_000
 # bytes that surely end or begin a character that is no white space, also beyond ASCII; other places are not cut
 _ENDS_WORD = np.arange(256) > 0x20
 _ENDS_WORD[[0x7F, *range(0x80, 0x8B), 0x9F, 0xA0, 0xA8, 0xA9, 0xAF]] = False
@@ -130,9 +131,25 @@ class PieceEncoder:
         self.known = pa.array([], pa.large_binary())
         self.ends, self.store = np.zeros(1, np.int64), np.zeros(0, np.uint32)   # ids of piece k: store[ends[k]:ends[k + 1]]
 
-    def _plain(self, runs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        lists = self.encode(runs)
-        return np.array([len(x) for x in lists], np.int64), np.fromiter((i for x in lists for i in x), np.uint32)
+    def _plain(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The number of ids of each text, and all ids."""
+        counts, ids, lo = [], [], 0
+        while lo < len(texts):
+            hi, size = lo, 0
+            while hi < len(texts) and size < RUNS * RUN_BYTES:
+                size, hi = size + len(texts[hi]), hi + 1
+            for one in self.encode(texts[lo:hi]):
+                counts.append(len(one))
+                ids.append(np.array(one, np.uint32))
+            lo = hi
+        return np.array(counts, np.int64), np.concatenate([np.zeros(0, np.uint32), *ids])
+
+    def _runs(self, data: np.ndarray, bounds: np.ndarray, heads: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
+        """First and end piece of every run, and its ids."""
+        for lo in range(0, len(heads) - 1, RUNS):
+            hi = min(lo + RUNS, len(heads) - 1)
+            got = self.encode([data[x:y].tobytes() for x, y in zip(bounds[lo:hi], bounds[lo + 1:hi + 1])])
+            yield from zip(heads[lo:hi], heads[lo + 1:hi + 1], (np.array(one, np.uint32) for one in got))
 
     def _fresh(self, pieces: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
         """The pieces in another order, the number of ids of each, and all ids."""
@@ -147,9 +164,7 @@ class PieceEncoder:
         run = (offsets[1:n + 1] - offsets[0] - 1) // RUN_BYTES
         heads = np.append(np.flatnonzero(np.diff(run, prepend=-1)), n) if n else np.zeros(1, np.int64)
         counts, ids = [], []
-        got = self.encode([data[offsets[a]:offsets[b]].tobytes() for a, b in zip(heads[:-1], heads[1:])])
-        for a, b, run_ids in zip(heads[:-1], heads[1:], got):
-            run_ids = np.array(run_ids, np.uint32)
+        for a, b, run_ids in self._runs(data, offsets[heads], heads):
             upto, wanted = np.cumsum(self.vocabulary.size[run_ids]), offsets[a + 1:b + 1] - offsets[a]
             place = np.minimum(np.searchsorted(upto, wanted), max(len(upto) - 1, 0))
             if len(upto) and np.array_equal(upto[place], wanted):
