@@ -23,9 +23,11 @@ from pyspark.sql import functions as F
 from salesflow.llm.encoding import PieceEncoder, bounds_of, encoder_for, pieces_of, spans
 from salesflow.llm.storage import packed, unpacked
 from salesflow.llm.tables import table
+from salesflow.llm.textops import slices
 from salesflow.session import materialize
 
-BLOCK_BYTES = 16 << 20   # text whose pairs are counted together
+BLOCK_BYTES = 4 << 20   # text whose pairs are counted together
+CHUNK_PIECES = 1 << 16   # pieces that are aligned, or whose links are expanded, together
 _END_BITS = 32
 _STRING = lambda s: pa.scalar(s, pa.large_string())
 _BLOCK = ("a array<int>, b array<int>, docs array<bigint>, links binary, link_rows binary, keys array<bigint>, n_a array<bigint>, "
@@ -93,6 +95,17 @@ def align(ids_a: np.ndarray, rows_a: np.ndarray, ids_b: np.ndarray, rows_b: np.n
     return Aligned(flat_a.to_numpy()[at_a], flat_b.to_numpy()[at_b], np.searchsorted(parent, documents), np.diff(group_rows), groups)
 
 
+def joined(parts: list[Aligned]) -> Aligned:
+    """The parts of a list of documents as one."""
+    if not parts:
+        none = np.zeros(0, np.int64)
+        return Aligned(none, none, np.zeros(1, np.int64), none, pa.array([], pa.large_string()))
+    before = np.append(0, np.cumsum([p.rows[-1] for p in parts]))
+    rows = [p.rows[:-1] + n for p, n in zip(parts, before)]
+    return Aligned(np.concatenate([p.a for p in parts]), np.concatenate([p.b for p in parts]), np.append(np.concatenate(rows), before[-1]),
+                   np.concatenate([p.n_groups for p in parts]), pa.concat_arrays([p.groups for p in parts]))
+
+
 def _pair_counts(doc: np.ndarray, piece: np.ndarray, links: np.ndarray, rows: np.ndarray) -> pa.Table:
     """In how many documents each pair is: ``pair``, ``count_all``; (doc, piece) says which pieces a document holds."""
     held = pa.table({"doc": doc, "piece": piece}).group_by(["doc", "piece"], use_threads=False).aggregate([])
@@ -103,6 +116,15 @@ def _pair_counts(doc: np.ndarray, piece: np.ndarray, links: np.ndarray, rows: np
     return pairs.group_by("pair", use_threads=False).aggregate([([], "count_all")])
 
 
+def _chunks(rows: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Ranges of texts with about CHUNK_PIECES pieces; a longer text is one of its own."""
+    lo = 0
+    while lo < len(rows) - 1:
+        hi = max(lo + 1, int(np.searchsorted(rows, rows[lo] + CHUNK_PIECES, side="right")) - 1)
+        yield lo, hi
+        lo = hi
+
+
 def _list(values, kind: pa.DataType) -> pa.Array:
     return pa.array([values], pa.list_(kind))
 
@@ -117,32 +139,38 @@ def _block_rows(path_a: str, path_b: str, with_groups: bool):
         size_a, size_b = (pa.array(e.vocabulary.size, pa.int64()) for e in (encoder_a, encoder_b))
         width = len(encoder_b.vocabulary.size)
         for batch in batches:
-            text = pc.fill_null(batch.column(1).cast(pa.large_string()), "")
-            spaced = pc.if_else(pc.equal(pc.binary_length(text), 0), text, pc.binary_join_element_wise(_STRING(""), text, _STRING(" ")))
-            for s in pieces_of(spaced, BLOCK_BYTES):
+            for lo, hi, _, _ in slices(batch.column(1), BLOCK_BYTES):
+                text = pc.fill_null(batch.column(1).slice(lo, hi - lo).cast(pa.large_string()), "")
+                spaced = pc.if_else(pc.equal(pc.binary_length(text), 0), text, pc.binary_join_element_wise(_STRING(""), text, _STRING(" ")))
+                s, = pieces_of(spaced, 2 * BLOCK_BYTES + pc.max(pc.binary_length(spaced)).as_py())
                 ids_a, rows_a, ok_a = _tokens(s.distinct, encoder_a)
                 ids_b, rows_b, ok_b = _tokens(s.distinct, encoder_b)
                 ok = ok_a & ok_b
                 n_a, n_b = (np.where(ok, np.diff(r), 0) for r in (rows_a, rows_b))
-                found = align(ids_a[np.repeat(ok, np.diff(rows_a))], np.append(0, np.cumsum(n_a)),
-                              ids_b[np.repeat(ok, np.diff(rows_b))], np.append(0, np.cumsum(n_b)), size_a, size_b)
+                ids_a, ids_b = ids_a[np.repeat(ok, np.diff(rows_a))], ids_b[np.repeat(ok, np.diff(rows_b))]
+                rows_a, rows_b = np.append(0, np.cumsum(n_a)), np.append(0, np.cumsum(n_b))
+                found = joined([align(ids_a[rows_a[x]:rows_a[y]], rows_a[x:y + 1] - rows_a[x], ids_b[rows_b[x]:rows_b[y]], rows_b[x:y + 1] - rows_b[x],
+                                      size_a, size_b) for x, y in _chunks(np.arange(len(ok) + 1))])
                 pair, links = np.unique(found.a.astype(np.int64) * width + found.b, return_inverse=True)
                 held = np.diff(s.rows)
                 good = _sums(~ok[s.at], s.rows) == 0
                 at, at_rows = s.at[np.repeat(good, held)], np.append(0, np.cumsum(np.where(good, held, 0)))
-                counts = _pair_counts(np.repeat(np.arange(len(good)), np.diff(at_rows)), at, links, found.rows)
-                docs = np.zeros(len(pair), np.int64)
-                docs[counts["pair"].to_numpy()] = counts["count_all"].to_numpy()
+                docs, shown = np.zeros(len(pair), np.int64), []
+                for x, y in _chunks(at_rows):
+                    part, rows_in = at[at_rows[x]:at_rows[y]], at_rows[x:y + 1] - at_rows[x]
+                    counts = _pair_counts(np.repeat(np.arange(y - x), np.diff(rows_in)), part, links, found.rows)
+                    docs[counts["pair"].to_numpy()] += counts["count_all"].to_numpy()
+                    texts = pc.binary_join(pa.LargeListArray.from_arrays(pa.array(rows_in, pa.int64()), found.groups.take(pa.array(part))), _STRING(";"))
+                    shown += texts.to_pylist() if with_groups else [hashlib.sha256(g).hexdigest() if g else "" for g in texts.cast(pa.large_binary()).to_pylist()]
                 seen = np.flatnonzero(docs)   # pairs of rejected texts alone are not
                 number = np.full(len(pair), -1, np.int32)
                 number[seen] = np.arange(len(seen))
-                text_groups = pc.binary_join(pa.LargeListArray.from_arrays(pa.array(at_rows, pa.int64()), found.groups.take(pa.array(at))), _STRING(";"))
-                shown = text_groups.to_pylist() if with_groups else [hashlib.sha256(g).hexdigest() if g else "" for g in text_groups.cast(pa.large_binary()).to_pylist()]
+                pa.default_memory_pool().release_unused()
                 whole = pa.int64()
                 yield pa.record_batch([
                     _list((pair[seen] // width).astype(np.int32), pa.int32()), _list((pair[seen] % width).astype(np.int32), pa.int32()),
                     _list(docs[seen], whole), _blob(number[links]), _blob(found.rows),
-                    _list(batch.column(0).slice(s.lo, s.hi - s.lo).to_pylist(), whole),
+                    _list(batch.column(0).slice(lo, hi - lo).to_pylist(), whole),
                     *[_list(_sums(x[at], at_rows), whole) for x in (n_a, n_b, found.n_groups, np.diff(found.rows))],
                     _list(shown, pa.string()), _blob(at.astype(np.int32)), _blob(at_rows),
                 ], names=[c.split()[0] for c in _BLOCK.split(", ")])
