@@ -14,24 +14,50 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SLICE_BYTES = 1 << 20
+_PRIME = (1 << 61) - 1     # byte ranges are hashed modulo this; modulo 2 ** 64 some long texts would collide for any base
+_ROOT = 0x1C6EF372FE94F82B % _PRIME
+_EXACT_BYTES = 1 << 23     # bytes whose sums stay below 2 ** 64
 _BASE = np.uint64(0x9E3779B97F4A7C15)
-_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _STEP = np.uint64(0xD6E8FEB86659FD93)
 _CODES = np.random.default_rng(20240607).integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
-_powers = {_BASE: np.ones(1, np.uint64), _INVERSE: np.ones(1, np.uint64)}
+_powers = {base: np.ones(1, np.uint64) for base in (_ROOT, pow(_ROOT, -1, _PRIME))}
 
 
-def powers(base: np.uint64, n: int) -> np.ndarray:
-    """base ** 0 .. base ** (n - 1) modulo 2 ** 64."""
-    if len(_powers[base]) < n:
-        steps = np.full(max(n, 2 * SLICE_BYTES), base, np.uint64)
-        steps[0] = 1
-        _powers[base] = np.cumprod(steps)
-    return _powers[base][:n]
+def _fold(x: np.ndarray) -> np.ndarray:
+    """The same modulo the prime, below the prime plus 8."""
+    return (x & np.uint64(_PRIME)) + (x >> np.uint64(61))
+
+
+def _shifted(x: np.ndarray) -> np.ndarray:
+    """x * 2 ** 31 modulo the prime, for x below 2 ** 61."""
+    return ((x << np.uint64(31)) & np.uint64(_PRIME)) | (x >> np.uint64(30))
+
+
+def _times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a * b modulo the prime, for both below 2 ** 61."""
+    low = np.uint64((1 << 31) - 1)
+    a1, a0, b1, b0 = a >> np.uint64(31), a & low, b >> np.uint64(31), b & low
+    cross = _reduced(a1 * b0 + a0 * b1)
+    return _reduced(a1 * b1 * np.uint64(2) + _shifted(cross) + a0 * b0)
+
+
+def _reduced(x: np.ndarray) -> np.ndarray:
+    """x modulo the prime."""
+    x = _fold(x)
+    return np.where(x >= np.uint64(_PRIME), x - np.uint64(_PRIME), x)
+
+
+def powers(base: int, n: int) -> np.ndarray:
+    """base ** 0 .. base ** (n - 1) modulo the prime."""
+    known = _powers[base]
+    while len(known) < n:
+        known = np.concatenate([known, _times(known, np.uint64(pow(base, len(known), _PRIME)))])
+    _powers[base] = known
+    return known[:n]
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -56,10 +82,27 @@ def slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, in
 
 
 def range_hash(data: np.ndarray) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
-    """A function that hashes the byte ranges [start, end) of ``data``."""
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_CODES[data] * powers(_BASE, len(data)), out=sums[1:])
-    return lambda start, end: mixed((sums[end] - sums[start]) * powers(_INVERSE, len(data) + 1)[start])
+    """A function that hashes the byte ranges [start, end) of ``data``: polynomials modulo a prime, so that two different
+    ranges of n bytes have equal hashes for n of 2 ** 61 bases at most."""
+    power = powers(_ROOT, len(data))
+    low = np.uint64((1 << 31) - 1)
+    sums = []
+    for part in (power >> np.uint64(31), power & low):
+        out = np.zeros(len(data) + 1, np.uint64)
+        for lo in range(0, len(data), _EXACT_BYTES):
+            hi = min(lo + _EXACT_BYTES, len(data))
+            np.cumsum(part[lo:hi] * (data[lo:hi].astype(np.uint64) + np.uint64(1)), out=out[lo + 1:hi + 1])
+            if lo:
+                out[lo + 1:hi + 1] = _fold(out[lo + 1:hi + 1] + _fold(out[lo]))
+        sums.append(out)
+    # beyond the first stretch the sums are folded and may fall; a multiple of the prime keeps differences positive
+    more = np.uint64(2 * _PRIME if len(data) > _EXACT_BYTES else 0)
+
+    def hashed(start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        high, rest = (_reduced(_fold(s[end]) + more - _fold(s[start]) if more else s[end] - s[start]) for s in sums)
+        value = _reduced(_shifted(high) + rest)
+        return mixed(_times(value, powers(pow(_ROOT, -1, _PRIME), len(data) + 1)[start]))
+    return hashed
 
 
 def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
