@@ -1,35 +1,42 @@
 """Benchmark decontamination: SimHash of item-sized windows, multi-index Hamming blocks, weighted shingles.
 
 For every length that a benchmark item has, the windows of that many words that hold at least one shingle of the
-benchmark get a 64-bit SimHash (other windows have similarity 0). RADIUS + 1 blocks of bits index the items: within
-RADIUS differing bits at least one block is equal, so the index finds every fingerprint in the radius. Weighted
-shingle similarity decides.
+benchmark get a 64-bit SimHash (other windows have similarity 0). Items are indexed by every value that differs from one of
+their BLOCKS blocks of bits in PROBED bits at most: of RADIUS differing bits some block holds no more, so the index finds
+every fingerprint in the radius and passes about 4 % of the others. Weighted shingle similarity decides.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from salesflow.llm.encoding import spans
+from salesflow.llm.storage import read_block, stored_blocks
 from salesflow.llm.tables import table
-from salesflow.llm.textops import LOWER, gram_hash, mixed, range_hash, slices, words
+from salesflow.llm.textops import LOWER, as_signed, gram_hash, mixed, range_hash, slices, words
+from salesflow.session import materialize
 
 WORDS = 5
 SIMILARITY = 0.8
-RADIUS = 24               # windows at weighted similarity 0.8 differ in 9 to 10 of 64 bits on average, sd below 3
-ITEM_GROUP_BYTES = 4 << 20  # benchmark text that one pass over the documents holds
+BLOCKS = 4                # of 64 / BLOCKS bits each
+PROBED = 3
+RADIUS = BLOCKS * (PROBED + 1) - 1   # 15; windows at weighted similarity 0.8 differ in 9 to 10 bits on average, sd below 3
+ITEM_SHINGLES = 1 << 18   # shingles of the items that a task holds at a time
 
 _HITS = "key bigint, item_id bigint, start bigint, n_words bigint, distance int, similarity double"
 
 
 @dataclass
 class Items:
-    """A bounded group of benchmark items, as sent to the tasks."""
+    """The benchmark items of one block."""
 
     ids: np.ndarray            # item id per item
     sizes: np.ndarray          # words per item
@@ -58,57 +65,77 @@ def _fingerprint(sums: np.ndarray) -> np.ndarray:
     return np.packbits(sums > 1e-3, axis=1, bitorder="little").view(np.uint64).ravel()
 
 
-def build_items(ids: list[int], texts: list[str | None]) -> Items | None:
-    """Shingles, weights and fingerprints of a group of items; items of fewer than WORDS words are left out.
+def _item_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The shingles of every item, in order; items of fewer than WORDS words have none."""
+    for batch in batches:
+        for lo, hi, data, offsets in slices(batch.column(2)):
+            grams, first = _shingles(data, offsets)
+            n = np.diff(first)
+            count = np.maximum(n - WORDS + 1, 0)
+            index, bounds = spans(first[:-1], count)
+            row = np.repeat(np.arange(lo, hi), count)
+            yield pa.record_batch([batch.column(0).take(pa.array(row)), batch.column(1).take(pa.array(row)), pa.array(np.repeat(n, count)),
+                                   pa.array(index - np.repeat(first[:-1], count)), as_signed(grams[index])], names=["item", "nth", "n_words", "place", "shingle"])
 
-    A shingle weighs 1 / (number of items that hold it), at least one half: what items share says less. The weights
-    come from the items of the group; any other shingle weighs 1.
+
+def item_shingles(benchmark: DataFrame, text: str, item: str) -> DataFrame:
+    """(item, nth, n_words, place, shingle, weight) for every shingle of every benchmark row; ``nth`` tells rows apart.
+
+    A shingle weighs 1 / (number of rows that hold it), at least one half: what items share says less. The number counts the
+    whole benchmark, so weights do not depend on how the items are dealt out. Rows with null ids or texts are left out.
     """
-    kept, sizes, shingles = [], [], []
-    for lo, hi, data, offsets in slices(pa.array(texts, pa.string())):
-        grams, first = _shingles(data, offsets)
-        for i in range(lo, hi):
-            a, b = first[i - lo], first[i - lo + 1]
-            if b - a >= WORDS:
-                kept.append(ids[i])
-                sizes.append(b - a)
-                shingles.append(grams[a:b - WORDS + 1])
-    if not kept:
-        return None
-    vocabulary, n = np.unique(np.concatenate([np.unique(s) for s in shingles]), return_counts=True)
-    weights = np.maximum(1.0 / n, 0.5)
-    prints = [_fingerprint(_signs(s, weights[np.searchsorted(vocabulary, s)])[-1:])[0] for s in shingles]
-    return Items(np.array(kept), np.array(sizes), shingles, vocabulary, weights, 1.0, np.array(prints, np.uint64))
-
-
-def hamming_blocks(radius: int) -> list[tuple[int, int]]:
-    """radius + 1 blocks (first bit, number of bits) that cover 64 bits: one is equal within the radius."""
-    edges = np.linspace(0, 64, radius + 2).astype(int)
-    return [(int(a), int(b - a)) for a, b in zip(edges[:-1], edges[1:])]
+    rows = benchmark.select(F.col(item).cast("bigint").alias("item"), F.monotonically_increasing_id().alias("nth"), F.col(text).cast("string").alias("text"))
+    rows = rows.dropna().mapInArrow(_item_rows, "item bigint, nth bigint, n_words bigint, place bigint, shingle bigint")
+    rows = materialize(rows)
+    held = rows.groupBy("shingle", "nth").agg(F.count(F.lit(1)).alias("times")).groupBy("shingle").agg(F.count(F.lit(1)).alias("items"))
+    return rows.join(held, "shingle").select("item", "nth", "n_words", "place", "shingle", F.greatest(1 / F.col("items"), F.lit(0.5)).alias("weight"))
 
 
-class BlockIndex:
-    """Items by the value of each block of their fingerprint."""
+def build_items(block: pa.Table) -> Items:
+    """The items of a block of ``item_shingles`` with their fingerprints."""
+    block = block.sort_by([("nth", "ascending"), ("place", "ascending")])
+    nth, shingle, weight = (block[c].to_numpy() for c in ("nth", "shingle", "weight"))
+    shingle = shingle.view(np.uint64)
+    heads = np.append(np.flatnonzero(np.diff(nth, prepend=-1)), len(nth))
+    vocabulary, first = np.unique(shingle, return_index=True)
+    prints = [_fingerprint(_signs(shingle[a:b], weight[a:b])[-1:])[0] for a, b in zip(heads[:-1], heads[1:])]
+    return Items(block["item"].to_numpy()[heads[:-1]], block["n_words"].to_numpy()[heads[:-1]], np.split(shingle, heads[1:-1]),
+                 vocabulary, weight[first], 1.0, np.array(prints, np.uint64))
 
-    def __init__(self, prints: np.ndarray, radius: int):
-        self.prints, self.radius, self.blocks = prints, radius, []
-        for shift, size in hamming_blocks(radius):
-            table = np.zeros((1 << size, len(prints)), bool)
-            table[self._value(prints, shift, size), np.arange(len(prints))] = True
-            self.blocks.append((shift, size, table))
+
+class BlockIndex:
+    """Items by all values within PROBED bits of each block of their fingerprint."""
+
+    def __init__(self, prints: np.ndarray):
+        self.prints, self.tables = prints, []
+        size = 64 // BLOCKS
+        near = [sum(1 << b for b in bits) for k in range(PROBED + 1) for bits in combinations(range(size), k)]
+        for block in range(BLOCKS):
+            values = (self._value(prints, block)[:, None] ^ np.array(near)).ravel()
+            order = np.argsort(values, kind="stable")
+            bounds = np.searchsorted(values[order], np.arange((1 << size) + 1)).astype(np.int32)
+            self.tables.append((bounds, (order // len(near)).astype(np.int32)))
 
     @staticmethod
-    def _value(prints: np.ndarray, shift: int, size: int) -> np.ndarray:
-        return ((prints >> np.uint64(shift)) & np.uint64((1 << size) - 1)).astype(np.int64)
+    def _value(prints: np.ndarray, block: int) -> np.ndarray:
+        return ((prints >> np.uint64(block * 64 // BLOCKS)) & np.uint64((1 << 64 // BLOCKS) - 1)).astype(np.int64)
+
+    def candidates(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(query, item) of the pairs that meet in a block, once each."""
+        found = []
+        for block, (bounds, items) in enumerate(self.tables):
+            value = self._value(prints, block)
+            n = bounds[value + 1] - bounds[value]
+            index, _ = spans(bounds[value], n)
+            found.append(np.repeat(np.arange(len(prints)), n) * len(self.prints) + items[index])
+        pairs = np.unique(np.concatenate(found))
+        return pairs // len(self.prints), pairs % len(self.prints)
 
     def near(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(query, item, distance) of every pair within the radius."""
-        meet = np.zeros((len(prints), len(self.prints)), bool)
-        for shift, size, table in self.blocks:
-            meet |= table[self._value(prints, shift, size)]
-        q, item = np.nonzero(meet)
+        """(query, item, distance) of every pair within RADIUS."""
+        q, item = self.candidates(prints)
         distance = np.bitwise_count(prints[q] ^ self.prints[item])
-        close = distance <= self.radius
+        close = distance <= RADIUS
         return q[close], item[close], distance[close]
 
 
@@ -121,13 +148,24 @@ def _similarity(a: np.ndarray, b: np.ndarray, items: Items) -> float:
     return float((w * np.minimum(na, nb)).sum() / (w * np.maximum(na, nb)).sum())
 
 
-def _search_rows(items: Items, radius: int, similarity: float):
-    def search(grams: np.ndarray, lengths: dict[int, tuple[np.ndarray, BlockIndex]], known: np.ndarray) -> Iterator[tuple]:
+class Searcher:
+    """A block of items, indexed by their length in words."""
+
+    def __init__(self, block: pa.Table):
+        self.items = build_items(block)
+        self.longest = int(self.items.sizes.max(initial=0))
+        self.lengths = {}
+        for size in np.unique(self.items.sizes):
+            members = np.flatnonzero(self.items.sizes == size)
+            self.lengths[int(size)] = (members, BlockIndex(self.items.prints[members]))
+
+    def hits(self, grams: np.ndarray, known: np.ndarray, similarity: float) -> Iterator[tuple]:
         """Hits in one stretch of shingles of a document: (item, first word, distance, similarity)."""
+        items = self.items
         at = np.minimum(np.searchsorted(items.vocabulary, grams), len(items.vocabulary) - 1)
         sums = _signs(grams, np.where(known, items.weights[at], items.other))
         seen = np.concatenate([[0], np.cumsum(known)])
-        for size, (members, index) in lengths.items():
+        for size, (members, index) in self.lengths.items():
             n = size - WORDS + 1
             start = np.arange(max(0, len(grams) - n + 1))
             start = start[seen[start + n] > seen[start]]
@@ -139,73 +177,64 @@ def _search_rows(items: Items, radius: int, similarity: float):
                 if score >= similarity:
                     yield j, i, d, score
 
+    def search(self, grams: np.ndarray, first: np.ndarray, similarity: float) -> Iterator[tuple]:
+        """The best window per item of every stretch of every row: (row, item id, start, words, distance, similarity)."""
+        items = self.items
+        if not len(items.vocabulary):
+            return
+        at = np.minimum(np.searchsorted(items.vocabulary, grams), len(items.vocabulary) - 1)
+        known = items.vocabulary[at] == grams
+        places = np.flatnonzero(known)
+        row = np.searchsorted(first, places, side="right") - 1
+        ok = places <= first[row + 1] - WORDS
+        places, row = places[ok], row[ok]
+        breaks = np.flatnonzero((np.diff(places) > 2 * self.longest) | (np.diff(row) > 0))   # stretches that no window spans
+        for a, b in zip(np.append(0, breaks + 1), np.append(breaks, len(places) - 1)) if len(places) else ():
+            i = int(row[a])
+            begin, end = first[i], first[i + 1] - WORDS + 1
+            lo, hi = max(begin, places[a] - self.longest), min(end, places[b] + self.longest + 1)
+            best: dict[int, tuple] = {}
+            for item, start, d, score in self.hits(grams[lo:hi], known[lo:hi], similarity):
+                best[item] = max(best.get(item, (0,)), (score, -(lo - begin + start), d))
+            for j, (score, s, d) in best.items():
+                yield i, int(items.ids[j]), int(-s), int(items.sizes[j]), int(d), score
+
+
+@lru_cache(maxsize=2)
+def _searcher(folder: str, name: str) -> Searcher:
+    return Searcher(read_block(folder, name))
+
+
+def _search_rows(folder: str, names: list[str], similarity: float):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lengths = {}
-        for size in np.unique(items.sizes):
-            members = np.flatnonzero(items.sizes == size)
-            lengths[int(size)] = (members, BlockIndex(items.prints[members], radius))
-        longest = int(items.sizes.max())
         for batch in batches:
-            keys, out = batch.column(0), []
-            for lo, hi, data, offsets in slices(batch.column(1)):
+            out = []
+            for lo, _, data, offsets in slices(batch.column(1)):
                 grams, first = _shingles(data, offsets)
-                at = np.minimum(np.searchsorted(items.vocabulary, grams), len(items.vocabulary) - 1)
-                known = items.vocabulary[at] == grams
-                places = np.flatnonzero(known)
-                row = np.searchsorted(first, places, side="right") - 1
-                ok = places <= first[row + 1] - WORDS
-                for i in np.unique(row[ok]):
-                    mine = places[ok & (row == i)]
-                    begin, end = first[i], first[i + 1] - WORDS + 1
-                    breaks = np.flatnonzero(np.diff(mine) > 2 * longest)   # stretches that no window spans
-                    for a, b in zip(mine[np.append(0, breaks + 1)], mine[np.append(breaks, len(mine) - 1)]):
-                        a, b = max(begin, a - longest), min(end, b + longest + 1)
-                        best: dict[int, tuple] = {}
-                        for item, start, d, score in search(grams[a:b], lengths, known[a:b]):
-                            best[item] = max(best.get(item, (0,)), (score, -(a - begin + start), d))
-                        out += [(keys[lo + int(i)].as_py(), int(items.ids[j]), -s, int(items.sizes[j]), d, score) for j, (score, s, d) in best.items()]
+                for name in names:
+                    out += [(batch.column(0)[lo + i].as_py(), *hit) for i, *hit in _searcher(folder, name).search(grams, first, similarity)]
             if out:
                 kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.float64()]
                 yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=[c.split()[0] for c in _HITS.split(", ")])
     return rows
 
 
-def benchmark_groups(benchmark: DataFrame, text: str, item: str) -> Iterator[Items]:
-    """The benchmark in groups of at most about ITEM_GROUP_BYTES of text, fetched one after the other."""
-    ids, texts, size = [], [], 0
-    for r in benchmark.select(F.col(item).cast("bigint").alias("i"), F.col(text).cast("string").alias("t")).where("i is not null and t is not null").toLocalIterator():
-        ids.append(r.i)
-        texts.append(r.t)
-        size += len(r.t)
-        if size >= ITEM_GROUP_BYTES:
-            if (group := build_items(ids, texts)) is not None:
-                yield group
-            ids, texts, size = [], [], 0
-    if ids and (group := build_items(ids, texts)) is not None:
-        yield group
-
-
-def find_leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, radius: int = RADIUS, text: str = "text", key: str = "doc_id",
+def find_leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, text: str = "text", key: str = "doc_id",
                item: str = "item_id", item_text: str = "text") -> DataFrame:
     """(key, item_id, start, n_words, distance, similarity): benchmark items found in documents.
 
-    A hit is a window of as many words as the item, within ``radius`` bits of its SimHash, whose weighted shingle
+    A hit is a window of as many words as the item, within RADIUS bits of its SimHash, whose weighted shingle
     similarity (five words, A-Z lower-cased, counts taken into account) is at least ``similarity``. Of the windows of
     one stretch of a document the best one per item is returned, ties to the first; a document without hits has no row.
     The whole text is searched. Null and empty texts, items of fewer than five words and null ids of items give nothing.
-    Repeated documents give repeated rows. ``key`` is a whole number or null.
+    Repeated documents and items give repeated rows. ``key`` is a whole number or null.
 
-    The item groups are bounded by ITEM_GROUP_BYTES and go to the tasks one by one: a benchmark of any size is a
-    stated query set that is run against all rows in blocks. Documents are not shuffled.
+    The items are stored in blocks of bounded size, which tasks read one at a time: a benchmark of any size is a stated query
+    set that one pass over the documents answers. Documents are not shuffled. Runs jobs over the benchmark when called.
     """
     rows = docs.select(F.col(key).cast("bigint").alias("key"), F.col(text).cast("string").alias("text"))
-    out = None
-    for group in benchmark_groups(benchmark, item_text, item):
-        hits = rows.mapInArrow(_search_rows(group, radius, similarity), _HITS)
-        out = hits if out is None else out.unionByName(hits)
-    if out is None:
-        out = docs.sparkSession.createDataFrame([], _HITS)
-    return out.withColumnsRenamed({"key": key})
+    folder, names = stored_blocks(item_shingles(benchmark, item_text, item), "nth", ITEM_SHINGLES)
+    return rows.mapInArrow(_search_rows(folder, names, similarity), _HITS).withColumnsRenamed({"key": key})
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

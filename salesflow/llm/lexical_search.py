@@ -9,21 +9,19 @@ in the remaining lists, so the scores of survivors are exact. A task carries the
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from salesflow.llm.encoding import binary_of, spans
-from salesflow.llm.storage import open_store, packed, unpacked
+from salesflow.llm.storage import packed, read_block, stored_blocks, unpacked
 from salesflow.llm.suffix_dedup import NO_KEY
 from salesflow.llm.tables import table
 from salesflow.llm.textops import LOWER, slices
-from salesflow.session import materialize, scratch
+from salesflow.session import materialize
 
 K = 10
 SEGMENT_BYTES = 16 << 20   # text of one segment
@@ -91,27 +89,12 @@ def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[Segment]:
             yield Segment({c: batch.column(c)[i].as_py() for c in batch.schema.names})
 
 
-@lru_cache(maxsize=2)
-def _read_block(folder: str, name: str) -> pa.Table:
-    store, path = open_store(folder)
-    return pq.read_table(f"{path}/{name}", filesystem=store)
-
-
-def _in_blocks(rows: DataFrame, by: str) -> tuple[str, list[str]]:
-    """Store ``rows`` in files of about BLOCK_TERMS rows, all rows of a ``by`` in one; the folder and the file names."""
-    blocks = rows.count() // BLOCK_TERMS + 1
-    folder = scratch(rows.sparkSession).new("query")
-    rows.repartition(blocks, by).write.parquet(folder)
-    names = rows.sparkSession.read.schema(rows.schema).parquet(folder).select(F.col("_metadata.file_name")).distinct()
-    return folder, sorted(r[0] for r in names.collect())
-
-
 def _count_rows(folder: str, names: list[str]):
     """How many documents of each segment have each term of the query blocks."""
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for segment in _segments(batches):
             for name in names:
-                terms = _read_block(folder, name)["term"].combine_chunks()
+                terms = read_block(folder, name)["term"].combine_chunks()
                 at = segment.find(terms.cast(pa.large_binary()))
                 there = np.flatnonzero(at >= 0)
                 n = segment.bounds[at[there] + 1] - segment.bounds[at[there]]
@@ -154,7 +137,7 @@ def _rank_rows(folder: str, names: list[str], k: int, documents: int, terms: int
         for segment in _segments(batches):
             m = 100 - 75 + (75 * segment.lengths * documents) // max(terms, 1)
             for name in names:
-                block = _read_block(folder, name)
+                block = read_block(folder, name)
                 words = block["term"].combine_chunks().cast(pa.large_binary()).dictionary_encode()
                 at = segment.find(words.dictionary)
                 first = np.where(at >= 0, segment.bounds[at], 0)
@@ -204,10 +187,10 @@ def search(index: DataFrame, items: DataFrame, k: int = K, item_text: str = "tex
     terms = materialize(terms)
     documents, length = index.agg(F.coalesce(F.sum("documents"), F.lit(0)), F.coalesce(F.sum("terms"), F.lit(0))).first()
     lists = index.select("keys", "lengths", "vocabulary", "vocabulary_bounds", "bounds", "places", "times")
-    held = lists.mapInArrow(_count_rows(*_in_blocks(terms.select("term").distinct(), "term")), "term string, n bigint").groupBy("term").agg(F.sum("n").alias("n"))
+    held = lists.mapInArrow(_count_rows(*stored_blocks(terms.select("term").distinct(), "term", BLOCK_TERMS)), "term string, n bigint").groupBy("term").agg(F.sum("n").alias("n"))
     weight = F.floor(1000 * F.log(F.lit(2.0 * documents + 2) / (2 * F.col("n") + 1))).cast("bigint")
     weighted = terms.join(held, "term").select("query", "term", (F.col("times") * weight).alias("weight")).where("weight > 0")
-    found = lists.mapInArrow(_rank_rows(*_in_blocks(weighted, "query"), k, documents, length), "query bigint, doc bigint, score bigint")
+    found = lists.mapInArrow(_rank_rows(*stored_blocks(weighted, "query", BLOCK_TERMS), k, documents, length), "query bigint, doc bigint, score bigint")
     found = found.withColumn("part", F.spark_partition_id() % SPREAD)
     for group in (["query", "part"], ["query"]):
         place = F.row_number().over(Window.partitionBy(*group).orderBy(F.desc("score"), "doc"))
