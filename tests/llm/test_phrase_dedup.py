@@ -7,6 +7,8 @@ from collections import Counter
 
 import pytest
 
+from pairs import complement, thue_morse
+
 from salesflow.llm import phrase_dedup
 from salesflow.llm.phrase_dedup import query, remove_phrases
 
@@ -67,3 +69,16 @@ def test_empty_table_and_repeated_rows(spark):
     once = " ".join(map(str, range(80)))
     df = spark.createDataFrame([(1, once), (1, once), (2, "x " + once[:60])], "doc_id bigint, text string")
     assert sorted((r.doc_id, r.n_removed) for r in remove_phrases(df, 35).collect()) == [(1, 0), (1, 0), (2, 0)]
+
+
+def test_words_that_polynomials_confuse(spark):
+    words = [f"w{i}" for i in range(41)]
+    docs = [(i, " ".join([*words[:20], w, *words[21:]])) for i, w in enumerate((thue_morse(), complement()))]
+    assert run(spark, docs, 35) == brute(docs, 35) and all(v[1] == 0 for v in run(spark, docs, 35).values())
+
+
+def test_long_text(spark):
+    text = " ".join(f"v{i}" for i in range(250_000))
+    docs = [(1, text), (2, " ".join(f"v{i}" for i in range(100_000, 100_050)) + " end"), (3, None)]
+    got = run(spark, docs, 35)
+    assert {k: v[:2] for k, v in got.items()} == {1: (250_000, 50), 2: (51, 50), 3: (0, 0)} and got[2][2] == "end"
