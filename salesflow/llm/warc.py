@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import hashlib
+import uuid
 import zlib
 from collections.abc import Iterator
+from datetime import UTC, datetime
 
 import numpy as np
 import pyarrow as pa
@@ -20,19 +22,26 @@ FILE_BYTES = 64 << 20     # archive size after which a new one is begun
 GAP_BYTES = 64 << 10      # unwanted bytes between two records that are read along
 READ_BYTES = 8 << 20      # most bytes of one read
 CHUNK_BYTES = 32 << 20    # bytes of an archive that one group of reads covers
+SALTS = 16
 
 _INDEX = "file string, offset bigint, length bigint, id bigint, url string, digest string, kind string, refers_to bigint"
 _RECORDS = "file string, offset bigint, id bigint, url string, record_type string, refers_to bigint, payload_bytes bigint, payload_digest string, payload binary"
 
 
-def _record(page: int | None, url: str | None, kind: str, refers_to: int | None, payload: bytes, digest: str) -> bytes:
-    name = "null" if page is None else str(page)
-    head = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:page:{name}>", f"WARC-Payload-Digest: sha1:{digest}",
+def _record(name: str, date: str, page: int | None, url: str | None, kind: str, refers: dict | None, payload: bytes, digest: str) -> bytes:
+    def line(uri: str) -> str:
+        return uri.replace("\r", "%0D").replace("\n", "%0A")
+
+    head = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:uuid:{name}>", f"WARC-Date: {date}", f"WARC-Payload-Digest: sha1:{digest}",
             f"X-Payload-Length: {len(payload)}"]
+    if page is not None:
+        head.append(f"X-Page-ID: {page}")
     if url is not None:
-        head.append(f"WARC-Target-URI: {url.replace(chr(13), '%0D').replace(chr(10), '%0A')}")
+        head.append(f"WARC-Target-URI: {line(url)}")
     if kind == "revisit":
-        head += [f"WARC-Refers-To: <urn:page:{refers_to}>", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
+        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"X-Refers-To-Page-ID: {refers['id']}"]
+        if refers["url"] is not None:
+            head.append(f"WARC-Refers-To-Target-URI: {line(refers['url'])}")
         payload = b""
     text = "\r\n".join([*head, f"Content-Length: {len(payload)}", "", ""]).encode()
     packer = zlib.compressobj(1, zlib.DEFLATED, 31)   # every record is a gzip member of its own
@@ -67,9 +76,10 @@ def _write_rows(folder: str):
                 payload = (html or "").encode()
                 digest = hashlib.sha1(payload).hexdigest()
                 kind = "response" if refers is None else "revisit"
-                data = _record(page, url, kind, refers, payload, digest)
+                record = uuid.uuid5(uuid.NAMESPACE_URL, f"{name}#{at}")   # files of an attempt have names of their own
+                data = _record(str(record), datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ"), page, url, kind, refers, payload, digest)
                 out.write(data)
-                index.append((name, at, len(data), page, url, digest, kind, refers))
+                index.append((name, at, len(data), page, url, digest, kind, refers and refers["id"]))
                 at += len(data)
                 if at >= FILE_BYTES:
                     out.close()
@@ -95,29 +105,30 @@ def write_archives(pages: DataFrame, folder: str, key: str = "page_id", url: str
     """
     text = F.coalesce(F.col(html), F.lit("")).cast("string")
     digest = F.when(F.octet_length(text) >= LEAST_REVISIT, F.sha1(text.cast("binary")))
-    again = pages.select(F.col(key).cast("bigint").alias("id"), digest.alias("payload")).where("payload is not null")
-    again = again.groupBy("payload").agg(F.max("id").alias("keeper"), F.count(F.lit(1)).alias("copies")).where("copies > 1").drop("copies")
+    again = pages.select(F.col(key).cast("bigint").alias("id"), F.col(url).cast("string").alias("url"), digest.alias("payload")).where("payload is not null")
+    again = again.groupBy("payload").agg(F.max(F.struct("id", "url")).alias("keeper"), F.count(F.lit(1)).alias("copies")).where("copies > 1").drop("copies")
+    # one page may be most of the rows: its copies are dealt over SALTS partitions, the few keepers are repeated as often
+    again = again.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     # payloads without a digest get a key of their own, so that they don't meet in one partition
     same = F.coalesce(digest, F.concat(F.lit("-"), F.xxhash64(F.col(key), F.col(url)).cast("string")))
     rows = pages.select(F.col(key).cast("bigint").alias("id"), F.col(url).cast("string").alias("url"), F.col(html).cast("string").alias("html"),
-                        same.alias("payload"))
-    joined = rows.join(again, "payload", "left")
-    refers = F.when(F.col("id") < F.col("keeper"), F.col("keeper"))
+                        same.alias("payload")).withColumn("salt", F.pmod(F.xxhash64("id", "url"), F.lit(SALTS)).cast("int"))
+    joined = rows.join(again, ["payload", "salt"], "left")
+    refers = F.when(F.col("id") < F.col("keeper.id"), F.col("keeper"))
     return materialize(joined.select("id", "url", "html", refers.alias("refers_to")).mapInArrow(_write_rows(folder), _INDEX))
 
 
 def _read_rows(folder: str, with_payload: bool):
     def decode(data: bytes) -> tuple:
         fields, payload = parse_record(data)
-        page = fields["warc-record-id"][len("<urn:page:"):-1]
-        kind, refers = fields["warc-type"], fields.get("warc-refers-to")
+        page, kind, refers = fields.get("x-page-id"), fields["warc-type"], fields.get("x-refers-to-page-id")
         if kind == "response":
             size, digest = len(payload), hashlib.sha1(payload).hexdigest()
             if fields["warc-payload-digest"] != f"sha1:{digest}":
                 raise ValueError(f"record {page}: payload and digest differ")
         else:
             size, digest = int(fields["x-payload-length"]), fields["warc-payload-digest"][len("sha1:"):]
-        return (None if page == "null" else int(page), fields.get("warc-target-uri"), kind, refers and int(refers[len("<urn:page:"):-1]), size, digest,
+        return (page and int(page), fields.get("warc-target-uri"), kind, refers and int(refers), size, digest,
                 payload if with_payload and kind == "response" else None)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -2,6 +2,7 @@
 
 import gzip
 import hashlib
+import re
 
 from pyspark.sql import functions as F
 
@@ -31,9 +32,10 @@ def test_round_trip(spark, tmp_path):
 
 
 def test_archives_are_plain_gzip_members(spark, tmp_path):
-    df = spark.createDataFrame([(i, f"http://a/{i}", f"page {i} " * 50) for i in range(20)], "page_id bigint, url string, html string")
+    df = spark.createDataFrame([(i, f"http://a/{i}", f"page {i} " * 50) for i in [*range(20), 7]], "page_id bigint, url string, html string")
     folder = tmp_path / "warc"
     index = write_archives(df, str(folder)).collect()
+    names = set()
     for f in {r.file for r in index}:
         data = (folder / f).read_bytes()
         mine = sorted((r.offset, r.length, r.id) for r in index if r.file == f)
@@ -41,7 +43,10 @@ def test_archives_are_plain_gzip_members(spark, tmp_path):
         assert gzip.decompress(data).count(b"WARC/1.1\r\n") == len(mine)
         for at, n, k in mine:
             fields, body = parse_record(data[at:at + n])
+            names.add(fields["warc-record-id"])
+            assert re.fullmatch(r"\d{4}-\d\d-\d\dT\d\d:\d\d:\d\dZ", fields["warc-date"])
             assert fields["warc-target-uri"] == f"http://a/{k}" and body == f"page {k} ".encode() * 50
+    assert len(names) == len(index) == 21   # also for the page that is there twice
 
 
 def test_empty_table(spark, tmp_path):
