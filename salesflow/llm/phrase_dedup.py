@@ -9,6 +9,7 @@ occurrence. A window is spelled as a few letters, each the hash of LETTER consec
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import ahocorasick
 import numpy as np
@@ -25,6 +26,7 @@ LENGTH = 35
 GRAM = 8
 LETTER = 7
 SHARD_LETTERS = 1 << 18   # letters whose windows form one automaton
+HOT_SHARE = 0.001         # of all rows of recurring seeds
 HOT_SPOTS = 50_000        # occurrences of one seed beyond which its pieces are dealt out window by window
 
 _SEEDS = "route bigint, doc bigint, text_hash bigint, start bigint, n int"
@@ -133,30 +135,52 @@ def locate(pieces: list[tuple[np.ndarray, int]], phrases: list[tuple[tuple[int,
     return found
 
 
+@dataclass
+class _Held:
+    """A distinct piece of a shard: its number of windows, where it is first, and whether it is anywhere else."""
+
+    n: int
+    first: tuple[int, int, int]
+    again: bool = False
+
+
 def _search_shards(length: int):
-    def settle(held: dict[tuple[int, bytes], tuple[int, set]]) -> pa.RecordBatch:
-        pieces = [(np.frombuffer(letters, np.uint32), n) for (_, letters), (n, _) in held.items()]
-        spots = [s for _, s in held.values()]
-        phrases = confirmed_phrases(pieces, [len(s) for s in spots], length)
-        out = [(doc, text_hash, start + first, n) for where, runs in zip(spots, locate(pieces, phrases)) if runs
-               for doc, text_hash, start in where for first, n in runs]
+    """Places of recurring windows in each shard; rows come sorted by seed.
+
+    A piece that is at two places recurs as a whole, so its places are given out as they come and are not kept: a phrase that
+    a third of all documents share needs no more memory than another. Of other pieces the automaton finds what recurs.
+    """
+    def settle(held: dict[tuple[int, bytes], _Held]) -> list[tuple]:
+        pieces = [(np.frombuffer(letters, np.uint32), h.n) for (_, letters), h in held.items()]
+        phrases = confirmed_phrases(pieces, [1 + h.again for h in held.values()], length)
+        alone = [(p, h.first) for p, h in zip(pieces, held.values()) if not h.again]
+        return [(doc, text_hash, start + first, n) for (doc, text_hash, start), runs in zip((f for _, f in alone), locate([p for p, _ in alone], phrases))
+                for first, n in runs]
+
+    def given(out: list[tuple]) -> pa.RecordBatch:
         return pa.record_batch([pa.array(x, pa.int64()) for x in (zip(*out) if out else [[]] * 4)], names=["doc", "text_hash", "start", "n"])
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple[int, bytes], tuple[int, set]] = {}
-        size, last = 0, None
+        held: dict[tuple[int, bytes], _Held] = {}
+        size, last, out = 0, None, []
         for batch in batches:
             for route, n, letters, spots in zip(*(batch.column(c).to_pylist() for c in range(4))):
                 if size >= SHARD_LETTERS and route != last:   # a shard ends where a seed ends
-                    yield settle(held)
+                    out += settle(held)
                     held, size = {}, 0
                 last = route
-                if (route, letters) not in held:
-                    held[route, letters] = (n, set())
-                    size += len(letters) // 4
-                held[route, letters][1].update((s["doc"], s["text_hash"], s["start"]) for s in spots)
-        if held:
-            yield settle(held)
+                for spot in spots:
+                    where = (spot["doc"], spot["text_hash"], spot["start"])
+                    known = held.get((route, letters))
+                    if known is None:
+                        held[route, letters] = _Held(n, where)
+                        size += len(letters) // 4
+                    elif where != known.first:   # a row that repeats key and text is no other place
+                        out += [(*where, n)] if known.again else [(*known.first, n), (*where, n)]
+                        known.again = True
+            yield given(out)
+            out = []
+        yield given(settle(held) if held else [])
     return rows
 
 
@@ -187,9 +211,13 @@ def repeated_phrases(rows: DataFrame, length: int) -> DataFrame:
     """
     seeds = rows.mapInArrow(_seed_rows(length), _SEEDS)
     seeds = materialize(seeds)
-    # counts are combined before their shuffle; the join back may split a hot seed's rows
-    again = seeds.groupBy("route").agg(F.count(F.lit(1)).alias("times")).where("times > 1")
-    spots = materialize(seeds.join(again.hint("shuffle_hash"), "route").select(
+    # counts are combined before their shuffle; the at most 1 / HOT_SHARE seeds with many rows meet those where they are
+    again = materialize(seeds.groupBy("route").agg(F.count(F.lit(1)).alias("times")).where("times > 1"))
+    least = again.agg(F.sum("times") * HOT_SHARE).scalar()
+    heavy = materialize(again.where(F.col("times") >= least))
+    light = again.where(F.col("times") < least).hint("shuffle_hash")
+    rest = seeds.join(F.broadcast(heavy.select("route")), "route", "left_anti").join(light, "route")
+    spots = materialize(seeds.join(F.broadcast(heavy), "route").unionByName(rest).select(
         "doc", "text_hash", "route", "start", "n", (F.col("times") > HOT_SPOTS).alias("hot")))
     lists = spots.groupBy("doc", "text_hash").agg(F.collect_set(F.struct("route", "start", "n", "hot")).alias("spots"))
     lists = lists.withColumnsRenamed({"doc": "d", "text_hash": "h"}).hint("shuffle_hash")
