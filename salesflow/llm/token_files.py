@@ -19,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from salesflow.llm.encoding import encoder_for
@@ -121,7 +121,7 @@ def _write_rows(folder: str, tokenizer: str):
     return rows
 
 
-def write_tokens(docs: DataFrame, folder: str, tokenizer: str, text: str = "text", key: str = "doc_id", order: list[str] | None = None) -> DataFrame:
+def write_tokens(docs: DataFrame, folder: str, tokenizer: str, text: str = "text", key: str = "doc_id", order: list[Column] | None = None) -> DataFrame:
     """Encode every text, append END_ID, and write the ids in ascending order of ``key`` (or ``order``) to ``folder``.
 
     Returns the stored index, one row per input row: doc (the key), file, first (place in the file), n (ids) and start
@@ -129,7 +129,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, text: str = "text
     rows that repeat a key follow each other in the order of their texts' hashes. Only files that the index
     names count: a task that ran twice leaves a file that nothing points to. Runs jobs when called.
     """
-    columns = [F.col(c).alias(f"order_{i}") for i, c in enumerate(order or [key])]
+    columns = [c.alias(f"order_{i}") for i, c in enumerate(order or [F.col(key)])]
     rows = docs.select(F.col(key).cast("bigint").alias("doc"), F.col(text).cast("string").alias("text"), *columns,
                        F.xxhash64(F.col(text)).alias("text_hash"))
     by = [*[f"order_{i}" for i in range(len(columns))], "text_hash"]
@@ -185,7 +185,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "documents"))
 
 
-def round_trip(docs: DataFrame, tokenizer: str | None = None, order: list[str] | None = None) -> DataFrame:
+def round_trip(docs: DataFrame, tokenizer: str | None = None, order: list[Column] | None = None) -> DataFrame:
     """Write the token files of ``docs`` and describe each document from what is read back."""
     folder = scratch(docs.sparkSession).new("ids")
     index = write_tokens(docs, folder, tokenizer or default_tokenizer(), order=order)

@@ -92,4 +92,12 @@ def test_stages_on_empty_and_null_rows(spark, rows):
     docs = materialize(spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint"))
     for _, stage in corpus_pipeline.STAGES:
         docs = materialize(stage(spark, docs, SF))
-    assert docs.count() == (2 if rows else 0)
+    assert docs.count() == len(rows)
+
+
+def test_an_id_with_two_texts_is_two_documents(spark):
+    rows = [(1, "one two three four five six", "en", "a", 1), (1, "totally other words are in this one", "en", "b", 2), (2, "one two  three four five six", "en", "c", 3)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    assert sorted(r.text[:3] for r in corpus_pipeline.drop_near_copies(spark, docs, SF).collect()) == ["one", "tot"]
+    mixed = materialize(corpus_pipeline.mix_sources(spark, materialize(corpus_pipeline.drop_near_copies(spark, docs, SF)), SF))
+    assert mixed.count() == 2 and corpus_pipeline.write_tokens(spark, mixed, SF).count() == 2
