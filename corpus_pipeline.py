@@ -19,11 +19,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of every near-duplicate class; rows that repeat its id are one document."""
-    classes = near_dedup.near_duplicates(docs)
-    kept = classes.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id")).distinct()
-    found = docs.join(kept.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
-    return found.dropDuplicates(["doc_id"])
+    """The smallest document by id of every near-duplicate class; rows that repeat an id with other texts are documents of their own."""
+    return near_dedup.one_of_each(docs)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,7 +40,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token files in the order of the mix (the row order of the previous stage's files), and what is read back."""
-    return token_files.round_trip(docs, order=["_metadata.file_name", "_metadata.row_index"])
+    part = F.regexp_extract("_metadata.file_name", r"part-(\d+)", 1).cast("bigint")   # as a number: there may be more than 100,000 files
+    return token_files.round_trip(docs, order=[part, F.col("_metadata.row_index")])
 
 
 STAGES = [
