@@ -59,6 +59,13 @@ def test_schedule_without_weight_and_empty(spark):
     assert mixing.schedule(docs.limit(0)).collect() == []
 
 
+def test_schedule_ignores_other_columns(spark):
+    docs = spark.createDataFrame([(i, "x" * 9, "ab"[i % 2]) for i in range(9)], "doc_id bigint, text string, source string")
+    want = sorted(map(tuple, mixing.schedule(docs, block_chars=20).collect()))
+    clash = docs.selectExpr("*", "7 as slot", "'q' as weight", "1 as block", "2 as chars", "3 as w", "4 as turn", "'k' as key", "5 as before")
+    assert sorted(map(tuple, mixing.schedule(clash, block_chars=20).collect())) == want
+
+
 def test_stages(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     kept = {}

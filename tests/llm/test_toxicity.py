@@ -1,9 +1,13 @@
 """Ordinal severity: held-out accuracy, monotone severity, edge cases."""
 
+import re
+
 import numpy as np
 from pyspark.sql import functions as F
+from test_textops import plain as plain_hash
 
-from salesflow.llm.toxicity import Model, fit, fit_ordinal, query, reject, severity
+from salesflow.llm.textops import mixed
+from salesflow.llm.toxicity import FEATURE_BITS, PREFIXES, Model, fit, fit_ordinal, query, reject, severity
 
 SF = "/root/testdata/sf0.01"
 
@@ -51,3 +55,28 @@ def test_nulls_repeats_and_missing_classes(spark):
         assert severity(docs, fit(docs, few)).where("toxic").count() == 0
     assert severity(docs.limit(0), fit(docs, labels)).collect() == []
     assert isinstance(fit(docs.limit(0), labels), Model)
+
+
+def plain_features(text):
+    """Feature numbers of a text, word by word: the word and its first 4, 5 and 6 bytes."""
+    marks = "".join(chr(c) for c in range(0x21, 0x7F) if not chr(c).isalnum())
+    lower = re.sub("[A-Z]", lambda m: m[0].lower(), text or "").translate(str.maketrans(marks, " " * len(marks)))
+    out = set()
+    for w in re.findall(r"[^\x20\x09-\x0D]+", lower):
+        w = w.encode()
+        for h in [plain_hash(w), *[(plain_hash(w[:k]) + (k << 40)) % 2**64 for k in PREFIXES]]:
+            out.add(int(mixed(np.array([h], np.uint64))[0]) >> (64 - FEATURE_BITS))
+    return out
+
+
+def test_scores_word_by_word(spark):
+    rng = np.random.default_rng(6)
+    model = Model(np.where(rng.random(1 << FEATURE_BITS) < 0.5, rng.normal(size=1 << FEATURE_BITS), 0.0), np.array([0.3, 1.0, 2.5]))
+    texts = ["Some words, some WORDS!", "x", "", None, "ünï(code) don't éé", "a b c d e f g " * 3, "long " * 300_000 + "end", " \x0b\n- "]
+    df = spark.createDataFrame([(i, t, 0.5) for i, t in enumerate(texts)], "doc_id bigint, text string, severity double")
+    for r in severity(df, model).collect():
+        score = sum(model.weights[f] for f in plain_features(texts[r.doc_id]))
+        above = [1 / (1 + np.exp(t - score)) for t in model.thresholds]
+        grades = -np.diff([1.0, *above, 0.0])
+        assert np.isclose(r.severity, sum(above)) and np.isclose(r.probability, above[0])
+        assert r.grade == int(np.argmax(grades)) and r.toxic == (above[0] >= 0.5)
