@@ -249,3 +249,15 @@ def remove_phrases(docs: DataFrame, length: int = LENGTH, text: str = "text", ke
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = remove_phrases(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+SQL = r"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+win AS (SELECT r, i, array_to_string(w[i:i + 34], ' ') AS k FROM (SELECT r, w, unnest(range(1, len(w) - 33)) AS i FROM d)),
+again AS (SELECT k FROM win GROUP BY k HAVING count(*) > 1),
+gone AS (SELECT DISTINCT r, unnest(range(i, i + 35)) AS pos FROM win JOIN again USING (k)),
+kept AS (SELECT r, count(*) AS n, string_agg(one, ' ' ORDER BY pos) AS s
+  FROM (SELECT r, unnest(w) AS one, unnest(range(1, len(w) + 1)) AS pos FROM d) ANTI JOIN gone USING (r, pos) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(s, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (r)
+"""

@@ -22,6 +22,9 @@ QUERIES = {
 ORACLES = {
     "op1_warc": warc.SQL,
     "op2_url_filters": url_filters.SQL,
+    "op3_suffix_dedup": suffix_dedup.SQL,
+    "op5_phrase_dedup": phrase_dedup.SQL,
     "op8_mix_sources": mixing.SQL,
+    "op10_near_dedup": near_dedup.SQL,
     "op11_lexical_search": lexical_search.SQL,
 }

@@ -297,3 +297,20 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     removed = F.aggregate("spans", F.lit(0).cast("bigint"), lambda a, s: a + s["end"] - s["start"])
     return out.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("bigint").alias("n_spans"),
                       F.sha2("kept", 256).alias("kept_sha256"))
+
+
+SQL = """
+WITH d AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS r, hex(encode(coalesce(text, ''))) AS h FROM documents),
+starts AS (SELECT r, h, unnest(range(0, len(h) // 2 - 99)) AS i FROM d),
+win AS (SELECT r, i, md5(substring(h, 2 * i + 1, 200)) AS k FROM starts),
+later AS (SELECT r, i FROM (SELECT r, i, row_number() OVER (PARTITION BY k ORDER BY r, i) AS nth FROM win) WHERE nth > 1),
+opens AS (SELECT r, i, CASE WHEN i <= lag(i) OVER (PARTITION BY r ORDER BY i) + 100 THEN 0 ELSE 1 END AS new FROM later),
+runs AS (SELECT r, i, sum(new) OVER (PARTITION BY r ORDER BY i) AS run FROM opens),
+spans AS (SELECT r, min(i) AS s, max(i) + 100 AS e FROM runs GROUP BY r, run),
+gaps AS (SELECT r, s, e, coalesce(lag(e) OVER (PARTITION BY r ORDER BY s), 0) AS before FROM spans),
+cut AS (SELECT r, count(*) AS n_spans, sum(e - s) AS n_removed, max(e) AS last,
+    string_agg(substring(h, 2 * before + 1, 2 * (s - before)), '' ORDER BY s) AS front FROM gaps JOIN d USING (r) GROUP BY r)
+SELECT doc_id, CAST(len(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+  sha256(unhex(coalesce(front, '') || substring(h, 2 * coalesce(last, 0) + 1))) AS kept_sha256
+FROM d LEFT JOIN cut USING (r)
+"""
