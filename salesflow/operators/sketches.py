@@ -18,6 +18,7 @@ RANK_BOUND = 0.01
 LG_K = 14        # standard error 1.04 / 2 ** 7 = 0.8 %
 DISTINCT_BOUND = 0.04
 YEAR = "order_year"
+_COLUMNS = "_columns"
 
 
 def build_sketches(df: DataFrame, groups: list[str], measures: list[str] = (), counted: list[str] = ()) -> DataFrame:
@@ -31,13 +32,19 @@ def build_sketches(df: DataFrame, groups: list[str], measures: list[str] = (), c
 
 
 def store_sketches(df: DataFrame, path: str, groups: list[str] = (), measures: list[str] = (), counted: list[str] = ()) -> None:
-    """Sketches per year and group, one folder per year; a year that is stored again replaces its own."""
-    write_by_year(build_sketches(df, [YEAR, *groups], measures, counted), path)
+    """Sketches per year and group, one folder per year; a year that is stored again replaces its own.
+
+    The columns are stored beside them, so that a store without rows can be read too.
+    """
+    sketches = build_sketches(df, [YEAR, *groups], measures, counted)
+    df.sparkSession.createDataFrame([], sketches.schema).write.mode("overwrite").parquet(f"{path}/{_COLUMNS}")
+    write_by_year(sketches, path)
 
 
 def load_sketches(spark: SparkSession, path: str, lo: int | None = None, hi: int | None = None) -> DataFrame:
     """The stored sketches of the years from ``lo`` to ``hi``; only their folders are read."""
-    return between_years(spark.read.parquet(path), lo, hi)
+    schema = spark.read.parquet(f"{path}/{_COLUMNS}").schema
+    return between_years(spark.read.schema(schema).parquet(path), lo, hi)
 
 
 def merge_sketches(sketches: DataFrame, groups: list[str] = ()) -> DataFrame:
@@ -81,8 +88,8 @@ def quantiles_hold(df: DataFrame, path: str, ranges: list[tuple[int, int]], meas
             inside = F.col(YEAR).between(lo, hi) & F.col(m).isNotNull()
             for p, q in zip(probs, names):
                 i = len(cells)
-                cells.append((lo, hi, m, p, got["n"] if got else 0))
-                x = F.lit(got[q] if got else None).cast("double")
+                cells.append((lo, hi, m, p, got["n"] or 0))   # without rows there is one result without values
+                x = F.lit(got[q]).cast("double")
                 counts += [F.count_if(inside & (F.col(m) < x)).alias(f"below{i}"), F.count_if(inside & (F.col(m) <= x)).alias(f"upto{i}")]
     ranks = df.agg(*counts)
     rows = F.array(*[F.struct(F.lit(lo).alias("lo_year"), F.lit(hi).alias("hi_year"), F.lit(m).alias("column"), F.lit(p).alias("prob"), F.lit(n).cast("bigint").alias("n"),

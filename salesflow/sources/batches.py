@@ -14,7 +14,9 @@ import uuid
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
+from salesflow.schema import CLEAN_SCHEMA
 from salesflow.sources.tables import with_date_parts
 
 _ID = "id-"
@@ -52,8 +54,14 @@ def commits(spark: SparkSession, path: str) -> DataFrame:
 
 
 def load_batches(spark: SparkSession, path: str, years: list[int] | None = None) -> DataFrame:
-    """The rows of all committed batches with their date parts and ``batch``; ``years`` prunes folders, and so do the valid attempts."""
-    rows = spark.read.parquet(f"{path}/data")
+    """The rows of all committed batches with their date parts and ``batch``; ``years`` prunes folders, and so do the valid attempts. A path
+    without data gives an empty table."""
+    try:
+        rows = spark.read.parquet(f"{path}/data")
+    except AnalysisException as e:
+        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        rows = spark.createDataFrame([], StructType(CLEAN_SCHEMA.fields).add("batch", "string").add("attempt", "string"))
     if years is not None:
         rows = rows.where(F.col("order_year").isin(list(years)))
     valid = commits(spark, path).withColumnsRenamed({"batch": "valid_batch", "attempt": "valid_attempt"})

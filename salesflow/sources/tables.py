@@ -18,7 +18,7 @@ def read_raw_csv(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_clean_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Cleaned CSV with the fixed 34-column schema; unreadable values become null."""
+    """Cleaned CSV with the fixed 34-column schema; unreadable values become null (``quarantine.load_csv`` keeps them with reasons)."""
     return spark.read.schema(CLEAN_SCHEMA).csv(path, header=True, mode="PERMISSIVE")
 
 
@@ -48,6 +48,7 @@ def write_by_year(df: DataFrame, path: str, mode: str = "overwrite") -> None:
 
 
 def append_sales(df: DataFrame, path: str) -> None:
+    """Append rows as they are; where a job may be retried, ``batches.append_batch`` replaces a batch instead of doubling it."""
     write_by_year(df, path, mode="append")
 
 
