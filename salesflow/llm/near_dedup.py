@@ -57,7 +57,7 @@ def _set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             h = hashes.view(np.uint64)
             n.append(len(h))
             ids.append(b"".join(int(x).to_bytes(8, "big") for x in (mixed(h).sum(dtype=np.uint64), np.bitwise_xor.reduce(mixed(~h)))) if len(h) else None)
-            sketches.append(hashes[:SKETCH])
+            sketches.append(hashes[:SKETCH].copy())   # a view would keep the whole set
         sizes = np.concatenate([[0], np.cumsum([len(s) for s in sketches])]).astype(np.int32)
         values = np.concatenate([np.zeros(0, np.int64), *sketches])
         yield pa.record_batch([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(ids, pa.binary()),

@@ -79,6 +79,8 @@ def slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, in
         hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + limit, side="right")) - 1)
         yield lo, hi, data[offsets[lo]:offsets[hi]], offsets[lo:hi + 1] - offsets[lo]
         lo = hi
+    del column, data
+    pa.default_memory_pool().release_unused()   # what the copy took
 
 
 def range_hash(data: np.ndarray) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
