@@ -19,7 +19,7 @@ from salesflow.llm.components import components
 from salesflow.llm.suffix_dedup import NO_KEY
 from salesflow.llm.tables import table
 from salesflow.llm.textops import LOWER, gram_hash, inside, mixed, range_hash, slices, words
-from salesflow.session import materialize
+from salesflow.session import Scratch, materialize
 
 WORDS = 5
 SKETCH = 128
@@ -217,13 +217,13 @@ class _Linker:
             pairs = pairs.join(r, side, "left").withColumn(f"r{side}", F.coalesce(f"r{side}", side))
         return pairs
 
-    def full_sets(self, ids: DataFrame) -> DataFrame:
+    def full_sets(self, ids: DataFrame, within: Scratch | None = None) -> DataFrame:
         """All shingle hashes of the sets ``sid``: the sketch of a small one, the whole text of the first document for others."""
         named = self.sets.join(ids.hint("shuffle_hash"), "sid")
         large = named.where(F.col("n") > SKETCH).select("sid", F.col("owner.doc").alias("d"), F.col("owner.text_hash").alias("h"))
         texts = self.rows.join(large.hint("shuffle_hash"), (F.col("doc") == F.col("d")) & (F.col("text_hash") == F.col("h")))
         read = texts.select("sid", "text").mapInArrow(_full_rows, _FULL).dropDuplicates(["sid"])
-        return materialize(named.where(F.col("n") <= SKETCH).select("sid", F.col("sketch").alias("hashes")).unionByName(read))
+        return materialize(named.where(F.col("n") <= SKETCH).select("sid", F.col("sketch").alias("hashes")).unionByName(read), within=within)
 
     def link(self, pairs: DataFrame) -> None:
         """Join the components of the pairs that are linked. Whole sets are decided by their sketches; of the others those
@@ -240,7 +240,8 @@ class _Linker:
         apart = materialize(self.rooted(pairs).where("ra <> rb").select("a", "b"))
         if apart.isEmpty():
             return
-        full = self.full_sets(apart.select(F.col("a").alias("sid")).union(apart.select("b")).distinct())
+        own = Scratch(self.sets.sparkSession)
+        full = self.full_sets(apart.select(F.col("a").alias("sid")).union(apart.select("b")).distinct(), own)
         tested = None
         for most in (2, None):
             still = pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti")
@@ -258,6 +259,7 @@ class _Linker:
             union = F.size("set_a") + F.size("set_b") - both
             tested = still.select("a", "b")
             self.join_roots(checked.where(both * 100 >= union * self.percent).select(F.col("ra").alias("a"), F.col("rb").alias("b")))
+        own.close()
 
     def join_roots(self, edges: DataFrame) -> None:
         """Join the components of linked sets (or of their roots)."""
@@ -272,19 +274,26 @@ class _Linker:
 
 
 def _apart(entries: DataFrame, roots: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The entries with their roots, and the lists (with the number of values of their members) that hold several components."""
+    """The entries with their roots, and the lists (with the number of values of their members) that hold several components.
+
+    Near copies share many values: of lists with the same members, one is given out.
+    """
     rooted = entries.join(roots.withColumnRenamed("id", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
-    lists = rooted.groupBy("list").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.sum("n").alias("values"))
-    return rooted, lists.where("lo <> hi").select("list", "values")
+    lists = rooted.groupBy("list").agg(
+        F.min("root").alias("lo"), F.max("root").alias("hi"), F.sum("n").alias("values"), F.count(F.lit(1)).alias("members"),
+        F.bit_xor(F.xxhash64("sid")).alias("mark"), F.bit_xor(F.xxhash64("sid", F.lit(1))).alias("other_mark"))
+    unlike = lists.where("lo <> hi").groupBy("members", "mark", "other_mark").agg(F.min("list").alias("list"), F.first("values").alias("values"))
+    return rooted, unlike.select("list", "values")
 
 
-def _rarest_first(sets: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+def _rarest_first(sets: DataFrame, members: DataFrame, percent: int, within: Scratch | None = None) -> DataFrame:
     """Entries (list, sid, n) of each member's rarest retained values, as many as surely hold one that a linked set has there too.
 
     With all values in one order, two sets that share all but d of s values share one of their first d + 1. A set that is its
     own sketch may lack 15 of 100; for others the sketches of two linked sets may differ by a little more.
     """
-    own = sets.join(members.hint("shuffle_hash"), "sid").select("sid", "n", F.size("sketch").alias("s"), F.explode("sketch").alias("list"))
+    few = materialize(sets.join(members.hint("shuffle_hash"), "sid").select("sid", "n", "sketch"), within=within)   # read twice
+    own = few.select("sid", "n", F.size("sketch").alias("s"), F.explode("sketch").alias("list"))
     often = own.groupBy("list").agg(F.count(F.lit(1)).alias("times"))
     ranked = own.join(often.hint("shuffle_hash"), "list").groupBy("sid", "n", "s").agg(F.sort_array(F.collect_list(F.struct("times", "list"))).alias("all"))
     whole = F.col("n") * 100 < SKETCH * percent   # surely compared with whole sets only
@@ -333,10 +342,13 @@ def near_duplicates(docs: DataFrame, percent: int = 85, text: str = "text", key:
         raise ValueError("the lists are laid out for similarities of 0.85 and more")
     rows = docs.select(F.coalesce(F.col(key).cast("bigint"), F.lit(NO_KEY)).alias("doc"),
                        F.xxhash64(F.col(text)).alias("text_hash"), F.col(text).cast("string").alias("text"))
-    members = materialize(rows.mapInArrow(_set_rows, _SETS))
-    sets = members.where("n > 0").groupBy("set_id").agg(
+    early = Scratch(docs.sparkSession)   # sketches are kept once per set, not per row
+    sketched = materialize(rows.mapInArrow(_set_rows, _SETS), within=early)
+    sets = sketched.where("n > 0").groupBy("set_id").agg(
         F.min(F.struct("doc", "text_hash")).alias("owner"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
     sets = materialize(sets.withColumn("sid", F.monotonically_increasing_id()))
+    members = materialize(sketched.drop("sketch"))
+    early.close()
     listed = sets.withColumn("listed", F.slice("sketch", 1, LISTED))
     entries = listed.select(F.explode(F.concat(*[_runs_of(*r) for r in RUNS])).alias("list"), "sid", "n")
     entries = entries.repartitionByRange("list", "n", "sid").sortWithinPartitions("list", "n", "sid")
@@ -346,7 +358,11 @@ def near_duplicates(docs: DataFrame, percent: int = 85, text: str = "text", key:
 
     rooted, apart = _apart(entries, linker.roots)
     rest = materialize(rooted.join(apart.select("list"), "list", "left_semi").select("sid").distinct())
-    rooted, apart = _apart(materialize(_rarest_first(sets, rest, percent)), linker.roots)
+    chosen = Scratch(docs.sparkSession)
+    rarest = materialize(_rarest_first(sets, rest, percent, chosen))
+    chosen.close()
+    rooted, apart = _apart(rarest, linker.roots)
+    apart = materialize(apart)
     rooted = materialize(rooted.join(apart.select("list"), "list", "left_semi"))
     full = linker.full_sets(rooted.select("sid").distinct())
     linker.join_roots(_cell_rows(rooted, apart, full).mapInArrow(_cell_links(percent), _LINKS))

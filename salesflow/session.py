@@ -96,14 +96,15 @@ def scratch(spark: SparkSession) -> Scratch:
     return _by_session[app]
 
 
-def materialize(df: DataFrame, by: list[str] = ()) -> DataFrame:
+def materialize(df: DataFrame, by: list[str] = (), within: Scratch | None = None) -> DataFrame:
     """Write ``df`` once to the scratch folder and read it back; this runs a Spark job now.
 
     Use it for an intermediate that several later steps read: it is computed once, its values no
     longer change between reads (float sums do), it survives lost executors, and Spark then knows
     its real size, so a later join broadcasts it only if that size is below the threshold. ``by`` names
-    columns that become folders, so that a filter or join on them reads only what it needs.
+    columns that become folders, so that a filter or join on them reads only what it needs. ``within`` is a scratch
+    folder of its own, for a table that the caller deletes (``close``) when nothing reads it any more.
     """
-    path = scratch(df.sparkSession).new()
+    path = (within or scratch(df.sparkSession)).new()
     df.write.partitionBy(*by).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

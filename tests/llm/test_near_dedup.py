@@ -9,7 +9,7 @@ from pairs import complement, thue_morse
 
 from salesflow.llm import near_dedup
 from salesflow.llm.components import components
-from salesflow.llm.near_dedup import linked_members, near_duplicates, one_of_each, query
+from salesflow.llm.near_dedup import _apart, linked_members, near_duplicates, one_of_each, query
 
 SF = "/root/testdata/sf0.001"
 
@@ -160,3 +160,11 @@ def test_components_of_a_long_path(spark):
     edges = spark.range(300).selectExpr("id * 7 % 307 as a", "(id + 1) * 7 % 307 as b").union(spark.createDataFrame([(900, 901), (901, 902)], "a bigint, b bigint"))
     got = {r.id: r.root for r in components(edges).collect()}
     assert {v for k, v in got.items() if k < 900} == {0} and got[902] == 900 and len(got) == 304
+
+
+def test_lists_with_the_same_members_are_compared_once(spark):
+    entries = spark.createDataFrame([(1, 10, 5), (1, 11, 6), (2, 10, 5), (2, 11, 6), (3, 10, 5), (3, 12, 7), (4, 13, 9)], "list bigint, sid bigint, n bigint")
+    roots = spark.createDataFrame([], "id bigint, root bigint")
+    assert sorted(tuple(r) for r in _apart(entries, roots)[1].collect()) == [(1, 11), (3, 12)]
+    joined = spark.createDataFrame([(10, 10), (11, 10)], "id bigint, root bigint")
+    assert sorted(tuple(r) for r in _apart(entries, joined)[1].collect()) == [(3, 12)]
