@@ -9,6 +9,7 @@ half-way, or a task that runs twice, leaves files that nothing refers to.
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.errors import AnalysisException
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from salesflow.schema import CLEAN_SCHEMA
-from salesflow.sources.tables import with_date_parts
+from salesflow.sources.tables import with_date_parts, write_by_year
 
 _ID = "id-"
 _COMMITS = "batch string, attempt string, committed_at timestamp"
@@ -26,11 +27,16 @@ _COMMITS = "batch string, attempt string, committed_at timestamp"
 def write_attempt(df: DataFrame, path: str, batch: str) -> str:
     """Write the rows of a batch, one folder per year, and return the attempt; it is not read before it is committed."""
     attempt = f"try-{uuid.uuid4().hex}"   # folder names that Spark cannot take for numbers or dates
-    rows = df.withColumns({"batch": F.lit(_ID + batch), "attempt": F.lit(attempt)})
-    rows.hint("rebalance", F.col("order_year")).write.mode("append").partitionBy("batch", "attempt", "order_year").parquet(f"{path}/data")
+    # batch and attempt are folders only: as columns they would be shuffled and sorted with every row
+    write_by_year(df, f"{path}/data/batch={_folder(_ID + batch)}/attempt={attempt}", mode="append")
     return attempt
 
 
+def _folder(value: str) -> str:
+    """A partition value as Spark names its folder: what a path cannot hold as %XX."""
+    return re.sub(r"""[\x01-\x1f"#%'*/:=?\\\x7f{\[\]^]""", lambda m: f"%{ord(m[0]):02X}", value)
+
+
 def commit_attempt(spark: SparkSession, path: str, batch: str, attempt: str) -> None:
     """Make an attempt the one that its batch is read from. The row is one file, so it is there as a whole or not at all."""
     row = spark.range(1).select(F.lit(_ID + batch).alias("batch"), F.lit(attempt).alias("attempt"), F.current_timestamp().alias("committed_at"))
@@ -61,7 +67,7 @@ def load_batches(spark: SparkSession, path: str, years: list[int] | None = None)
     except AnalysisException as e:
         if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
             raise
-        rows = spark.createDataFrame([], StructType(CLEAN_SCHEMA.fields).add("batch", "string").add("attempt", "string"))
+        rows = spark.createDataFrame([], StructType([*CLEAN_SCHEMA.fields]).add("batch", "string").add("attempt", "string"))
     if years is not None:
         rows = rows.where(F.col("order_year").isin(list(years)))
     valid = commits(spark, path).withColumnsRenamed({"batch": "valid_batch", "attempt": "valid_attempt"})

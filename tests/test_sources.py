@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 from salesflow.catalog import QUERIES, _stored_by_year
 from salesflow.operators.skew import heavy_keys, skew_join
 from salesflow.schema import CLEAN_SCHEMA
+from salesflow.sources import batches
 from salesflow.sources.batches import append_batch, commit_attempt, load_batches, write_attempt
 from salesflow.sources.quarantine import FIELDS, load_csv, quarantined
 from salesflow.sources.star import view
@@ -109,6 +110,14 @@ def test_a_repeated_append_replaces_its_batch(spark, tmp_path):
     assert "PartitionFilters: [isnotnull" in plan(load_batches(spark, path, [2020])) or "PartitionFilters: [order_year" in plan(load_batches(spark, path, [2020]))
 
 
+def test_a_batch_is_written_without_columns_for_its_folders(spark, tmp_path, monkeypatch):
+    path, name, written = str(tmp_path / "b"), "a/b:c=%20 [x]", []
+    monkeypatch.setattr(batches, "write_by_year", lambda df, *a, **kw: (written.append(df.columns), write_by_year(df, *a, **kw)))
+    append_batch(spark.createDataFrame([(dt.date(2020, 1, 2), 2020, 1), (None, None, 2)], "order_date date, order_year int, v int"), path, name)
+    assert written == [["order_date", "order_year", "v"]]
+    assert sorted(values(load_batches(spark, path), "batch", "v")) == [(name, 1), (name, 2)]
+
+
 def test_heavy_keys_are_joined_apart(spark):
     n = 200_000
     fact = spark.range(n, numPartitions=6).select(F.when(F.col("id") % 10 < 9, 7).when(F.col("id") % 1000 == 999, None).otherwise(F.col("id") % 500).alias("k"), "id")
