@@ -37,21 +37,27 @@ def dedup_transactions(df: DataFrame, order_cols: list[str], key: str = "transac
                        suffix: str = "_DUP") -> DataFrame:
     """Strip the duplicate mark from the id and keep the first row per id by ``order_cols``.
 
-    Hashes of the ids are counted first (fixed width, combined on the map side). Rows whose hash occurs once pass as they
-    are, neither sorted nor grouped; only the others look for their first row, as a minimum over the row struct, so
-    that many copies of one id never meet in one task. An id that shares its hash with another is merely
-    looked at twice. Columns after ``order_cols`` break the remaining ties.
+    The rows are stored once, so that what they are made of is not computed again for each step. Hashes of the ids are
+    counted first (fixed width, combined on the map side). While the repeated ones are few enough to broadcast, rows whose
+    hash occurs once pass as they are, neither shuffled, sorted nor grouped. First rows are a minimum over the row struct,
+    combined on the map side, so that many copies of one id never meet in one task; with many repeated ids it is taken over
+    all rows, which then are shuffled once. An id that shares its hash with another is merely looked at twice. Columns
+    after ``order_cols`` break the remaining ties.
     """
     rest = [c for c in df.columns if c != key and c not in order_cols]
-    clean = df.withColumn(key, F.replace(F.col(key), F.lit(suffix), F.lit("")))
+    clean = materialize(df.withColumn(key, F.replace(F.col(key), F.lit(suffix), F.lit(""))))
     id_hash = F.xxhash64(key)
     again = materialize(clean.groupBy(id_hash.alias("_again")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("_again"))
-    # stored, so Spark knows its size: a broadcast if it is small, a hash join without a sort if not
-    marked = clean.join(again.hint("shuffle_hash") if _is_large(again) else again, id_hash == F.col("_again"), "left")
+
+    def firsts(rows: DataFrame) -> DataFrame:
+        picked = rows.groupBy(key).agg(F.min(F.struct(*order_cols, *rest)).alias("row"))
+        return picked.select(*[F.col(c) if c == key else F.col(f"row.{c}").alias(c) for c in df.columns])
+
+    if _is_large(again):
+        return firsts(clean)
+    marked = clean.join(again, id_hash == F.col("_again"), "left")
     once = marked.where(F.col("_again").isNull()).select(*df.columns)
-    first = F.min(F.struct(*order_cols, *rest)).alias("row")
-    picked = marked.where(F.col("_again").isNotNull()).groupBy(key).agg(first)
-    return once.unionByName(picked.select(*[F.col(c) if c == key else F.col(f"row.{c}").alias(c) for c in df.columns]))
+    return once.unionByName(firsts(marked.where(F.col("_again").isNotNull())))
 
 
 def _is_large(stored: DataFrame) -> bool:

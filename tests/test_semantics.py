@@ -261,3 +261,17 @@ def test_dedup_sorts_only_repeats(spark):
     assert "_again" not in got.columns and values(cleaning.dedup_transactions(df.limit(0), ["seq"])) == []
     text = got._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" not in text
+
+
+def test_dedup_of_many_repeats_shuffles_rows_once(spark):
+    df = spark.createDataFrame([("T1_DUP", 3, "c"), ("T1", 1, "b"), ("T1", 1, "a"), ("T2", 2, None), (None, 5, "x"), (None, 4, "y")], "transaction_id string, seq int, v string")
+    few = sorted(values(cleaning.dedup_transactions(df, ["seq"])), key=str)
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+        got = cleaning.dedup_transactions(df, ["seq"])
+        text = got._jdf.queryExecution().executedPlan().toString()
+        assert "Join" not in text and text.count("Exchange") == 1
+        assert sorted(values(got), key=str) == few == sorted([("T1", 1, "a"), ("T2", 2, None), (None, 4, "y")], key=str)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
