@@ -6,6 +6,8 @@ Spark would evaluate the text functions again for every use.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -66,6 +68,19 @@ def _is_large(stored: DataFrame) -> bool:
     return stored._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() > limit
 
 
+def by_value(df: DataFrame, col: str, clean: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``clean``, which changes ``col`` alone and row by row, run on the distinct values of ``col`` and looked up for every row.
+
+    The table of values is stored. If it is too large to broadcast, ``clean`` runs on the rows instead. ``df`` should be a
+    stored table, since it is read twice.
+    """
+    table = materialize(clean(df.select(col).distinct().withColumn("_value", F.col(col))).withColumnRenamed(col, "_clean"))
+    if _is_large(table):
+        return clean(df)
+    found = df.join(table, F.col(col).eqNullSafe(F.col("_value")), "left")
+    return found.select(*[F.col("_clean").alias(c) if c == col else F.col(c) for c in df.columns])
+
+
 def normalize_text(df: DataFrame, col: str, spellings: dict[str, str]) -> DataFrame:
     """Trim, title-case and replace known misspellings."""
     return df.withColumn(col, title_case(strip_text(col))).withColumn(col, map_values(col, spellings))
@@ -211,12 +226,15 @@ def clean_sales(raw: DataFrame, order_cols: list[str], iso_swap: bool = True) ->
     """The whole pipeline. The order of steps matters: the mode fill groups by uncleaned labels, and
     medians and quartiles are taken after the duplicates are gone.
 
-    The deduplicated table is stored once: one scan of five columns counts their values for all
+    The raw table is stored once, since its columns are read for modes and distinct values before the rows are. Texts are
+    cleaned value by value. The deduplicated table is stored as well: one scan of five columns counts their values for all
     statistics, one final scan applies them.
     """
+    raw = materialize(raw)
     df = fill_mode_by_group(raw, "customer_age_group", "category")
+    df = by_value(df, "order_date", lambda d: clean_dates(d, iso_swap=iso_swap))
     prices = [c for c in fv.PRICE_COLUMNS[1:] if c in df.columns]
-    df = clean_city(clean_dates(df, iso_swap=iso_swap)).withColumns({
+    df = by_value(df, "customer_city", clean_city).withColumns({
         "product_name": capitalize("product_name"),
         "original_price_inr": parse_price(F.col("original_price_inr").cast("string")),
         **{c: F.col(c).try_cast("double") for c in prices},
@@ -224,6 +242,10 @@ def clean_sales(raw: DataFrame, order_cols: list[str], iso_swap: bool = True) ->
     df = fix_scale_errors(materialize(dedup_transactions(df, order_cols)))
     capped = [c for c in fv.CAPPED_COLUMNS if c in df.columns]
     found = pipeline_statistics(df, capped)
-    df = clean_delivery(df, median=F.try_element_at(found, F.lit("delivery_days"))["median"])
-    df = clean_category(fill_festival(df)).withColumns({c: parse_flag(c) for c in FLAGS if c in df.columns})
-    return clean_rating(cap_iqr(df, capped, found), median=F.try_element_at(found, F.lit("customer_rating"))["median"])
+    df = by_value(df, "delivery_days", lambda d: clean_delivery(d, median=F.try_element_at(found, F.lit("delivery_days"))["median"]))
+    df = by_value(fill_festival(df), "category", clean_category)
+    for c in FLAGS:
+        if c in df.columns:
+            df = by_value(df, c, lambda d, c=c: d.withColumn(c, parse_flag(c)))
+    rating = F.try_element_at(found, F.lit("customer_rating"))["median"]
+    return by_value(cap_iqr(df, capped, found), "customer_rating", lambda d: clean_rating(d, median=rating))

@@ -275,3 +275,21 @@ def test_dedup_of_many_repeats_shuffles_rows_once(spark):
         assert sorted(values(got), key=str) == few == sorted([("T1", 1, "a"), ("T2", 2, None), (None, 4, "y")], key=str)
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def test_texts_are_cleaned_value_by_value(spark):
+    df = spark.createDataFrame([(i, [" bombay ", "x", None][i % 3]) for i in range(9)], "id int, customer_city string")
+    seen = []
+
+    def clean(d):
+        seen.append(d.count())
+        return cleaning.clean_city(d)
+
+    want = sorted(values(cleaning.clean_city(df)))
+    assert sorted(values(cleaning.by_value(df, "customer_city", clean))) == want and seen == [3]
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)     # too many values: row by row
+        assert sorted(values(cleaning.by_value(df, "customer_city", clean))) == want and seen[1:] == [3, 9]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
