@@ -15,7 +15,7 @@ from salesflow.functions.text import capitalize, parse_flag
 from salesflow.operators import cleaning, filters, profiling, sketches, stats
 from salesflow.plans import customer, discount, market, payment, product, revenue
 from salesflow.schema import CLEAN_SCHEMA
-from salesflow.session import scratch
+from salesflow.session import Scratch, scratch
 from salesflow.sources import tables
 from salesflow.sources.batches import append_batch, load_batches, write_attempt
 from salesflow.sources.quarantine import load_csv, quarantined
@@ -37,9 +37,14 @@ class Query:
     money: tuple[str, ...] = ()
     digits: int = OTHER_DIGITS
     heavy_share: float | None = None
+    stored_lines: bool = False
 
     def __call__(self, spark: SparkSession, sf_dir: str) -> DataFrame:
-        out = self.build(view(spark, sf_dir, self.source, self.columns, self.heavy_share))
+        if self.stored_lines:
+            lines = Scratch(spark)
+            out = self.build(view(spark, sf_dir, self.source, self.columns, self.heavy_share, lines), lines)
+        else:
+            out = self.build(view(spark, sf_dir, self.source, self.columns, self.heavy_share))
         return out.select(*[self._shown(f) for f in out.schema.fields])
 
     def _shown(self, f: StructField) -> Column:
@@ -58,10 +63,10 @@ def _raw_prices(raw: DataFrame) -> DataFrame:
     return out.withColumns({"subtotal_inr": amount, "final_amount_inr": amount})
 
 
-def _pipeline(raw: DataFrame) -> DataFrame:
+def _pipeline(raw: DataFrame, behind: Scratch | None = None) -> DataFrame:
     numbers = _raw_prices(raw.withColumn("price_text", F.col("original_price_inr")))
     numbers = numbers.withColumn("original_price_inr", F.col("price_text")).drop("price_text")
-    return cleaning.clean_sales(numbers, RAW_ORDER).drop("l_shipdate", "l_quantity", "l_discount")
+    return cleaning.clean_sales(numbers, RAW_ORDER, behind=behind).drop("l_shipdate", "l_quantity", "l_discount")
 
 
 def _one(col: str, clean: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame], DataFrame]:
@@ -312,7 +317,7 @@ QUERIES: dict[str, Query] = {
                           digits=PRICE_DIGITS),
     "q_cap_iqr": Query(lambda d: cleaning.cap_iqr(_raw_prices(d), fv.CAPPED_COLUMNS).select(
         "transaction_id", *fv.CAPPED_COLUMNS), _RAW_PRICE, "raw_sales", digits=PRICE_DIGITS),
-    "q_clean_pipeline": Query(_pipeline, None, "raw_sales", digits=PRICE_DIGITS),
+    "q_clean_pipeline": Query(_pipeline, None, "raw_sales", digits=PRICE_DIGITS, stored_lines=True),
     # profiling
     "q_profile_shape": Query(profiling.profile_shape, _PROFILED, "raw_sales"),
     "q_profile_nulls": Query(profiling.profile_nulls, _PROFILED, "raw_sales"),

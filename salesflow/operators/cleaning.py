@@ -17,8 +17,9 @@ from salesflow.functions.numeric import clip, parse_price
 from salesflow.functions.text import capitalize, map_values, parse_flag, strip_text, title_case
 from salesflow.operators.filters import divide_where
 from salesflow.operators.ordering import counted_values, exact_median, exact_quantiles
-from salesflow.session import materialize
+from salesflow.session import Scratch, materialize, materialize_buckets, scratch
 
+HEAVY_ID_ROWS = 100_000   # more rows of one id are not left in one bucket
 FLAGS = ["is_prime_member", "is_festival_sale", "is_prime_eligible"]
 
 
@@ -35,8 +36,17 @@ def fill_mode_by_group(df: DataFrame, col: str, group: str, default: str = "Unkn
     return df.join(modes, group, "left").withColumn(col, filled).select(*df.columns)
 
 
+def _unmarked(key: str, suffix: str) -> Column:
+    return F.replace(F.col(key), F.lit(suffix), F.lit(""))
+
+
+def deal_by_id(df: DataFrame, key: str = "transaction_id", suffix: str = "_DUP") -> DataFrame:
+    """The rows, their ids without the duplicate mark, stored in buckets by id for ``dedup_transactions``."""
+    return materialize_buckets(df.withColumn(key, _unmarked(key, suffix)), key)
+
+
 def dedup_transactions(df: DataFrame, order_cols: list[str], key: str = "transaction_id",
-                       suffix: str = "_DUP") -> DataFrame:
+                       suffix: str = "_DUP", dealt: DataFrame | None = None) -> DataFrame:
     """Strip the duplicate mark from the id and keep the first row per id by ``order_cols``.
 
     The rows are stored once, so that what they are made of is not computed again for each step. Hashes of the ids are
@@ -45,16 +55,30 @@ def dedup_transactions(df: DataFrame, order_cols: list[str], key: str = "transac
     combined on the map side, so that many copies of one id never meet in one task; with many repeated ids it is taken over
     all rows, which then are shuffled once. An id that shares its hash with another is merely looked at twice. Columns
     after ``order_cols`` break the remaining ties.
+
+    Rows as wide as the input take several times their stored size in a shuffle. ``dealt`` therefore names the table that
+    ``df`` was made from row by row, stored by ``deal_by_id``: the marks are gone then, the rows of an id lie in one bucket, and
+    first rows are found bucket by bucket without a shuffle. Only rows of ids that occur more than ``HEAVY_ID_ROWS`` times
+    are spread over tasks again and combined there.
     """
     rest = [c for c in df.columns if c != key and c not in order_cols]
-    clean = materialize(df.withColumn(key, F.replace(F.col(key), F.lit(suffix), F.lit(""))))
-    id_hash = F.xxhash64(key)
-    again = materialize(clean.groupBy(id_hash.alias("_again")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("_again"))
 
     def firsts(rows: DataFrame) -> DataFrame:
         picked = rows.groupBy(key).agg(F.min(F.struct(*order_cols, *rest)).alias("row"))
         return picked.select(*[F.col(c) if c == key else F.col(f"row.{c}").alias(c) for c in df.columns])
 
+    if dealt is not None:
+        heavy = materialize(dealt.groupBy(F.col(key).alias("_id")).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > HEAVY_ID_ROWS))
+        if heavy.isEmpty():
+            return firsts(df)
+        # at most one of HEAVY_ID_ROWS rows each, so the list stays small
+        marked = df.join(F.broadcast(heavy), F.col(key).eqNullSafe(F.col("_id")), "left")
+        others, spread = marked.where(F.col("_n").isNull()), marked.where(F.col("_n").isNotNull()).repartition(*order_cols)
+        return firsts(others.select(*df.columns)).unionByName(firsts(spread.select(*df.columns)))
+    clean = materialize(df.withColumn(key, _unmarked(key, suffix)))
+    id_hash = F.xxhash64(key)
+    again = materialize(clean.groupBy(id_hash.alias("_again")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("_again"))
+
     if _is_large(again):
         return firsts(clean)
     marked = clean.join(again, id_hash == F.col("_again"), "left")
@@ -222,24 +246,30 @@ def pipeline_statistics(df: DataFrame, prices: list[str]) -> Column:
         "median", (F.col("q1") - reach).alias("lower"), (F.col("q3") + reach).alias("upper")))))).scalar()
 
 
-def clean_sales(raw: DataFrame, order_cols: list[str], iso_swap: bool = True) -> DataFrame:
+def clean_sales(raw: DataFrame, order_cols: list[str], iso_swap: bool = True, behind: Scratch | None = None) -> DataFrame:
     """The whole pipeline. The order of steps matters: the mode fill groups by uncleaned labels, and
     medians and quartiles are taken after the duplicates are gone.
 
-    The raw table is stored once, since its columns are read for modes and distinct values before the rows are. Texts are
-    cleaned value by value. The deduplicated table is stored as well: one scan of five columns counts their values for all
-    statistics, one final scan applies them.
+    The raw table is stored once, in buckets by id, since its columns are read for modes and distinct values before the rows
+    are. Texts are cleaned value by value. The deduplicated table is stored as well: one scan of five columns counts their
+    values for all statistics, one final scan applies them. What only an earlier step reads is deleted before the next
+    begins, ``behind`` (tables that nothing but ``raw`` reads) first.
     """
-    raw = materialize(raw)
-    df = fill_mode_by_group(raw, "customer_age_group", "category")
-    df = by_value(df, "order_date", lambda d: clean_dates(d, iso_swap=iso_swap))
-    prices = [c for c in fv.PRICE_COLUMNS[1:] if c in df.columns]
-    df = by_value(df, "customer_city", clean_city).withColumns({
-        "product_name": capitalize("product_name"),
-        "original_price_inr": parse_price(F.col("original_price_inr").cast("string")),
-        **{c: F.col(c).try_cast("double") for c in prices},
-    })
-    df = fix_scale_errors(materialize(dedup_transactions(df, order_cols)))
+    kept = scratch(raw.sparkSession)
+    with Scratch(raw.sparkSession):
+        raw = deal_by_id(raw)
+        if behind:
+            behind.close()
+        df = fill_mode_by_group(raw, "customer_age_group", "category")
+        df = by_value(df, "order_date", lambda d: clean_dates(d, iso_swap=iso_swap))
+        prices = [c for c in fv.PRICE_COLUMNS[1:] if c in df.columns]
+        df = by_value(df, "customer_city", clean_city).withColumns({
+            "product_name": capitalize("product_name"),
+            "original_price_inr": parse_price(F.col("original_price_inr").cast("string")),
+            **{c: F.col(c).try_cast("double") for c in prices},
+        })
+        df = materialize(dedup_transactions(df, order_cols, dealt=raw), within=kept, wide=True)
+    df = fix_scale_errors(df)
     capped = [c for c in fv.CAPPED_COLUMNS if c in df.columns]
     found = pipeline_statistics(df, capped)
     df = by_value(df, "delivery_days", lambda d: clean_delivery(d, median=F.try_element_at(found, F.lit("delivery_days"))["median"]))

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from salesflow.operators.skew import skew_join
+from salesflow.session import Scratch, materialize_buckets
 
 _PRICE = "l_extendedprice / l_quantity"
 _AMOUNT = "l_extendedprice * (1 - l_discount)"
@@ -134,12 +135,17 @@ _NEEDS = {"": set(), "part": {"part"}, "orders": {"orders"}, "customer": {"order
           "nation": {"orders", "customer", "nation"}, "region": {"orders", "customer", "nation", "region"}}
 
 
-def view(spark: SparkSession, sf_dir: str, name: str, columns: list[str] | None = None, heavy_share: float | None = None) -> DataFrame:
+def view(spark: SparkSession, sf_dir: str, name: str, columns: list[str] | None = None, heavy_share: float | None = None,
+         within: Scratch | None = None) -> DataFrame:
     """``sales`` or ``raw_sales`` with ``columns`` (all by default).
 
     With ``heavy_share`` products and customers that hold at least this share of their fact's rows are joined apart from the
     others (see ``operators.skew``), so that the plan does not need AQE to split them.
 
+    With ``within`` the line items and their parts are stored there, in buckets by order, instead of being shuffled to their
+    orders: that takes less than half the disk, and the shuffle to the parts is gone by then. The caller closes ``within``
+    when nothing reads the view any more.
+
     The session setting ``salesflow.view.spread`` names a number of partitions to spread the line
     items over. Set it only where the table is one small file with a single row group, which Spark
     reads in one task; it is unset by default, and large tables need no such exchange.
@@ -164,6 +170,9 @@ def view(spark: SparkSession, sf_dir: str, name: str, columns: list[str] | None
 
     if "part" in tables:
         lines = meet(lines, read("part"), "l_partkey", "p_partkey")
+    if within and "orders" in tables:
+        used = set(re.findall(r"\b[lp]_\w+", " ".join(spec[c][0] for c in columns))) | {"l_orderkey"}
+        lines = materialize_buckets(lines.select(*sorted(used)).where("l_orderkey is not null"), "l_orderkey", within)
     if "orders" in tables:
         # one date per order, not one per line item
         orders = read("orders").withColumn("o_orderdate", F.col("o_orderdate").cast("date"))

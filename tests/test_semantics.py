@@ -1,6 +1,8 @@
 """Literal-row tests of the rules that differ between engines."""
 
 import datetime as dt
+import pathlib
+import time
 
 import pytest
 from conftest import values
@@ -17,6 +19,8 @@ from salesflow.operators.profiling import infer_types, profile_describe
 from salesflow.operators.stats import corr_matrix, ols_by, t_test_1samp, z_test
 from salesflow.plans import customer, market, product, revenue
 from salesflow.schema import detect_column, require_columns
+from salesflow.session import Scratch, materialize, materialize_buckets
+from salesflow.sources import star
 
 
 def one(spark, values_, dtype="string"):
@@ -293,3 +297,88 @@ def test_texts_are_cleaned_value_by_value(spark):
         assert sorted(values(cleaning.by_value(df, "customer_city", clean))) == want and seen[1:] == [3, 9]
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def dirty_rows(spark, n):
+    """Raw sales: ids with several rows and marks, one id and null very often."""
+    return spark.range(n).selectExpr(
+        f"case id % 10 when 0 then null when 1 then 'T-hot' else concat('T', cast(id % {n // 2} as string), if(id % 3 = 0, '_DUP', '')) end as transaction_id",
+        "cast(id * 7919 % 1009 as int) as seq", "element_at(array('2020-01-25', '05/02/2020', 'not a date', null), cast(id % 4 + 1 as int)) as order_date",
+        "if(id % 5 = 0, null, concat('cat ', cast(id % 3 as string))) as category", "if(id % 7 = 0, null, cast(id % 6 as string)) as customer_age_group",
+        "if(id % 3 = 0, ' bombay ', concat('city ', cast(id % 9 as string))) as customer_city", "md5(cast(id as string)) as product_name", "'Noise' as brand",
+        "'Smart Watch' as subcategory", "concat('₹', cast(id % 500 as string)) as original_price_inr", "cast(id % 30000 as double) as discounted_price_inr",
+        "cast(id * 2 as double) as subtotal_inr", "cast(id * 3 as double) as final_amount_inr", "if(id % 4 = 0, null, cast(id % 12 as string)) as delivery_days",
+        "if(id % 4 = 0, null, cast(id % 6 as string)) as customer_rating", "if(id % 2 = 0, 'Yes', 'no') as is_prime_member", "cast(null as string) as festival_name")
+
+
+def stored_bytes(path):
+    return sum(f.stat().st_size for f in pathlib.Path(path).rglob("*") if f.is_file() and f.suffix != ".crc")
+
+
+def test_dedup_of_dealt_rows_does_not_shuffle_them(spark, monkeypatch):
+    raw = dirty_rows(spark, 4000)
+    want = sorted(values(cleaning.dedup_transactions(raw, ["seq"])), key=str)
+    dealt = cleaning.deal_by_id(raw)
+    got = cleaning.dedup_transactions(dealt, ["seq"], dealt=dealt)
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+    assert sorted(values(got), key=str) == want
+    monkeypatch.setattr(cleaning, "HEAVY_ID_ROWS", 300)      # null and T-hot are spread over tasks
+    got = cleaning.dedup_transactions(dealt, ["seq"], dealt=dealt)
+    assert got._jdf.queryExecution().executedPlan().toString().count("hashpartitioning(seq") == 1
+    assert sorted(values(got), key=str) == want
+    empty = cleaning.deal_by_id(raw.limit(0))
+    assert values(cleaning.dedup_transactions(empty, ["seq"], dealt=empty)) == []
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("buckets_")]
+
+
+def test_pipeline_keeps_one_wide_table_and_no_shuffles(spark, tmp_path):
+    dirty_rows(spark, 60000).write.parquet(str(tmp_path / "raw"))
+    raw = spark.read.parquet(str(tmp_path / "raw"))
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    behind = Scratch(spark)
+    materialize(raw.select("seq"), within=behind)
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "16k")
+        with Scratch(spark) as kept:
+            n = cleaning.clean_sales(raw, ["seq"], behind=behind).count()
+            assert n == raw.select(F.replace("transaction_id", F.lit("_DUP"), F.lit(""))).distinct().count()
+            # raw rows, cleaned rows and first rows together were more than twice the input
+            assert 0 < stored_bytes(kept.path) < stored_bytes(tmp_path / "raw")
+        assert not pathlib.Path(behind.path).exists()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def test_wide_tables_leave_no_shuffle_files(spark):
+    rows = spark.range(1000).withColumn("k", F.col("id") % 7)
+    folders = [pathlib.Path(d) for d in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()]
+
+    def shuffled():
+        return {f for d in folders for f in d.rglob("shuffle_*")}
+
+    for store in (lambda d: materialize(d, wide=True), lambda d: materialize_buckets(d, "id")):
+        before = shuffled()
+        stored = store(rows.repartition("k"))
+        for _ in range(50):          # deleted in the background
+            if not shuffled() - before:
+                break
+            time.sleep(0.2)
+        assert not shuffled() - before and stored.count() == 1000
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+    assert spark.conf.get("spark.sql.codegen.hugeMethodLimit") == "65535"
+
+
+def test_view_over_stored_lines(spark, tmp_path):
+    rows = {"region": [(0, "r")], "nation": [(0, "n", 0), (1, None, 0)], "customer": [(1, "c", 0, 10.0, "BUILDING"), (2, "d", 1, None, None)],
+            "part": [(1, "a b", "B", "t", 3, 1000.0), (1, "again", "C", None, 4, 1.0), (2, None, "D", "u", None, None)],
+            "orders": [(k, 1 + k % 2, "O", 1.0, dt.datetime(2020, 10, 20 + k), None) for k in range(4)] + [(3, 1, "O", 2.0, None, "x"), (None, 1, "O", 2.0, None, "x")],
+            "lineitem": [(k % 5, 1 + k % 3, 7, k % 2, 2.0, 50.5 * k, 0.1, 0.0, "R", "O", dt.datetime(2020, 11, 1)) for k in range(40)]
+                        + [(None, 1, 7, 1, 1.0, 9.0, 0.0, 0.0, "R", "O", None), (2, None, 7, None, 1.0, 9.0, 0.0, 0.0, "R", "O", None)]}
+    for name, data in rows.items():
+        spark.createDataFrame(data, star.TABLES[name]).write.parquet(f"{tmp_path}/{name}.parquet")
+    within = Scratch(spark)
+    for name in star.VIEWS:
+        want = sorted(values(star.view(spark, str(tmp_path), name)), key=str)
+        got = star.view(spark, str(tmp_path), name, within=within)
+        assert len(want) > 20 and sorted(values(got), key=str) == want and got.columns == list(star.VIEWS[name])
+    within.close()
